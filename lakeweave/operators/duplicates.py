@@ -53,6 +53,29 @@ def duplicate_relations(cells: DataFrame, rows: DataFrame, distinct: bool = Fals
     return sized.select("tableid_1", "tableid_2", "n_pairs")
 
 
+def contained_tables(cells: DataFrame) -> DataFrame:
+    """(tableid_1, tableid_2), tableid_1 < tableid_2: pairs of tables of which one holds every row of the other.
+
+    Rows are equal if their sorted values are.  A table can only be held by
+    tables that hold its rarest row, so only those are compared; rows common to
+    many tables make no candidates unless a table has nothing rarer.
+    """
+    values = cells.groupBy("tableid", "rowid").agg(F.array_sort(F.collect_list("token")).alias("vals"))
+    kinds = values.select("tableid", F.md5(F.concat_ws("\x01", "vals")).alias("kind"), F.size("vals").alias("n")).distinct()
+    spread = kinds.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("tables"))
+    rated = kinds.join(spread, ["kind", "n"])
+    rarest = rated.groupBy("tableid").agg(
+        F.min_by(F.struct("kind", "n"), F.struct("tables", "kind", "n")).alias("r"), F.count(F.lit(1)).alias("kinds")
+    ).select(F.col("tableid").alias("small"), F.col("r.kind").alias("kind"), F.col("r.n").alias("n"), "kinds")
+    pairs = rarest.join(kinds, ["kind", "n"]).where("small <> tableid").select("small", F.col("tableid").alias("big"), "kinds")
+    held = (
+        pairs.join(kinds.withColumnRenamed("tableid", "small"), "small")
+        .join(kinds.withColumnRenamed("tableid", "big"), ["big", "kind", "n"])
+        .groupBy("small", "big", "kinds").agg(F.count(F.lit(1)).alias("held")).where("held = kinds")
+    )
+    return held.select(F.least("small", "big").alias("tableid_1"), F.greatest("small", "big").alias("tableid_2")).distinct()
+
+
 def remove_duplicates(tables: DataFrame, relations: DataFrame) -> DataFrame:
     """Tables without those that are the larger id of a relation."""
     gone = relations.select(F.col("tableid_2").alias("tableid")).distinct()
