@@ -117,8 +117,8 @@ def simhash_positions(token: str) -> Column:
 def bloom_positions(token: str, size: int, hashes: int) -> Column:
     """Bits that a token sets in a Bloom filter: the first 32 bits of the MD5 of a seed and the token, modulo ``size``."""
     return F.expr(
-        f"array_sort(array_distinct(transform(sequence(0, {hashes - 1}), i -> "
-        f"CAST(CAST(conv(substring(md5(concat(CAST(i AS string), ':', {token})), 1, 8), 16, 10) AS bigint) % {size} AS int))))"
+        f"array_sort(array_distinct(transform(sequence(0, {hashes - 1}), seed__ -> "
+        f"CAST(CAST(conv(substring(md5(concat(CAST(seed__ AS string), ':', {token})), 1, 8), 16, 10) AS bigint) % {size} AS int))))"
     )
 
 
@@ -155,7 +155,7 @@ def bloom(size: int = 128, hashes: int = 5, items: int = 6) -> Signature:
 
 def md5_signature() -> Signature:
     return Signature(128, lambda t: F.expr(
-        f"filter(sequence(0, 127), b -> shiftright(CAST(conv(substring(md5({t}), 32 - CAST(floor(b / 4) AS int), 1), 16, 10) AS int), CAST(b % 4 AS int)) & 1 = 1)"
+        f"filter(sequence(0, 127), bit__ -> shiftright(CAST(conv(substring(md5({t}), 32 - CAST(floor(bit__ / 4) AS int), 1), 16, 10) AS int), CAST(bit__ % 4 AS int)) & 1 = 1)"
     ))
 
 

@@ -41,14 +41,14 @@ _SOURCES = ["region", "nation", "supplier", "customer", "part"]
 
 #: Input datasets: rows and order.
 Q1 = (
-    """SELECT n_name, r_name, round(b, 2) AS avg_bal FROM (
+    """SELECT n_name, r_name, floor(b * 100 + 0.5) / 100 AS avg_bal FROM (
         SELECT n_name, r_name, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS b
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY n_name, r_name) x""",
     ["n_name"],
 )
 Q2 = ("SELECT r_name, r_regionkey FROM {region}", ["r_regionkey"])
 Q3 = (
-    """SELECT p_brand, p_type, round(b, 2) AS price FROM (
+    """SELECT p_brand, p_type, floor(b * 100 + 0.5) / 100 AS price FROM (
         SELECT p_brand, p_type, CAST(sum(CAST(p_retailprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS b FROM {part} GROUP BY p_brand, p_type) x""",
     ["p_brand", "p_type"],
 )
