@@ -181,7 +181,8 @@ def fit(texts: DataFrame, column: str) -> ScriptModel:
 def _bigrams(texts: pd.Series) -> np.ndarray:
     """Codes of all pairs (previous character, letter); before a word stands a blank."""
     flat = np.frombuffer((" " + " ".join(texts.tolist())).encode("utf-32-le", "replace"), np.uint32)
-    letter = (flat > 127) | ((flat | 32) - 97 < 26)
+    # Latin, Greek and Cyrillic stand in these blocks, so what is counted is bounded by their letters
+    letter = ((flat > 127) & (flat < 0x530)) | ((flat >= 0x1C80) & (flat < 0x2000)) | ((flat | 32) - 97 < 26)
     prev = np.where(letter[:-1], flat[:-1], 32).astype(np.int64)
     keep = letter[1:]
     return (prev[keep] << 32) | flat[1:][keep].astype(np.int64)

@@ -28,8 +28,8 @@ from lakeweave.plans.scratch import written
 
 #: Bits of a code, and those of them that ride along to test the Hamming radius.
 BITS, RADIUS_BITS = 1024, 128
-#: A set with more than this share of all rows is spread over SALTS tasks; at most 1 / HOT_SHARE sets can have it.
-HOT_SHARE, SALTS = 0.001, 64
+#: A set with more than this share of all rows (and so many rows) is spread over SALTS tasks; at most 1 / HOT_SHARE sets can have it.
+HOT_SHARE, HOT_ROWS, SALTS = 0.001, 1_000_000, 64
 _SETS = "id string, salt int, hot boolean, n long, tokens array<string>, digest string, code binary"
 _SEED = 20240229
 
@@ -181,7 +181,7 @@ class Sketches:
     codes: DataFrame
 
 
-def sketch(df: DataFrame, ident: str, token: str, least: int) -> Sketches:
+def sketch(df: DataFrame, ident: str, token: str, least: int, hot_rows: int = HOT_ROWS) -> Sketches:
     """Codes of all sets with at least ``least`` distinct tokens.
 
     Null ids are no set; null and empty tokens and repeated rows don't count.
@@ -189,7 +189,7 @@ def sketch(df: DataFrame, ident: str, token: str, least: int) -> Sketches:
     rows = df.select(F.col(ident).cast("string").alias("id"), F.col(token).cast("string").alias("token")).where("id IS NOT NULL AND token <> ''")
     sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
     total = rows.count()
-    hot = [r.id for r in sizes.where(F.col("rows") > max(1_000_000, HOT_SHARE * total)).collect()]  # at most 1 / HOT_SHARE ids
+    hot = [r.id for r in sizes.where(F.col("rows") > max(hot_rows, HOT_SHARE * total)).collect()]  # at most 1 / HOT_SHARE ids
     is_hot = F.col("id").isin(hot) if hot else F.lit(False)
     salted = rows.withColumn("hot", is_hot).withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
@@ -210,7 +210,7 @@ def sketch(df: DataFrame, ident: str, token: str, least: int) -> Sketches:
 
 
 def similar_pairs(
-    df: DataFrame, ident: str, token: str, threshold: float, least: int = 1, recall: float = 0.995
+    df: DataFrame, ident: str, token: str, threshold: float, least: int = 1, recall: float = 0.995, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: all pairs of sets whose Jaccard similarity is at least ``threshold``.
 
@@ -219,7 +219,7 @@ def similar_pairs(
     less often; equal sets are always found.  ``least``: sets with fewer
     distinct tokens take no part.  Of tables without rows nothing comes out.
     """
-    sk = sketch(df, ident, token, least)
+    sk = sketch(df, ident, token, least, hot_rows)
     classes = sk.codes.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
     member = written(
         sk.codes.join(classes.select("digest", "n", "rep"), ["digest", "n"]).select("id", "rep", "n", "hot", F.when(F.col("id") == F.col("rep"), F.col("code")).alias("code")),
