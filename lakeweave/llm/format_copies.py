@@ -28,11 +28,11 @@ SEP = "\x01"
 def canonical_text(text: Column) -> Column:
     """Letters and digits of all scripts without letter case; any other run is one blank, none at the ends.
 
-    Case is removed by way of upper case, so that a sharp s and its capitals agree.
+    Case is removed by way of upper case, and a sharp s agrees with its capitals SS.
     """
     plain = F.lower(text).rlike("^[a-z0-9]+( [a-z0-9]+)*$")
     return F.when(plain, F.lower(text)).otherwise(
-        F.trim(F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", " "))
+        F.trim(F.regexp_replace(F.replace(F.lower(F.upper(text)), F.lit("\xdf"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))
     )
 
 
