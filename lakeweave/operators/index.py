@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import hashing
 from lakeweave.functions.text import categorical_value, clean_text, is_numeric_token, numeric_value
+from lakeweave.operators.ranges import average_ranks, running_totals
 
 
 @dataclass(frozen=True)
@@ -30,25 +31,14 @@ class LakeTable:
 def wide_rows(table: LakeTable) -> DataFrame:
     """(tableid, rowid, cells): a table's rows in order, cells as strings.
 
-    Row ids are dense in the given order.  They are found by range-partitioning
-    the rows, counting each range and adding the counts of the ranges before
-    it, so that no task holds the whole table.
+    Row ids are dense in the given order; no task holds the whole table.
     """
     names = table.names()
     keys = [F.col(f"`{c}`") for c in table.order]
     strings = F.array(*(F.col(f"`{c}`").cast("string") for c in names))
-    ranged = table.df.select(*(k.alias(f"__k{i}") for i, k in enumerate(keys)), strings.alias("cells"))
-    sort = [F.col(f"__k{i}") for i in range(len(keys))] + [F.col("cells")]
-    ranged = ranged.repartitionByRange(*sort).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    base = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    here = Window.partitionBy("part").orderBy(*sort)
-    return (
-        ranged.withColumn("i", F.row_number().over(here) - 1)
-        .join(base, F.col("part") == F.col("p"))
-        .select(F.lit(table.tableid).alias("tableid"), (F.col("base") + F.col("i")).cast("int").alias("rowid"), "cells")
-    )
+    rows = table.df.select(*(k.alias(f"__k{i}") for i, k in enumerate(keys)), strings.alias("cells"), F.lit(1).alias("one"))
+    placed = running_totals(rows, [], [*(F.col(f"__k{i}") for i in range(len(keys))), F.col("cells")], "one")
+    return placed.select(F.lit(table.tableid).alias("tableid"), F.col("before").cast("int").alias("rowid"), "cells")
 
 
 def raw_cells(table: LakeTable) -> DataFrame:
@@ -109,20 +99,26 @@ def numeric_columns(cells: DataFrame) -> DataFrame:
 def column_ranks(cells: DataFrame) -> DataFrame:
     """(table_col_id, rowid, token, is_numeric, rk): average rank of every cell in its column; missing numbers are last and equal.
 
-    Columns hold as many values as their table has rows; a column is ranked in one sort.
+    Distinct values are counted and ranked by ranges, so a column may be of any length.
     """
     typed = cells.join(numeric_columns(cells), "table_col_id").select(
         "table_col_id", "rowid", "token", "is_numeric",
         F.when(F.col("is_numeric"), numeric_value(F.col("token"))).alias("x"),
         F.when(~F.col("is_numeric"), categorical_value(F.col("token"))).alias("c"),
     )
-    order = Window.partitionBy("table_col_id").orderBy(F.col("x").asc_nulls_last(), F.col("c").asc_nulls_last())
-    ties = Window.partitionBy("table_col_id", "x", "c")
-    return typed.withColumn("rk", F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2).drop("x", "c")
+    ranks = average_ranks(typed, ["table_col_id"], ["x", "c"]).select(
+        F.col("table_col_id").alias("__t"), F.col("x").alias("__x"), F.col("c").alias("__c"), "rk"
+    )
+    on = (F.col("table_col_id") == F.col("__t")) & F.col("x").eqNullSafe(F.col("__x")) & F.col("c").eqNullSafe(F.col("__c"))
+    return typed.join(ranks, on).select("table_col_id", "rowid", "token", "is_numeric", "rk")
 
 
 def order_index(cells: DataFrame) -> DataFrame:
-    """(table_col_id, is_numeric, min_index, order_list, binary_list): each row's successor in rank order, and whether its rank differs."""
+    """(table_col_id, is_numeric, min_index, order_list, binary_list): each row's successor in rank order, and whether its rank differs.
+
+    The stored form has a whole column in one row, so a column must fit in one
+    task here; where it doesn't, use :func:`column_ranks`, which tells the same.
+    """
     w = Window.partitionBy("table_col_id").orderBy("rk", "rowid")
     linked = column_ranks(cells).select(
         "table_col_id", "is_numeric", "rowid", "rk",

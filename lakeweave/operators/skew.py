@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.operators.ranges import running_totals
+
 #: Rows of one value are counted in blocks of this many row numbers, so that one huge (key, value) is counted by many tasks.
 BLOCK = 65536
 
@@ -76,30 +78,14 @@ def key_modes(freq: DataFrame) -> DataFrame:
 def key_percentiles(freq: DataFrame, ps: Sequence[float]) -> DataFrame:
     """(key, p, percentile): the smallest value whose cumulated weight reaches ``p`` of the key's weight.
 
-    Values are range-partitioned with their key, so the values of one key may
-    spread over any number of tasks; each range is cumulated by itself on top
-    of the totals of the ranges before it.  Null values don't count.
+    The values of one key may spread over any number of tasks.  Null values
+    don't count.
     """
-    spread = (
-        freq.where(F.col("value").isNotNull())
-        .repartitionByRange("key", "value")
-        .withColumn("__p", F.spark_partition_id())
-    )
-    before = Window.partitionBy("__k").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        spread.groupBy(F.col("key").alias("__k"), F.col("__p").alias("__q")).agg(F.sum("weight").alias("n"))
-        .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("__k")))
-    )
-    here = Window.partitionBy("key", "__p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = (
-        spread.withColumn("run", F.sum("weight").over(here))
-        .join(ranges, F.col("key").eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
-        .withColumn("upto", F.col("base") + F.col("run"))
-    )
+    known = freq.where(F.col("value").isNotNull())
+    total = running_totals(known, ["key"], [F.col("value")], "weight")
     return (
-        cumulated.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps))))
-        .where(F.col("upto") >= F.col("p") * F.col("total"))
+        total.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps))))
+        .where(F.col("before") + F.col("weight") >= F.col("p") * F.col("total"))
         .groupBy("key", "p")
         .agg(F.min("value").alias("percentile"))
     )
