@@ -210,7 +210,7 @@ def sketch(df: DataFrame, ident: str, token: str, least: int, hot_rows: int = HO
 
 
 def similar_pairs(
-    df: DataFrame, ident: str, token: str, threshold: float, least: int = 1, recall: float = 0.995, hot_rows: int = HOT_ROWS
+    df: DataFrame, ident: str, token: str, threshold: float, least: int = 1, recall: float = 0.999, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: all pairs of sets whose Jaccard similarity is at least ``threshold``.
 
