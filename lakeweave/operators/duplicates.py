@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.plans.scratch import written
+
 
 def row_values(cells: DataFrame) -> DataFrame:
     """(tableid, rowid, n_cols, vals): the sorted tokens of every row."""
@@ -32,14 +36,25 @@ def duplicate_relations(cells: DataFrame, rows: DataFrame, distinct: bool = Fals
     Rows are equal if signatures and sorted values are.  ``distinct``: every
     row of the smaller table must have a partner, instead of counting pairs
     (repeated rows can then not stand in for missing ones).  Equal rows are
-    counted per table first, so a row repeated many times meets others once.
+    counted per table first, and only tables that can reach the count meet.
     """
     values = row_values(cells).join(rows, ["tableid", "rowid"]).select("tableid", "rowid", "n_cols", "key", "vals")
     kinds = values.groupBy("tableid", "n_cols", "key", "vals").agg(F.count(F.lit(1)).alias("n"))
     sizes = values.groupBy("tableid").agg(F.count(F.lit(1)).alias("rows"), F.min_by("n_cols", "rowid").alias("cols"))
+    kinds = written(kinds, "kinds")
+    # if the smaller table lacks a partner for some row, another row must be repeated in the larger one:
+    # so a pair shares the smaller one's rarest row, or a row that one of them repeats
+    spread = kinds.groupBy("n_cols", "key", "vals").agg(F.count(F.lit(1)).alias("tables"))
+    rarest = (
+        kinds.join(spread, ["n_cols", "key", "vals"]).groupBy("tableid")
+        .agg(F.min_by(F.struct("n_cols", "key", "vals"), F.struct("tables", "key", "vals")).alias("r")).select("tableid", "r.*")
+    )
+    start = rarest.unionByName(kinds.where("n > 1").select("tableid", "n_cols", "key", "vals")).distinct()
+    near = start.withColumnRenamed("tableid", "x").join(kinds.withColumnRenamed("tableid", "y"), ["n_cols", "key", "vals"]).where("x <> y")
+    pairs = near.select(F.least("x", "y").alias("tableid_1"), F.greatest("x", "y").alias("tableid_2")).distinct()
     a = kinds.select(F.col("tableid").alias("tableid_1"), "n_cols", "key", "vals", F.col("n").alias("n1"))
     b = kinds.select(F.col("tableid").alias("tableid_2"), "n_cols", "key", "vals", F.col("n").alias("n2"))
-    met = a.join(b, ["n_cols", "key", "vals"]).where("tableid_1 < tableid_2")
+    met = pairs.join(a, "tableid_1").join(b, ["tableid_2", "n_cols", "key", "vals"])
     counts = met.groupBy("tableid_1", "tableid_2").agg(
         F.sum(F.col("n1") * F.col("n2")).alias("n_pairs"), F.sum("n1").alias("m1"), F.sum("n2").alias("m2")
     )
@@ -53,6 +68,15 @@ def duplicate_relations(cells: DataFrame, rows: DataFrame, distinct: bool = Fals
     return sized.select("tableid_1", "tableid_2", "n_pairs")
 
 
+def duplicates_of_all(cells: DataFrame, rows: DataFrame, tableids: Sequence[int]) -> DataFrame:
+    """(tableid): the duplicates of several tables one after the other, repeats kept."""
+    out = None
+    for t in tableids:
+        one = duplicate_tables(cells, rows, t)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def contained_tables(cells: DataFrame) -> DataFrame:
     """(tableid_1, tableid_2), tableid_1 < tableid_2: pairs of tables of which one holds every row of the other.
 

@@ -55,6 +55,12 @@ def columns(cells: DataFrame, table_col_ids: Sequence[str]) -> DataFrame:
     return cells.where(F.col("table_col_id").isin(*table_col_ids)).orderBy("table_col_id", "rowid")
 
 
+def column_arrays(cells: DataFrame, table_col_ids: Sequence[str]) -> DataFrame:
+    """(table_col_id, rowids, tokens): some columns as arrays in row order."""
+    packed = cells.where(F.col("table_col_id").isin(*table_col_ids)).groupBy("table_col_id").agg(F.array_sort(F.collect_list(F.struct("rowid", "token"))).alias("l"))
+    return packed.select("table_col_id", F.col("l.rowid").alias("rowids"), F.col("l.token").alias("tokens"))
+
+
 def joinable_columns(cells: DataFrame, tokens: DataFrame, k: int, column: str = "token", min_overlap: int = 1) -> DataFrame:
     """(table_col_id, overlap): the ``k`` columns that hold most of the distinct tokens."""
     return (

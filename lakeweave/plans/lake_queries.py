@@ -194,6 +194,12 @@ def F7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.columns(L.lake(spark, sf_dir).cells, ["4_4", "9_1"]).select("token", "tableid", "colid", "rowid", "table_col_id")
 
 
+@query(f"{CELLS} SELECT table_col_id, array_to_string(list(rowid ORDER BY rowid), ',') AS rowids, array_to_string(list(token ORDER BY rowid), ',') AS tokens FROM cells WHERE table_col_id IN ('2_1', '9_3') GROUP BY 1")
+def A23_column_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = lookup.column_arrays(L.lake(spark, sf_dir).cells, ["2_1", "9_3"])
+    return packed.select("table_col_id", F.array_join(F.col("rowids").cast("array<string>"), ",").alias("rowids"), F.array_join("tokens", ",").alias("tokens"))
+
+
 @query(f"""{CELLS}, q AS (SELECT DISTINCT token FROM cells WHERE table_col_id = '8_0')
     SELECT table_col_id, count(DISTINCT token) AS overlap FROM cells SEMI JOIN q USING (token) GROUP BY 1 ORDER BY overlap DESC, table_col_id LIMIT 10""")
 def A1_joinable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,6 +446,12 @@ def C8_duplicate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_tables(lake.cells, lake.rows, 7)
 
 
+@query(f"{CELLS}, {_VALS} " + " UNION ALL ".join(f"(SELECT DISTINCT v.tableid FROM v JOIN v p ON p.tableid = {t} AND p.rowid = 0 AND p.vals = v.vals)" for t in (2, 6, 7)))
+def U1_duplicates_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = L.lake(spark, sf_dir)
+    return duplicates.duplicates_of_all(lake.cells, lake.rows, [2, 6, 7])
+
+
 _REL = f"""{_VALS}, sz AS (SELECT tableid, count(*) AS n FROM v GROUP BY 1),
     eq AS (SELECT a.tableid AS tableid_1, b.tableid AS tableid_2, count(*) AS n_pairs FROM v a JOIN v b ON a.vals = b.vals AND a.tableid < b.tableid GROUP BY ALL),
     rel AS (SELECT eq.* FROM eq JOIN sz s1 ON s1.tableid = tableid_1 JOIN sz s2 ON s2.tableid = tableid_2 WHERE n_pairs >= least(s1.n, s2.n))"""

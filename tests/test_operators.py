@@ -215,3 +215,46 @@ def test_correlation_matrix_with_text(spark):
     assert {(r.x, r.y): r.corr for r in correlate.correlation_matrix(df, ["s", "x"]).collect()}[("s", "x")] == pytest.approx(codes)
     assert df.agg(correlate.pearson(df, "x", "x")).first()[0] == pytest.approx(1.0)
     assert df.where(F.col("s") == "a").agg(correlate.pearson(df, "x", "x")).first()[0] is None
+
+
+def test_duplicate_page(spark):
+    from lakeweave.sources.html import duplicate_page
+
+    c = cells_of(spark, {1: [["a<b"]], 2: [["a<b"]]})
+    h = spark.createDataFrame([(1, 0, "h", "h"), (2, 0, "h", "h")], "tableid int, colid int, header string, header_tokenized string")
+    rel = spark.createDataFrame([(1, 2)], "tableid_1 int, tableid_2 int")
+    page = duplicate_page(rel, c, h)
+    assert "href='#t2'" in page and "a&lt;b" in page
+
+
+def test_relations_of_repeated_rows_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    data = {t: [[rng.choice("abcd"), rng.choice("xy")] for _ in range(rng.randrange(1, 7))] for t in range(1, 25)}
+    c = cells_of(spark, data)
+    got = {(r.tableid_1, r.tableid_2): r.n_pairs for r in duplicates.duplicate_relations(c, index.row_signatures(c)).collect()}
+    want = {}
+    for a in data:
+        for b in data:
+            n = sum(sorted(x) == sorted(y) for x in data[a] for y in data[b])
+            if a < b and n >= min(len(data[a]), len(data[b])):
+                want[a, b] = n
+    assert got == want
+
+
+def test_stream_append_is_repeatable(spark, tmp_path):
+    from lakeweave.streaming.append import append_cells
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("0,Red fox\n1,Hen\n")
+
+    def run():
+        s = spark.readStream.schema("id int, name string").csv(str(tmp_path / "in"))
+        append_cells(s, 5, "id", ["name"], str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return {(r.token, r.rowid) for r in spark.read.parquet(str(tmp_path / "out" / "cells")).collect()}
+
+    assert run() == {("red fox", 0), ("hen", 1)}
+    (tmp_path / "in" / "b.csv").write_text("2,Cow\n")
+    assert run() == {("red fox", 0), ("hen", 1), ("cow", 2)}
+    assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 3
