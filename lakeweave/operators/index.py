@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions import hashing
@@ -28,39 +28,49 @@ class LakeTable:
         return list(self.columns) or self.df.columns
 
 
-def wide_rows(table: LakeTable) -> DataFrame:
-    """(tableid, rowid, cells): a table's rows in order, cells as strings.
+def _sort_keys(table: LakeTable, width: int) -> list[Column]:
+    """The order columns of a table as ``width`` groups of a long, a double and a string, of which one is set."""
+    kinds = dict(table.df.dtypes)
+    out = []
+    for i in range(width):
+        name = table.order[i] if i < len(table.order) else None
+        c = F.col(f"`{name}`") if name is not None else F.lit(None)
+        kind = kinds.get(name, "")
+        whole, real = kind in ("tinyint", "smallint", "int", "bigint"), kind in ("float", "double")
+        out += [
+            (c if whole else F.lit(None)).cast("long").alias(f"__l{i}"), (c if real else F.lit(None)).cast("double").alias(f"__d{i}"),
+            (F.lit(None) if whole or real else c).cast("string").alias(f"__s{i}"),
+        ]
+    return out
 
-    Row ids are dense in the given order; no task holds the whole table.
-    """
-    names = table.names()
-    keys = [F.col(f"`{c}`") for c in table.order]
-    strings = F.array(*(F.col(f"`{c}`").cast("string") for c in names))
-    rows = table.df.select(*(k.alias(f"__k{i}") for i, k in enumerate(keys)), strings.alias("cells"), F.lit(1).alias("one"))
-    placed = running_totals(rows, [], [*(F.col(f"__k{i}") for i in range(len(keys))), F.col("cells")], "one")
-    return placed.select(F.lit(table.tableid).alias("tableid"), F.col("before").cast("int").alias("rowid"), "cells")
 
+def wide_rows(tables: Sequence[LakeTable]) -> DataFrame:
+    """(tableid, rowid, cells, null): the rows of several tables in order, cells as strings.
 
-def raw_cells(table: LakeTable) -> DataFrame:
-    """(tableid, colid, rowid, value): one row per cell of a table."""
-    return wide_rows(table).select("tableid", "rowid", F.posexplode("cells").alias("colid", "value")).select("tableid", "colid", "rowid", "value")
+    Row ids are dense in each table's order; all tables are numbered in one
+    job and no task holds a whole table.
+    """
+    width, rows = max(len(t.order) for t in tables), None
+    for t in tables:
+        strings = F.array(*(F.col(f"`{c}`").cast("string") for c in t.names()))
+        one = t.df.select(F.lit(t.tableid).alias("tableid"), *_sort_keys(t, width), strings.alias("cells"), F.lit(t.null).alias("null"), F.lit(1).alias("one"))
+        rows = one if rows is None else rows.unionByName(one)
+    order = [F.col(f"__{k}{i}") for i in range(width) for k in "lds"] + [F.col("cells")]
+    placed = running_totals(rows, ["tableid"], order, "one")
+    return placed.select("tableid", F.col("before").cast("int").alias("rowid"), "cells", "null")
 
 
-def tokenized(raw: DataFrame, null: str = "nan") -> DataFrame:
-    """(token, tableid, colid, rowid, table_col_id) of raw cells."""
-    return raw.select(
-        clean_text(F.col("value"), null).alias("token"), "tableid", "colid", "rowid",
-        F.concat_ws("_", "tableid", "colid").alias("table_col_id"),
-    )
+def raw_cells(tables: Sequence[LakeTable]) -> DataFrame:
+    """(tableid, colid, rowid, value, null): one row per cell."""
+    return wide_rows(tables).select("tableid", "rowid", "null", F.posexplode("cells").alias("colid", "value")).select("tableid", "colid", "rowid", "value", "null")
 
 
 def index_cells(tables: Sequence[LakeTable]) -> DataFrame:
-    """Inverted index of several tables, one row per cell."""
-    out = None
-    for t in tables:
-        one = tokenized(raw_cells(t), t.null)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Inverted index of several tables, one row per cell: (token, tableid, colid, rowid, table_col_id)."""
+    return raw_cells(tables).select(
+        clean_text(F.coalesce("value", "null")).alias("token"), "tableid", "colid", "rowid",
+        F.concat_ws("_", "tableid", "colid").alias("table_col_id"),
+    )
 
 
 def index_headers(spark: SparkSession, tables: Sequence[LakeTable]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions import hashing
 from lakeweave.functions.text import clean_text, null_like_in_query
 from lakeweave.operators import correlate, duplicates, index, joinsearch, lookup
+from lakeweave.plans.lake_queries import _KIND, _SCORES
 from lakeweave.plans.scratch import written
 
 #: The table of the lake that serves as input dataset of the searches.
@@ -123,6 +124,12 @@ ORACLES = {
         GROUP BY 1 ORDER BY overlap DESC, table_col_id LIMIT 20""",
     "C1_lake_join_search": _TABLES,
     "C3_lake_join_search": _TABLES,
+    "C6_lake_features": f"""{_SEARCH}, {_KIND}, prs AS MATERIALIZED (SELECT tableid, cols, rowid AS ext_row, max(input_row) AS input_row FROM mt SEMI JOIN top USING (tableid, cols) GROUP BY ALL),
+        r AS (SELECT DISTINCT rowid FROM cells WHERE tableid = {INPUT_TABLE}), tg AS MATERIALIZED (SELECT rowid AS input_row, CAST(row_number() OVER (ORDER BY rowid) AS DOUBLE) AS t FROM r),
+        pairs AS (SELECT CAST(tableid AS VARCHAR) AS grp, ext_row, input_row FROM prs), kc AS (SELECT DISTINCT tableid, unnest(cols) AS colid FROM prs),
+        feat AS (SELECT CAST(tableid AS VARCHAR) AS grp, table_col_id AS fid, is_numeric, token, rowid FROM cells JOIN kind USING (table_col_id)
+            WHERE tableid IN (SELECT tableid FROM prs) AND (tableid, colid) NOT IN (SELECT tableid, colid FROM kc)), {_SCORES}
+        SELECT CAST(row_number() OVER (ORDER BY abs(corr) DESC, fid) AS INT) AS rank, round(corr, 6) AS corr, fid AS table_col_id, is_numeric FROM sc WHERE corr IS NOT NULL ORDER BY rank LIMIT 10""",
     "C9_lake_relations": f"""{_CELLS}, v AS (SELECT DISTINCT tableid, vals FROM (SELECT tableid, rowid, list(token ORDER BY token) AS vals FROM cells GROUP BY ALL)),
         n AS (SELECT tableid, count(*) AS n FROM v GROUP BY 1),
         m AS (SELECT a.tableid AS a, b.tableid AS b, count(*) AS k FROM v a JOIN v b ON a.vals = b.vals AND a.tableid < b.tableid GROUP BY ALL)

@@ -359,15 +359,27 @@ def A20_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, L.Q1, ["n_name", "r_name"]).stats.withColumn("precision", F.round("precision", 6))
 
 
-@query()
+def _sql_variant(size: int, rotation: bool) -> tuple[str, str]:
+    """CTEs and SELECT of the filter's counters for one kind of signature."""
+    v = f"{size}{int(rotation)}"
+    ctes = f"""{L.sql_xash(DISTINCT, size, rotation, name='x' + v)},
+        rk{v} AS (SELECT tableid, rowid, list(DISTINCT p) AS ps FROM (SELECT tableid, rowid, unnest(ps) AS p FROM cells JOIN x{v} USING (token)) GROUP BY ALL),
+        {L.sql_xash('SELECT q0 AS token FROM q UNION SELECT q1 FROM q', size, rotation, name='y' + v)},
+        qk{v} AS (SELECT input_row, list_distinct(a.ps || b.ps) AS qps FROM q JOIN y{v} a ON a.token = q0 JOIN y{v} b ON b.token = q1),
+        g{v} AS (SELECT count(*) FILTER (NOT list_has_all(ps, qps)) AS nf, count(*) FILTER (list_has_all(ps, qps)) AS na FROM hit JOIN rk{v} USING (tableid, rowid) JOIN qk{v} USING (input_row))"""
+    return ctes, f"""SELECT CAST({size} AS INT) AS hash_size, {str(rotation).lower()} AS rotation, nf AS total_filtered, na AS total_approved, m AS matching_rows,
+        na - m AS total_fp, round(m / greatest(na, 1), 6) AS precision FROM g{v}, (SELECT count(*) AS m FROM mt)"""
+
+
+@query(f"{CELLS}, {_S1}, {', '.join(_sql_variant(*v)[0] for v in _VARIANTS)} {' UNION ALL '.join(_sql_variant(*v)[1] for v in _VARIANTS)}")
 def C12_xash_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision of the signature filter for every signature size, with and without rotation; its SQL would be that of A20 eight times."""
+    """Precision of the signature filter for every signature size, with and without rotation."""
     out = None
     for size, rotation in _VARIANTS:
         s = _search(spark, sf_dir, L.Q1, ["n_name", "r_name"], rows=None, signature=hashing.xash(size, rotation))
         one = s.stats.select(F.lit(size).alias("hash_size"), F.lit(rotation).alias("rotation"), "*")
         out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("precision"), "hash_size", "rotation")
+    return out.withColumn("precision", F.round("precision", 6)).orderBy(F.desc("precision"), "hash_size", "rotation")
 
 
 # -- correlation ---------------------------------------------------------
