@@ -20,4 +20,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": f"""WITH s AS (SELECT DISTINCT table_col_id AS c, tokenized AS t FROM maco_main_tokenized WHERE tokenized <> ''),
+        n AS (SELECT c, count(*) AS n FROM s GROUP BY c HAVING count(*) >= {LEAST_VALUES}), v AS (SELECT c, t, n FROM s JOIN n USING (c)),
+        p AS (SELECT a.c AS x, b.c AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k FROM v a JOIN v b ON a.t = b.t AND a.c < b.c GROUP BY ALL)
+        SELECT x AS table_col_id_1, y AS table_col_id_2 FROM p WHERE k / (nx + ny - k) >= {THRESHOLD}"""
+}
