@@ -30,7 +30,7 @@ def canonical_text(text: Column) -> Column:
 
     Case is removed by way of upper case, and a sharp s agrees with its capitals SS.
     """
-    plain = F.lower(text).rlike("^[a-z0-9]+( [a-z0-9]+)*$")
+    plain = F.lower(text).rlike(r"\A[a-z0-9]+( [a-z0-9]+)*\z")
     return F.when(plain, F.lower(text)).otherwise(
         F.trim(F.regexp_replace(F.replace(F.lower(F.upper(text)), F.lit("\xdf"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))
     )

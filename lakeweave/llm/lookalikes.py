@@ -33,7 +33,7 @@ CYRILLIC_AS_LATIN = dict(zip("аеорсухѕіјһԁԛԝАВЕЅІЈКМНОР
 GREEK_AS_LATIN = dict(zip("οϲΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ocABEZHIKMNOPTYXC", strict=True))
 
 #: Text of which nothing can need a change: printable ASCII, tabs and line ends.
-PLAIN = r"^[\x20-\x7E\t\n\r]*$"
+PLAIN = r"\A[\x20-\x7E\t\n\r]*\z"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _SEEMS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>", "<compat>"}
 #: Show nothing although their category says otherwise.

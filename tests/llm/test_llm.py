@@ -49,6 +49,8 @@ def test_common_form_of_null(model):
 def test_out_of_form(spark, model):
     df = spark.createDataFrame([("nоnе", 1), ("none", 2), (None, 3), ("", 4), ("nоnе", 5)], "x string, common int").withColumnRenamed("common", "extra")
     assert sorted((r.extra, r.common) for r in lookalikes.out_of_form(df, "x", model).collect()) == [(1, "none"), (5, "none")]
+    end = spark.createDataFrame([("a\u2028", 1), ("a\n", 2)], "x string, extra int")
+    assert [r.extra for r in lookalikes.out_of_form(end, "x", model).collect()] == [1]
     assert lookalikes.out_of_form(df.limit(0), "x", model).count() == 0
 
 
@@ -122,6 +124,13 @@ def test_people(spark):
     assert linked(spark, [*a, *b, *rest, *a], short_forms={"Bob": ["Robert"]}) == all_pairs(a, b)
 
 
+def test_short_forms_without_a_lexicon(spark):
+    assert linked(spark, ["Frederick Tultulkonla", "Fred Tultulkonla", "Robert Tultulkonla"]) == all_pairs(["Frederick Tultulkonla", "Fred Tultulkonla"])
+    rows = [("Margaret Jelvurfalkas", "f1"), ("Maggie Jelvurfalkas", "f1"), ("Maria Jelvurfalkas", "f2"), ("Edward Jelvurfalkas", "f1")]
+    pairs = names.link_names(spark.createDataFrame(rows, "x string, e string"), "x", True, evidence="e").pairs().collect()
+    assert [(r.name_1, r.name_2) for r in pairs] == [("Maggie Jelvurfalkas", "Margaret Jelvurfalkas")]
+
+
 def test_an_initial_for_two_people_links_neither_without_evidence(spark):
     assert linked(spark, ["Alexandra Konvunen", "Anthony Konvunen", "A. Konvunen"]) == set()
 
@@ -234,10 +243,10 @@ def test_calibration_recalls_pairs_at_the_threshold():
 def test_copies(spark):
     rows = [(1, 0, 0, "Red  Fox"), (1, 0, 1, "m²"), (2, 5, 0, "M²"), (2, 5, 1, "red-fox!"), (2, 5, 1, "red-fox!"), (3, 1, 0, "redfox"), (3, 1, 1, "m²"),
             (4, 0, 0, "GROSSE"), (4, 1, 0, "große"), (5, 0, 0, None), (5, 0, 1, "--"), (5, 1, 0, ""), (6, 0, 0, "a"), (6, 0, 1, "a"), (6, 1, 0, "a"), (None, 0, 0, "a"),
-            (7, 0, 0, "x" * 40000), (7, 1, 2, "X" * 40000)]
+            (7, 0, 0, "x" * 40000), (7, 1, 2, "X" * 40000), (8, 0, 0, "end\n"), (8, 1, 0, "end")]
     cells = spark.createDataFrame(rows, "key int, n int, f int, t string")
     got = format_copies.copies(format_copies.canonical_records(cells, ["key", "n"], "f", "t")).collect()
-    assert {tuple(r) for r in got} == {(1, 0, 2), (4, 0, 2), (7, 0, 2)}
+    assert {tuple(r) for r in got} == {(1, 0, 2), (4, 0, 2), (7, 0, 2), (8, 0, 2)}
 
 
 def test_many_copies_over_many_partitions(spark):
