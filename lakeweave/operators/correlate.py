@@ -8,22 +8,15 @@ from pyspark.sql import functions as F
 from lakeweave.functions.text import categorical_value, numeric_value
 from lakeweave.operators.index import numeric_columns
 from lakeweave.operators.lookup import joinable_columns
-
-
-def average_rank(partition: list[str], value: str) -> Column:
-    """Average rank of a value within a partition; nulls are last and equal."""
-    order = Window.partitionBy(*partition).orderBy(F.col(value).asc_nulls_last())
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2
+from lakeweave.operators.ranges import average_ranks, running_totals
 
 
 def target_ranks(data: DataFrame, target: str) -> DataFrame:
-    """(input_row, t): average rank of the target over the input rows; NaN counts as null.
-
-    The input dataset is ranked as one; it is the small side of the search.
-    """
+    """(input_row, t): average rank of the target over the input rows; NaN counts as null."""
     x = F.col(target).cast("double")
-    typed = data.select("input_row", F.when(~F.isnan(x), x).alias("x"), F.lit(0).alias("one"))
-    return typed.select("input_row", average_rank(["one"], "x").alias("t"))
+    typed = data.select("input_row", F.when(~F.isnan(x), x).alias("x"))
+    ranks = average_ranks(typed, [], ["x"]).select(F.col("x").alias("__x"), F.col("rk").alias("t"))
+    return typed.join(ranks, F.col("x").eqNullSafe(F.col("__x"))).select("input_row", "t")
 
 
 def column_scores(cells: DataFrame, pairs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -48,7 +41,8 @@ def column_scores(cells: DataFrame, pairs: DataFrame, targets: DataFrame) -> Dat
     ids = ["tableid", "colid", "table_col_id", "is_numeric"]
 
     numbers = joined.where("is_numeric").withColumn("x", numeric_value(F.col("token")))
-    ranked = numbers.withColumn("e", average_rank(["table_col_id"], "x"))
+    ranks = average_ranks(numbers, ["table_col_id"], ["x"]).select(F.col("table_col_id").alias("__t"), F.col("x").alias("__x"), F.col("rk").alias("e"))
+    ranked = numbers.join(ranks, (F.col("table_col_id") == F.col("__t")) & F.col("x").eqNullSafe(F.col("__x")))
     one = ranked.groupBy(*ids, "input_row").agg(F.max_by("e", F.struct("e", "ext_row")).alias("e"))
     sums = one.join(targets, "input_row").groupBy(*ids).agg(
         F.count(F.lit(1)).alias("m"), F.sum("e").alias("se0"), F.sum(F.col("e") * F.col("e")).alias("see0"),
@@ -130,15 +124,19 @@ def pearson(df: DataFrame, x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def category_codes(df: DataFrame, column: str) -> Column:
-    """Position of a value among the sorted distinct values; -1 for null.  For datasets, not for the lake."""
-    return F.when(F.col(column).isNull(), -1).otherwise(F.dense_rank().over(Window.orderBy(F.col(column).asc_nulls_last())) - 1)
+def with_category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with text columns replaced by the position of each value among the sorted distinct ones; -1 for null."""
+    for i, c in enumerate(columns):
+        values = df.select(F.col(c).alias("__v")).where("__v IS NOT NULL").distinct().withColumn("__one", F.lit(1))
+        codes = running_totals(values, [], [F.col("__v")], "__one").select("__v", F.col("__before").cast("int").alias(f"__code{i}"))
+        df = df.join(codes, F.col(c) == F.col("__v"), "left").withColumn(c, F.coalesce(f"__code{i}", F.lit(-1))).drop("__v", f"__code{i}")
+    return df
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, corr) of all pairs of columns in one aggregation; text columns by their category codes."""
     kinds = dict(df.dtypes)
-    coded = df.select(*(category_codes(df, c).alias(c) if kinds[c] == "string" else F.col(c) for c in columns))
+    coded = with_category_codes(df.select(*columns), [c for c in columns if kinds[c] == "string"])
     names = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
     row = coded.agg(*(pearson(coded, x, y).alias(f"c{i}") for i, (x, y) in enumerate(names)))
     entries = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("corr")) for i, (x, y) in enumerate(names) for a, b in {(x, y), (y, x)}]

@@ -57,7 +57,7 @@ def wide_rows(tables: Sequence[LakeTable]) -> DataFrame:
         rows = one if rows is None else rows.unionByName(one)
     order = [F.col(f"__{k}{i}") for i in range(width) for k in "lds"] + [F.col("cells")]
     placed = running_totals(rows, ["tableid"], order, "one")
-    return placed.select("tableid", F.col("before").cast("int").alias("rowid"), "cells", "null")
+    return placed.select("tableid", F.col("__before").cast("int").alias("rowid"), "cells", "null")
 
 
 def raw_cells(tables: Sequence[LakeTable]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions.hashing import Signature, contained, row_key, xash
 from lakeweave.functions.text import clean_text, null_like_in_query
 from lakeweave.operators.index import row_signatures
+from lakeweave.operators.ranges import running_totals
 
 
 @dataclass
@@ -23,13 +24,19 @@ class JoinSearch:
     stats: DataFrame
 
 
+def numbered(data: DataFrame, order: Sequence[str]) -> DataFrame:
+    """An input dataset with ``input_row``, its row numbers from 0 in a total order."""
+    rows = data.withColumn("__one", F.lit(1))
+    placed = running_totals(rows, [], [F.col(f"`{c}`") for c in order], "__one")
+    return placed.withColumn("input_row", F.col("__before").cast("int")).select(*(F.col(f"`{c}`") for c in data.columns), "input_row")
+
+
 def prepare(data: DataFrame, query_columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(input_row, q0, q1, ..): distinct query tuples with their first row number, cleaned, without null-like values.
 
     The dataset is numbered in the given order.
     """
-    numbered = data.withColumn("input_row", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
-    first = numbered.groupBy(*(F.col(f"`{c}`").alias(f"raw{i}") for i, c in enumerate(query_columns))).agg(F.min("input_row").alias("input_row"))
+    first = numbered(data, order).groupBy(*(F.col(f"`{c}`").alias(f"raw{i}") for i, c in enumerate(query_columns))).agg(F.min("input_row").alias("input_row"))
     cleaned = first.select(
         "input_row", *(null_like_in_query(clean_text(F.col(f"raw{i}"))).alias(f"q{i}") for i in range(len(query_columns)))
     )

@@ -11,7 +11,7 @@ from lakeweave.plans.scratch import written
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: str) -> DataFrame:
-    """``df`` with ``before``, the weight of the rows that come before in the group, and ``total``, the group's weight.
+    """``df`` with ``__before``, the weight of the rows that come before in the group, and ``__total``, the group's weight.
 
     Rows are range-partitioned by group and order, so a group may spread over
     any number of ranges; each range is cumulated by itself on top of the
@@ -25,15 +25,16 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     earlier = by_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
         ranged.groupBy(*group, "__part").agg(F.sum(weight).alias("__n"))
-        .withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn("total", F.sum("__n").over(by_group))
-        .select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__part").alias("__q"), "__base", "total")
+        .withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn("__total", F.sum("__n").over(by_group))
+        .select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__part").alias("__q"), "__base", "__total")
     )
     here = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     on = F.col("__part") == F.col("__q")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = ranged.withColumn("__run", F.coalesce(F.sum(weight).over(here), F.lit(0))).join(ranges, on)
-    return joined.withColumn("before", F.col("__base") + F.col("__run")).select(*df.columns, "before", "total")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return joined.withColumn("__before", F.col("__base") + F.col("__run")).select(*kept, "__before", "__total")
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -43,4 +44,4 @@ def average_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str]) ->
     """
     counted = df.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("__w"))
     total = running_totals(counted, group, [F.col(c).asc_nulls_last() for c in order], "__w")
-    return total.select(*group, *order, (F.col("before") + (F.col("__w") + 1) / 2).alias("rk"))
+    return total.select(*group, *order, (F.col("__before") + (F.col("__w") + 1) / 2).alias("rk"))

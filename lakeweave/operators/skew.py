@@ -85,7 +85,7 @@ def key_percentiles(freq: DataFrame, ps: Sequence[float]) -> DataFrame:
     total = running_totals(known, ["key"], [F.col("value")], "weight")
     return (
         total.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps))))
-        .where(F.col("before") + F.col("weight") >= F.col("p") * F.col("total"))
+        .where(F.col("__before") + F.col("weight") >= F.col("p") * F.col("__total"))
         .groupBy("key", "p")
         .agg(F.min("value").alias("percentile"))
     )

@@ -407,7 +407,7 @@ _MULTI = f"""{_KIND}, {_S1}, {_TARGET.format(t='avg_bal')}, pairs AS (SELECT CAS
 def _multi_inputs(spark, sf_dir):
     data, order = L.dataset(spark, sf_dir, L.Q1)
     s = _search(spark, sf_dir, L.Q1, ["n_name", "r_name"])
-    targets = correlate.target_ranks(enrich.numbered(data, order), "avg_bal")
+    targets = correlate.target_ranks(joinsearch.numbered(data, order), "avg_bal")
     return L.lake(spark, sf_dir).cells, written(s.pairs, "pairs"), targets
 
 
@@ -441,7 +441,7 @@ _SINGLE = f"""{_KIND}, {_sql_query(L.Q1, ['n_name'])}, {_TARGET.format(t='avg_ba
     FROM sc WHERE corr IS NOT NULL ORDER BY rank LIMIT 10""")
 def C5_enrich_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, order = L.dataset(spark, sf_dir, L.Q1)
-    targets = correlate.target_ranks(enrich.numbered(data, order), "avg_bal")
+    targets = correlate.target_ranks(joinsearch.numbered(data, order), "avg_bal")
     cells = L.lake(spark, sf_dir).cells
     found = correlate.enrich_single(cells, joinsearch.prepare(data, ["n_name"], order), targets, 10, 6)
     return found.withColumn("corr", F.round("corr", 6))
@@ -536,7 +536,8 @@ def A19_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_mktsegment IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY c_mktsegment NULLS LAST) - 1 AS INT) END AS code FROM customer")
 def L20_category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select("c_custkey", correlate.category_codes(c, "c_mktsegment").cast("int").alias("code"))
+    coded = correlate.with_category_codes(c.select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+    return coded.withColumnRenamed("c_mktsegment", "code")
 
 
 @query(f"{CELLS} SELECT rowid, max(CASE WHEN colid = 0 THEN token END) AS n_name, max(CASE WHEN colid = 1 THEN token END) AS r_name, max(CASE WHEN colid = 2 THEN token END) AS n_nationkey FROM cells WHERE tableid = 8 GROUP BY rowid ORDER BY rowid LIMIT 5")

@@ -8,6 +8,7 @@ the lineage and survive the loss of executors.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ _own: dict[str, str] = {}
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lakeweave-")
+        folder = tempfile.mkdtemp(prefix="lakeweave-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 

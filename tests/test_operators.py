@@ -68,6 +68,13 @@ def test_join_search(spark, use_hash, stored):
     assert s.stats.first().matching_rows == 3
 
 
+def test_prepare_takes_any_column_names(spark):
+    data = spark.createDataFrame([("Ann", "x", 1), ("Ann", "x", 2), ("Bob", "y", 0)], "`Director Name` string, `a.b (c)` string, before int")
+    q = joinsearch.prepare(data, ["Director Name", "a.b (c)"], ["before"])
+    assert {(r.input_row, r.q0, r.q1) for r in q.collect()} == {(0, "bob", "y"), (1, "ann", "x")}
+    assert {(r.before, r.input_row) for r in joinsearch.numbered(data, ["before"]).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_join_search_unary_names_the_column_twice(spark):
     c = cells_of(spark, LAKE)
     q = joinsearch.prepare(spark.createDataFrame([("rome",)], "city string"), ["city"], ["city"])
