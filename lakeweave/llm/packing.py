@@ -28,11 +28,15 @@ POOL = 4096
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacity of one container."""
+    """Capacity of one container.
+
+    A loss limit below ``tokens`` also splits items that exceed it alone; the
+    default doesn't, so items are split only where they exceed the capacity.
+    """
 
     tokens: int = 2048
     segments: int = 16
-    loss: int = 2032
+    loss: int = 2048
 
 
 def split_sizes(tokens: int, loss: int, limits: Limits) -> list[tuple[int, int, int]]:

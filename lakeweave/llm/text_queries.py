@@ -15,7 +15,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container of every page, of 2,048 tokens, 16 pages and 2,032 loss-bearing tokens."""
+    """The container of every page, of 2,048 tokens (all of which may bear loss) and 16 pages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack_texts(docs, "doc_id", "text", bpe.SharedEncoder(spark)).withColumnRenamed("id", "doc_id")
 
