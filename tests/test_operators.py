@@ -265,3 +265,31 @@ def test_stream_append_is_repeatable(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("2,Cow\n")
     assert run() == {("red fox", 0), ("hen", 1), ("cow", 2)}
     assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 3
+
+
+def test_counted_ranks_against_the_state_machine(spark):
+    import random
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for c in range(12):
+        n = rng.randrange(1, 12)
+        values = [rng.randrange(n if c % 2 else 100) for _ in range(n)]
+        if c % 2 == 0:
+            values = rng.sample(range(100), n)
+        joined = [rng.choice([None, rng.randrange(6)]) for _ in range(n)]
+        order = sorted(range(n), key=lambda i: (values[i], i))
+        counter, jump, got, ranks = 1, False, False, {}
+        for k, i in enumerate(order):
+            if jump and got:
+                counter, jump, got = counter + 1, False, False
+            if joined[i] is not None:
+                ranks[joined[i]], got = counter, True
+            if k + 1 < n and values[order[k + 1]] != values[i]:
+                jump = True
+            else:
+                counter += 1
+        want |= {(str(c), r): e for r, e in ranks.items()}
+        rows += [(str(c), i, float(values[i]), joined[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "table_col_id string, ext_row int, rk double, input_row int")
+    assert {(r.table_col_id, r.input_row): r.e for r in correlate.counted_ranks(df).collect()} == want
