@@ -19,10 +19,6 @@ SEGMENTS = {64: 1, 128: 3, 256: 6, 512: 13}
 ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
-def _name(token: Column | str) -> str:
-    return token if isinstance(token, str) else token._jc.toString()
-
-
 def xash_positions(token: str, size: int = 128, rotation: bool = True, ones: int = 5) -> Column:
     """Bits set by the character hash of the column named ``token``: sorted array of int.
 

@@ -52,9 +52,8 @@ def is_numeric_token(token: Column) -> Column:
 
 def numeric_value(token: Column) -> Column:
     """The number a token stands for; null for empty tokens and nan."""
-    x = F.expr("try_cast(NULL AS double)")
     parsed = F.when(token.isin("inf", "infinity"), F.lit(float("inf"))).when(token.rlike("^[0-9]+(e[0-9]+)?$"), token.cast("double"))
-    return F.when(token.isNull() | token.isin("", "nan"), x).otherwise(parsed)
+    return F.when(~token.isin("", "nan"), parsed)
 
 
 def categorical_value(token: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions import hashing
@@ -37,7 +37,7 @@ DISTINCT = "SELECT DISTINCT token FROM cells"
 CLEAN = L.sql_clean
 
 
-def text_of(cols: str) -> F:
+def text_of(cols: str) -> Column:
     return F.array_join(F.transform(cols, lambda c: c.cast("string")), "_")
 
 
