@@ -643,13 +643,10 @@ def S18_index_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = LakeCatalog(spark, f"{folder}-index")
     catalog.add_folder(f"{folder}", recursive=True)
     catalog.pending = [p for p in catalog.pending if "/part-" in p and (".csv" in p or ".parquet" in p or ".txt" in p or ".json" in p) and "/." not in p]
-    # JSON lines are read as documents only if they are one record; write them as Parquet again
-    supplier = f"{folder}/again"
-    spark.read.json(f"{folder}/supplier").coalesce(1).write.parquet(supplier)
     catalog.pending = [p for p in catalog.pending if "/supplier/" not in p]
     first = catalog.update()
-    catalog.add_folder(supplier)
-    catalog.pending = [p for p in catalog.pending if p.endswith(".parquet")]
+    catalog.add_folder(f"{folder}/supplier")  # JSON lines
+    catalog.pending = [p for p in catalog.pending if p.endswith(".json")]
     second = catalog.update()
     n = catalog.table("cells").count()
     row = (len(first.inserted) + len(second.inserted), len(first.file_errors), len(first.data_errors), catalog.next_id(), n)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,49 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="\t", inferSchema=True, multiLine=True, escape='"')
 
 
+def _several_values(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file holds more than one value, as JSON lines do; an error if its first value isn't JSON.
+
+    Values are skipped by the driver's JVM: of lines the first one, of a document all, which one task reads anyhow.
+    """
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        parser = jvm.com.fasterxml.jackson.core.JsonFactory().createParser(stream)
+        for also in ("ALLOW_SINGLE_QUOTES", "ALLOW_NON_NUMERIC_NUMBERS"):  # as Spark's reader does
+            parser.enable(getattr(jvm.com.fasterxml.jackson.core.JsonParser.Feature, also))
+        parser.nextToken()
+        parser.skipChildren()
+        return parser.nextToken() is not None
+    finally:
+        stream.close()
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, one record per line; ValueError if a line isn't exactly one value, of which Spark would read the first only."""
+
+    @F.pandas_udf("boolean")
+    def one_value(lines: pd.Series) -> pd.Series:
+        def good(line: str) -> bool:
+            try:
+                json.loads(line)
+            except ValueError:
+                return False
+            return True
+
+        return lines.map(good).astype(bool)
+
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if not lines.where(~one_value("value")).isEmpty():
+        raise ValueError(f"not one JSON value per line: {path}")
+    return spark.read.json(path, mode="FAILFAST")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON document: an array of records, or one object of columns (arrays of equal length, or row label -> value)."""
+    """JSON lines, or a document: an array of records, or one object of columns (arrays of equal length, or row label -> value)."""
+    if _several_values(spark, path):
+        return read_json_lines(spark, path)
     df = spark.read.json(path, multiLine=True)
     kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
     if kinds and all(k == "array" for k in kinds.values()) and df.count() == 1:

@@ -181,6 +181,29 @@ def test_json_shapes(spark, tmp_path):
     assert [tuple(r) for r in readers.read_json(spark, str(tmp_path / "c.json")).select("x", "y").collect()] == [("1", "p"), ("2", "q")]
 
 
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1, "y": "p"}\n\n{"x": 2}\n{"x": 3, "y": "q"}\n')
+    assert sorted(tuple(r) for r in readers.read_json(spark, str(tmp_path / "a.json")).select("x", "y").collect()) == [(1, "p"), (2, None), (3, "q")]
+    (tmp_path / "n.json").write_text("[{'x': 1.5}, {'x': NaN}]")
+    assert readers.read_json(spark, str(tmp_path / "n.json")).count() == 2
+    # several values that aren't one per line are an error, not their first value
+    (tmp_path / "b.json").write_text('{"x": 1} {"x": 2}\n{"x": 3}\n')
+    (tmp_path / "c.json").write_text('{\n"x": 1\n}\n{\n"x": 2\n}\n')
+    report = readers.IndexReport()
+    for name in ("b", "c"):
+        assert readers.read_any(spark, str(tmp_path / f"{name}.json"), report) is None
+    assert len(report.data_errors) == 2
+
+
+def test_json_lines_are_indexed_whole(spark, tmp_path):
+    (tmp_path / "lake").mkdir()
+    (tmp_path / "lake" / "a.json").write_text("".join(f'{{"k": "v{i}"}}\n' for i in range(3)))
+    cat = LakeCatalog(spark, str(tmp_path / "index"))
+    cat.add_folder(str(tmp_path / "lake"))
+    assert len(cat.update().inserted) == 1
+    assert {r.token for r in cat.table("cells").collect()} == {"v0", "v1", "v2"}
+
+
 def test_arff(spark, tmp_path):
     (tmp_path / "a.arff").write_text("% c\n@relation r\n@attribute n numeric\n@attribute 's t' {u,v}\n@data\n1.5,u\n?,'v, w'\n")
     assert [tuple(r) for r in readers.read_arff(spark, str(tmp_path / "a.arff")).collect()] == [(1.5, "u"), (None, "v, w")]
