@@ -5,8 +5,8 @@
 2. A symmetric-delete neighbourhood index on the tokens of all names finds
    tokens at a small edit distance: two tokens are neighbours only if deleting
    a few letters of each can leave the same rest.
-3. Names that share a rare token, or hold neighbouring rare tokens, are
-   aligned: tokens are assigned to each other at the lowest total cost, edits,
+3. Names that share a rare token, or hold neighbouring rare tokens, or meet
+   in frequent and short tokens (as written or corrected), are aligned: tokens are assigned to each other at the lowest total cost, edits,
    short forms, initials and abbreviations being allowed.
 4. Links of full names make groups; two edits in one token, and given names
    that no lexicon links, count only where the names share evidence (a film).  A name with a short form or an initial
@@ -264,6 +264,48 @@ def title_link(a: list[str], b: list[str], lexicon: Lexicon) -> str | None:
     return None if sum(typed) > 3 else "far" if max(typed, default=0) > 1 else "full"
 
 
+def person_keys(tokens: list[str], forms: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
+    """(key, side) at which a person's name meets others without a rare token in both.
+
+    ``forms``: the frequent and short tokens that a token is or may be misspelled
+    from.  One of them makes a key together with what another token may stand
+    for.  Two names of side 1 don't meet.
+    """
+    found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 6 else set()
+    for i, t in enumerate(tokens):
+        heads = {("", 0)} if sum(len(o) > 1 for o in tokens) == 1 else set()
+        for o in tokens[:i] + tokens[i + 1 :]:
+            if len(o) == 1:
+                heads.add((f"1 {o}", 0))
+                continue
+            heads |= {(f"1 {f[0]}", 1) for f in (o, *lexicon.forms(o))}
+            heads |= {(f"f {f}", 0) for f in (o, *forms.get(o, ()), *lexicon.forms(o))}
+            if len(o) > 2:
+                heads |= {(f"p {o[:3]}", 0)} if len(o) < 6 else {(f"p {o[:3]}", 1)}
+        found |= {(f"{u} {k}", side) for u in forms.get(t, ()) if len(u) > 2 for k, side in heads}
+    return found
+
+
+def title_keys(tokens: list[str], forms: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
+    """(key, side) at which a title meets others without a rare token in both; sides and ``forms`` as for :func:`person_keys`.
+
+    A key is the whole title in frequent and short tokens, of which up to three
+    are corrections (titles with more edits aren't linked), one token being
+    left open where an abbreviation may stand for it.
+    """
+    found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 8 else set()
+    for at in range(-1, len(tokens)):
+        lists = [(0, ())]
+        for i, t in enumerate(tokens):
+            if i == at:
+                lists = [(n, (*w, t[0] + "*")) for n, w in lists]
+            else:
+                lists = [(n + (u != t), (*w, u)) for n, w in lists for u in forms.get(t, ()) if n + (u != t) <= 3]
+        side = 0 if at < 0 or tokens[at].endswith(".") else 1
+        found |= {("t " + " ".join(sorted(w)), side) for _, w in lists}
+    return found
+
+
 # -- over tables ---------------------------------------------------------
 
 
@@ -394,8 +436,12 @@ def link_names(
 def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, often: list[str], person: bool) -> DataFrame:
     """(a, b, kind): all links between normalised names; a stands for b where the kind is 'short' or 'initial'."""
     usable = (F.length("token") > 3) & ~F.col("token").rlike("^[0-9]+$")
-    rare = tokens.where(usable & ~F.col("token").isin(often)) if often else tokens.where(usable)
-    near = neighbours(rare.select(F.col("token").alias("t")).distinct())
+    is_rare = usable & ~F.col("token").isin(often) if often else usable
+    rare = tokens.where(is_rare)
+    words = tokens.where(~F.col("token").rlike("^[0-9]+$")).select("token").distinct()
+    near_all = written(neighbours(words.select(F.col("token").alias("t"))), "neighbours")
+    of_rare = words.where(is_rare)
+    near = near_all.join(of_rare.select(F.col("token").alias("t")), "t", "left_semi").join(of_rare.select(F.col("token").alias("u")), "u", "left_semi")
     # what must agree anyhow: a title's numbers
     sign = F.lit("") if person else F.regexp_replace("key", "[^0-9]+", " ")
     left = rare.select(F.col("key").alias("a"), F.trim(sign).alias("s"), F.col("token").alias("t"))
@@ -414,9 +460,32 @@ def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, often: list[st
 
     one = plain.select(F.col("key").alias("a"), F.explode(keys("tokens")).alias("k"))
     by_initial = one.join(one.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
+    # a rare token on one side only: names meet in the frequent and short tokens that theirs are or may be misspelled from
+    common = words.where(~is_rare).select(F.col("token").alias("u"))
+    held = tokens.join(near_all.join(common, "u", "left_semi"), F.col("token") == F.col("t")).groupBy("key").agg(F.collect_list(F.struct("t", "u")).alias("held"))
+    of_common = person_keys if person else title_keys
+
+    @F.pandas_udf("array<struct<k: string, side: int>>")
+    def common_keys(lists: pd.Series, held: pd.Series) -> pd.Series:
+        def of(t: list[str], pairs: list[dict] | None) -> list[dict]:
+            forms: dict[str, set[str]] = {w: {w} for w in t if w.isdigit()}
+            for p in [] if pairs is None else pairs:
+                if p["t"] == p["u"] or not (p["t"] in lexicon.established and p["u"] in lexicon.established):
+                    forms.setdefault(p["t"], set()).add(p["u"])
+            return [{"k": k, "side": s} for k, s in sorted(of_common(t, forms, lexicon))]
+
+        return pd.Series([of(list(t), p) for t, p in zip(lists, held, strict=True)], dtype=object)
+
+    placed = written(
+        keyed.join(held, "key", "left").withColumn("s", F.explode(common_keys("tokens", "held")))
+        .select(F.col("key").alias("a"), "s.k", "s.side"), "keys",
+    )
+    by_common = (
+        placed.join(placed.withColumnsRenamed({"a": "b", "side": "other"}), "k").where("a < b AND NOT (side = 1 AND other = 1)").select("a", "b").distinct()
+    )
     text = keyed.select("key", F.concat_ws(" ", "tokens").alias("x"))
     candidates = (
-        by_token.unionByName(by_initial).distinct()
+        by_token.unionByName(by_initial).unionByName(by_common).distinct()
         .join(text.select(F.col("key").alias("a"), F.col("x").alias("ta")), "a")
         .join(text.select(F.col("key").alias("b"), F.col("x").alias("tb")), "b")
     )

@@ -149,6 +149,19 @@ def test_titles(spark):
     assert linked(spark, [*a, *b, *c, *d, "untitled", "Beyond Helkewodal"], person=False) == all_pairs(a, b, c, d)
 
 
+def test_rare_token_on_one_side_only(spark):
+    pairs = [["Spike Lee", "S. Lee"], ["Ang Wu", "Anng Wu"], ["Robert Fox", "Bob Fox"]]
+    assert linked(spark, [x for p in pairs for x in p], short_forms={"Bob": ["Robert"]}) == all_pairs(*pairs)
+    # John and Smith in enough names to be frequent
+    filler = [f"John {a}{b}{a}{b}{a}{b}ov" for a in "bdfgk" for b in "lmnrs"] + [f"{a}{b}{b}{a}{a}{b}us Smith" for a in "bdfgk" for b in "lmnrs"]
+    assert frozenset(("John Smith", "Jhon Smith")) in linked(spark, [*filler, "John Smith", "Jhon Smith"])
+
+
+def test_titles_of_short_and_of_split_words(spark):
+    pairs = [["Big Sky", "Bigg Sky"], ["No Where Man", "Nowhere Man"], ["Capt. Sky", "Captain Sky"]]
+    assert linked(spark, [x for p in pairs for x in p], person=False) == all_pairs(*pairs)
+
+
 def test_no_names(spark):
     assert linked(spark, []) == set()
     assert linked(spark, [None, "", "N/A"]) == set()
