@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,14 +157,24 @@ def decode_order_index(index: DataFrame) -> DataFrame:
 
 
 def order_ranks(index: DataFrame) -> DataFrame:
-    """(table_col_id, rowid, rk): ranks told from an order index, by walking its list in a fold."""
-    walk = F.expr("""aggregate(sequence(1, size(order_list)),
-        named_struct('at', min_index, 'r', 1, 'out', cast(array() as array<struct<rowid:int,dense:int>>)),
-        (s, i) -> named_struct('at', order_list[s.at],
-            'r', s.r + cast(substring(binary_list, s.at + 1, 1) as int),
-            'out', concat(s.out, array(named_struct('rowid', s.at, 'dense', s.r)))),
-        s -> s.out)""")
-    dense = index.select("table_col_id", F.explode(walk).alias("s")).select("table_col_id", "s.rowid", "s.dense")
-    order = Window.partitionBy("table_col_id").orderBy("dense")
-    ties = Window.partitionBy("table_col_id", "dense")
-    return dense.select("table_col_id", "rowid", (F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2).alias("rk"))
+    """(table_col_id, rowid, rk): average ranks told from an order index, by walking its list once.
+
+    A list has its whole column in one row, so a column must fit in one task here as there.
+    """
+
+    @F.pandas_udf("array<double>")
+    def ranks(first: pd.Series, order: pd.Series, flags: pd.Series) -> pd.Series:
+        def walk(at: int, following: np.ndarray, differs: str) -> np.ndarray:
+            after, step = following.tolist(), [f == "1" for f in differs]
+            dense, r = np.zeros(len(after), dtype=np.int64), 0
+            for _ in after:
+                dense[at] = r
+                r += step[at]
+                at = after[at]
+            n = np.bincount(dense)
+            return (np.cumsum(n) - n + (n + 1) / 2)[dense]
+
+        return pd.Series([walk(*x) for x in zip(first, order, flags, strict=True)], dtype=object)
+
+    found = index.select("table_col_id", ranks("min_index", "order_list", "binary_list").alias("l"))
+    return found.select("table_col_id", F.posexplode("l").alias("rowid", "rk"))

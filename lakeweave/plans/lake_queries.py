@@ -94,10 +94,12 @@ _SMALL = "SELECT DISTINCT token FROM cells WHERE tableid IN (1, 2, 3)"
 _VARIANTS = [(s, r) for s in (64, 128, 256, 512) for r in (True, False)]
 
 
-@query(f"{CELLS}, {', '.join(L.sql_xash(_SMALL, s, r, name=f'x{s}{int(r)}') for s, r in _VARIANTS)} "
-       + " UNION ALL ".join(f"SELECT CAST({s} AS INT) AS hash_size, {str(r).lower()} AS rotation, token, {L.sql_bits('ps', s)} AS bits FROM x{s}{int(r)}" for s, r in _VARIANTS))
-def H1_xash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = L.lake(spark, sf_dir).cells.where("tableid IN (1, 2, 3)").select("token").distinct()
+def _sql_xash_variants(tokens: str) -> str:
+    return (f"{CELLS}, {', '.join(L.sql_xash(tokens, s, r, name=f'x{s}{int(r)}') for s, r in _VARIANTS)} "
+            + " UNION ALL ".join(f"SELECT CAST({s} AS INT) AS hash_size, {str(r).lower()} AS rotation, token, {L.sql_bits('ps', s)} AS bits FROM x{s}{int(r)}" for s, r in _VARIANTS))
+
+
+def _xash_variants(tokens: DataFrame) -> DataFrame:
     out = None
     for size, rotation in _VARIANTS:
         words = hashing.xash(size, rotation).words("token")
@@ -106,6 +108,17 @@ def H1_xash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(_sql_xash_variants(_SMALL))
+def H1_xash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _xash_variants(L.lake(spark, sf_dir).cells.where("tableid IN (1, 2, 3)").select("token").distinct())
+
+
+@query(_sql_xash_variants(DISTINCT))
+def H1_xash_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the tokens of every table."""
+    return _xash_variants(L.lake(spark, sf_dir).cells.select("token").distinct())
+
+
 _KEYS = f"""{L.sql_xash(DISTINCT)},
     rk AS MATERIALIZED (SELECT tableid, rowid, list(DISTINCT p) AS ps FROM (SELECT tableid, rowid, unnest(ps) AS p FROM cells JOIN xash USING (token)) GROUP BY ALL)"""
 
@@ -121,16 +134,29 @@ def L4_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("token", hashing.bit_string(hashing.md5_words(F.col("token")), 128).alias("bits"))
 
 
-@query(f"""{CELLS}, t AS (SELECT token, regexp_replace(lower(token), '[^a-z0-9_]+', '', 'g') AS s FROM ({_SMALL})),
+def _sql_simhash(tokens: str) -> str:
+    return f"""{CELLS}, t AS (SELECT token, regexp_replace(lower(token), '[^a-z0-9_]+', '', 'g') AS s FROM ({tokens})),
     sh AS (SELECT token, md5(substr(s, CAST(i AS INT), 3)) AS h FROM (SELECT token, s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM t)),
     b AS (SELECT token, bit, sum((strpos('0123456789abcdef', substr(h, CAST(32 - bit // 4 AS INT), 1)) - 1) >> (bit % 4) & 1) AS ones, count(*) AS n
         FROM sh, (SELECT unnest(range(128)) AS bit) GROUP BY token, bit)
-    SELECT token, array_to_string(list(bit ORDER BY bit) FILTER (2 * ones > n), ',') AS bits FROM b GROUP BY token""")
-def L5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = L.lake(spark, sf_dir).cells.where("tableid IN (1, 2, 3)").select("token").distinct()
+    SELECT token, array_to_string(list(bit ORDER BY bit) FILTER (2 * ones > n), ',') AS bits FROM b GROUP BY token"""
+
+
+def _simhash(tokens: DataFrame) -> DataFrame:
     return tokens.select("token", F.array_join(hashing.simhash_positions("token").cast("array<string>"), ",").alias("bits"))
 
 
+@query(_sql_simhash(_SMALL))
+def L5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash(L.lake(spark, sf_dir).cells.where("tableid IN (1, 2, 3)").select("token").distinct())
+
+
+@query(_sql_simhash(DISTINCT))
+def L5_simhash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the tokens of every table."""
+    return _simhash(L.lake(spark, sf_dir).cells.select("token").distinct())
+
+
 def _sql_bloom(token: str, size: int, hashes: int) -> str:
     return f"list_distinct([CAST(('0x' || substr(md5(s || ':' || {token}), 1, 8))::BIGINT % {size} AS INT) FOR s IN {list(map(str, range(hashes)))}])"
 
@@ -237,6 +263,12 @@ def W6_ranks_from_order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.order_ranks(index.order_index(cells))
 
 
+@query(f"{_ROWS_ONLY} SELECT table_col_id, rowid, CAST(rk AS DOUBLE) AS rk FROM rk0")
+def W6_ranks_from_order_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks told from the stored order of every table's columns."""
+    return index.order_ranks(index.order_index(L.lake(spark, sf_dir).cells))
+
+
 @query(f"{_ORDER} SELECT * FROM oi WHERE table_col_id IN ('9_1', '9_3')")
 def F8_order_index_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch of two columns' orders, stored in the text encoding and decoded again."""
