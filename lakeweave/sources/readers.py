@@ -32,12 +32,12 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> list[
     return sorted(out)
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
+def _head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFF_BYTES)))
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
     finally:
         stream.close()
 
@@ -141,22 +141,50 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 _ATTRIBUTE = re.compile(r"^\s*@attribute\s+('(?:[^'\\]|\\.)*'|\"[^\"]*\"|\S+)\s+(.+?)\s*$", re.I)
 
 
+def _arff_header(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """(lines up to @data, bytes of the file's start that hold them); ValueError if there is no @data."""
+    size = SNIFF_BYTES
+    while True:
+        head = _head(spark, path, size)
+        whole = len(head) < size
+        lines = head.splitlines() if whole else head.splitlines()[:-1]  # the last one may be cut
+        for i, line in enumerate(lines):
+            if line.strip().lower().startswith(b"@data"):
+                return [x.decode("utf-8", "replace") for x in lines[: i + 1]], size
+        if whole:
+            raise ValueError(f"no @data in {path}")
+        size *= 2
+
+
+def _after(spark: SparkSession, path: str, count: int, size: int) -> DataFrame:
+    """(value): the lines of a file after its first ``count``, which begin in its first ``size`` bytes.
+
+    Lines are numbered within the file's blocks as they are read; only of the
+    blocks that may hold the first lines the starts and lengths are collected.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    kept = F.lit(True)
+    blocks = lines.groupBy("block").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("block") < size).collect()
+    for b in sorted(blocks):
+        kept = kept & ((F.col("block") != b.block) | (F.col("at") >= b.start + min(count, b.n)))
+        count -= min(count, b.n)
+    return lines.where(kept).select("value")
+
+
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """ARFF file: numeric attributes as doubles, all others as strings; ? is null.
 
-    The header is read on the driver; the data rows are parsed by the cluster.
+    The header is read on the driver, whatever its length; the data rows are
+    parsed by the cluster.  Comments and blank lines are no rows.
     """
+    header, size = _arff_header(spark, path)
     names, kinds = [], []
-    for line in _head(spark, path).decode("utf-8", "replace").splitlines():
-        if line.strip().lower().startswith("@data"):
-            break
+    for line in header:
         m = _ATTRIBUTE.match(line)
         if m:
             names.append(m[1].strip("'\""))
             kinds.append("double" if m[2].lower().split()[0] in ("numeric", "real", "integer") else "string")
-    lines = spark.read.text(path).where(
-        (F.trim("value") != "") & ~F.trim("value").rlike("^[%@]")
-    )
+    lines = _after(spark, path, len(header), size).where((F.trim("value") != "") & ~F.trim("value").startswith("%"))
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     quote = F.when(F.col("value").contains("'") & ~F.col("value").contains('"'), F.translate("value", "'", '"')).otherwise(F.col("value"))
     parsed = lines.select(F.from_csv(quote, schema, {"sep": ",", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))

@@ -235,6 +235,24 @@ def test_arff(spark, tmp_path):
     assert [tuple(r) for r in readers.read_arff(spark, str(tmp_path / "a.arff")).collect()] == [(1.5, "u"), (None, "v, w")]
 
 
+def test_arff_with_a_long_header(spark, tmp_path):
+    long = ",".join(f"v{i}" for i in range(20_000))
+    head = "% c\n" * 5000 + f"@relation r\n@attribute a numeric\n@attribute b {{{long}}}\n@attribute c string\n@attribute d real\n@DATA\n"
+    rows = [(float(i), f"v{i}", "@x" if i % 2 else "y", i / 4) for i in range(2000)]
+    (tmp_path / "a.arff").write_text(head + "% no row\n\n" + "".join(f"{a:g},{b},{c},{d}\n" for a, b, c, d in rows))
+    (tmp_path / "b.arff").write_text("@relation r\n@attribute 'a' string\n@data\n@home\n@data\n% no row\nx\n")
+    (tmp_path / "c.arff").write_text("@relation r\n@attribute a string\nx\n")
+    for most in ("128m", "20000"):  # in one block, and the header over several
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            assert sorted(tuple(r) for r in readers.read_arff(spark, str(tmp_path / "a.arff")).collect()) == rows
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.a for r in readers.read_arff(spark, str(tmp_path / "b.arff")).collect()] == ["@home", "@data", "x"]
+    with pytest.raises(ValueError):
+        readers.read_arff(spark, str(tmp_path / "c.arff"))
+
+
 def test_catalog_appends(spark, tmp_path):
     lake = tmp_path / "lake"
     (lake / "sub").mkdir(parents=True)
