@@ -105,7 +105,13 @@ def title_tokens(title: str | None) -> list[str] | None:
 
 
 def allowed_edits(length: int) -> int:
-    return 0 if length < 4 else 1 if length < 9 else 2
+    """The most edits that a token of this length may have, and so the letters to delete of it."""
+    return 0 if length < 4 else 1 if length < 5 else 2
+
+
+def most_edits(a: str, b: str) -> int:
+    """Edits at which two tokens may stand for each other."""
+    return 2 if min(len(a), len(b)) > 4 else 1 if max(len(a), len(b)) > 3 else 0
 
 
 def deletes(token: str, depth: int) -> set[str]:
@@ -186,7 +192,7 @@ def token_match(a: str, b: str, lexicon: Lexicon, person: bool) -> tuple[float,
         a, b = a.rstrip("."), b.rstrip(".")
     if a in lexicon.established and b in lexicon.established:
         return None
-    most = 2 if min(len(a), len(b)) > 4 else 1 if max(len(a), len(b)) > 3 else 0
+    most = most_edits(a, b)
     n = edits(a, b, most)
     return (float(n), EDIT if n else SAME) if n <= most else None
 
@@ -366,7 +372,7 @@ def neighbours(tokens: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(t: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([edits(a, b, m) <= m for a, b in zip(t, u, strict=True) for m in (allowed_edits(max(len(a), len(b))),)], dtype=bool)
+        return pd.Series([edits(a, b, m) <= m for a, b in zip(t, u, strict=True) for m in (most_edits(a, b),)], dtype=bool)
 
     index = tokens.select("t", F.explode(rest("t")).alias("d"))
     other = index.withColumnRenamed("t", "u")

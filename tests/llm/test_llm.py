@@ -157,6 +157,16 @@ def test_rare_token_on_one_side_only(spark):
     assert frozenset(("John Smith", "Jhon Smith")) in linked(spark, [*filler, "John Smith", "Jhon Smith"])
 
 
+def test_two_edits_in_a_short_surname(spark):
+    df = spark.createDataFrame([("Bo Marten", "f1"), ("Bo Mratex", "f1"), ("Bo Mertin", "f2")], "x string, e string")
+    pairs = names.link_names(df, "x", True, evidence="e").pairs().collect()
+    assert [(r.name_1, r.name_2) for r in pairs] == [("Bo Marten", "Bo Mratex")]
+    words = ["marten", "mratex", "ang", "anng", "smith", "smth", "smyht", "abcd", "abdc", "abxy"]
+    near = names.neighbours(spark.createDataFrame([(w,) for w in words], "t string")).collect()
+    want = {(a, b) for a in words for b in words if names.edits(a, b, names.most_edits(a, b)) <= names.most_edits(a, b)}
+    assert {(r.t, r.u) for r in near} == want
+
+
 def test_titles_of_short_and_of_split_words(spark):
     pairs = [["Big Sky", "Bigg Sky"], ["No Where Man", "Nowhere Man"], ["Capt. Sky", "Captain Sky"]]
     assert linked(spark, [x for p in pairs for x in p], person=False) == all_pairs(*pairs)
