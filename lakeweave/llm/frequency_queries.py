@@ -9,6 +9,8 @@ from lakeweave.llm import suffixes
 
 #: Share of the tables from which a term is common.
 COMMON = 0.05
+#: Longest runs of header words that are counted.
+HEADER_WORDS = 6
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +35,13 @@ def _cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.interval_counts(_cells(spark, sf_dir), ["tokenized"], "tableid", ["colid", "rowid"])
 
 
-def _header_counts(spark: SparkSession, sf_dir: str, max_n: int = 1) -> DataFrame:
-    return suffixes.ngram_counts(_headers(spark, sf_dir), "words", "tableid", ["colid", "header"], max_n)
+def _header_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of header words of every length, from one array."""
+    return suffixes.ngram_counts(_headers(spark, sf_dir), "words", "tableid", ["colid", "header"], HEADER_WORDS)
+
+
+def _header_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _header_counts(spark, sf_dir).where("n = 1")
 
 
 def _n_tables(df: DataFrame) -> int:
@@ -44,7 +51,7 @@ def _n_tables(df: DataFrame) -> int:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and header words that occur once, or in at least 5 % of the tables."""
     return _marks(_cell_counts(spark, sf_dir), "cell", _n_tables(_cells(spark, sf_dir))).unionByName(
-        _marks(_header_counts(spark, sf_dir), "header", _n_tables(_headers(spark, sf_dir)))
+        _marks(_header_words(spark, sf_dir), "header", _n_tables(_headers(spark, sf_dir)))
     )
 
 
@@ -53,12 +60,12 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(src: str, counts: DataFrame) -> DataFrame:
         return counts.select(F.lit(src).alias("src"), F.col("term")[0].alias("term"), "n_occurrences", "n_records")
 
-    return of("cell", _cell_counts(spark, sf_dir)).unionByName(of("header", _header_counts(spark, sf_dir)))
+    return of("cell", _cell_counts(spark, sf_dir)).unionByName(of("header", _header_words(spark, sf_dir)))
 
 
 def p2_header_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences and tables of every run of up to three header words."""
-    return _header_counts(spark, sf_dir, 3).select("n", F.array_join("term", " ").alias("term"), "n_occurrences", "n_records")
+    """Occurrences and tables of every run of up to six header words."""
+    return _header_counts(spark, sf_dir).select("n", F.array_join("term", " ").alias("term"), "n_occurrences", "n_records")
 
 
 QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_header_ngrams": p2_header_ngrams}
@@ -77,6 +84,6 @@ ORACLES = {
     "p2_counts": f"{_BASE} SELECT src, term, n_occurrences, n_records FROM f",
     "p2_header_ngrams": f"""{_BASE}, g AS (SELECT tableid, w, unnest(range(1, len(w) + 1)) AS i FROM h0),
         n AS (SELECT tableid, k AS n, array_to_string(w[i : i + k - 1], ' ') AS term
-            FROM g, (VALUES (1), (2), (3)) AS v(k) WHERE i + k - 1 <= len(w))
-        SELECT n, term, count(*) AS n_occurrences, count(DISTINCT tableid) AS n_records FROM n GROUP BY ALL""",
+            FROM g, (SELECT unnest(range(1, {HEADER_WORDS + 1})) AS k) AS v WHERE i + k - 1 <= len(w))
+        SELECT CAST(n AS INT) AS n, term, count(*) AS n_occurrences, count(DISTINCT tableid) AS n_records FROM n GROUP BY ALL""",
 }

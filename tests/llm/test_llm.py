@@ -75,18 +75,18 @@ def brute_ngrams(records, n):
     return {g: (k, len(rec[g])) for g, k in occ.items()}
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_ngrams_against_brute_force(spark, parts):
+@pytest.mark.parametrize("parts, held", [(1, 500_000), (7, 500_000), (7, 3)])
+def test_ngrams_against_brute_force(spark, parts, held):
     rng = random.Random(parts)
     records = [(rng.choice("abc") if rng.random() < 0.9 else None, i, [rng.choice(["x", "y", "z", ""]) for _ in range(rng.randrange(6))]) for i in range(120)]
     records += records[:10] + [("a", 999, None)]
     df = spark.createDataFrame(records, "rec string, p0 int, t0 array<string>")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        got = {(r.n, tuple(r.term)): (r.n_occurrences, r.n_records) for r in suffixes.ngram_counts(df, "t0", "rec", ["p0"], 3).collect()}
+        got = {(r.n, tuple(r.term)): (r.n_occurrences, r.n_records) for r in suffixes.ngram_counts(df, "t0", "rec", ["p0"], 5, held).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert got == {(n, g): v for n in (1, 2, 3) for g, v in brute_ngrams(records, n).items()}
+    assert got == {(n, g): v for n in (1, 2, 3, 4, 5) for g, v in brute_ngrams(records, n).items()}
 
 
 def test_one_term_over_many_partitions(spark):
@@ -105,6 +105,14 @@ def test_intervals_of_nothing(spark):
     assert suffixes.interval_counts(spark.createDataFrame([], "t string, r int, p int"), ["t"], "r", ["p"]).count() == 0
 
 
+def test_common_prefixes_of_neighbours():
+    import pyarrow as pa
+
+    rows = sorted([("a", None, None), ("a", "b", None), ("a", "b", "c"), ("a", "b", "c"), ("a", "b", "d"), ("b", "b", "c")], key=lambda r: [x or "" for x in r])
+    common, length = suffixes.common_prefixes([pa.array(c, pa.string()) for c in zip(*rows, strict=True)])
+    assert common.tolist() == [0, 1, 2, 3, 2, 0] and length.tolist() == [1, 2, 3, 3, 3, 3]
+
+
 # -- 3: names ------------------------------------------------------------
 
 
