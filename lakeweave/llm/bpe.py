@@ -92,6 +92,9 @@ class ByteBPE:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)  # bytes of each token
+        for t, n in ranks.items():
+            self.lengths[n] = len(t)
         self.pairs = PairTable(*(np.array(x, np.int32) for x in zip(*triples, strict=True)))
         self.split = regex.compile(pattern).findall
         self._reset()

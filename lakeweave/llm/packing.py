@@ -28,31 +28,57 @@ POOL = 4096
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacity of one container.
+    """Capacity of one container, all at once; each is at least 1.
 
-    A loss limit below ``tokens`` also splits items that exceed it alone; the
-    default doesn't, so items are split only where they exceed the capacity.
+    An item of more than ``tokens`` tokens is split, into pieces within all
+    limits.  Any other stays whole: if its loss-bearing tokens alone are more
+    than ``loss``, it has a container without any other loss-bearing item.
     """
 
     tokens: int = 2048
     segments: int = 16
-    loss: int = 2048
+    loss: int = 1536
 
 
-def split_sizes(tokens: int, loss: int, limits: Limits) -> list[tuple[int, int, int]]:
-    """(start, tokens, loss) of the pieces of an item: one, unless the item alone exceeds a limit.
+def pieces(bears: np.ndarray, limits: Limits) -> list[tuple[int, int, int]]:
+    """(start, tokens, loss-bearing tokens) of the pieces of an item, given which of its tokens bear loss: one, unless the item alone exceeds the tokens of a container."""
+    n = len(bears)
+    if n <= limits.tokens:
+        return [(0, n, int(bears.sum()))]
+    borne = np.concatenate([[0], np.cumsum(bears)])
+    out, at = [], 0
+    while at < n:
+        end = min(n, at + limits.tokens, int(np.searchsorted(borne, borne[at] + limits.loss, "right")) - 1)
+        out.append((at, end - at, int(borne[end] - borne[at])))
+        at = end
+    return out
 
-    The loss-bearing tokens of an item are its last ones.
+
+def loss_bearing(texts: list[str | None], lines: list[list[bool | None] | None] | None, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of the tokens ``flat`` of several texts (which begin at ``at``) bear loss.
+
+    ``lines`` tells it for each line of each text; lines that it doesn't tell
+    of bear none.  Without it all lines but a text's first do.  A token that
+    reaches over a line end is of the line that it begins in.
     """
-    if tokens <= limits.tokens and loss <= limits.loss:
-        return [(0, tokens, loss)]
-    pieces, at, free = [], 0, tokens - loss
-    while at < tokens:
-        quiet = max(0, free - at)
-        n = min(tokens - at, limits.tokens, quiet + limits.loss)
-        pieces.append((at, n, n - min(n, quiet)))
-        at += n
-    return pieces
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    ends = np.flatnonzero(np.frombuffer(b"".join(raw), np.uint8) == 10)
+    size = lengths[flat]
+    starts = np.cumsum(size) - size
+    first = np.cumsum([0, *map(len, raw)])[:-1]
+    # one place for every line of every text, in order: a text has one more than line ends
+    line = np.searchsorted(ends, starts) + np.repeat(np.arange(len(texts)), np.diff(at))
+    begin = np.searchsorted(ends, first) + np.arange(len(texts))
+    if lines is None:
+        bears = np.ones(len(ends) + len(texts), bool)
+        bears[begin] = False
+    else:
+        bears = np.zeros(len(ends) + len(texts), bool)
+        for k, told, end in zip(begin.tolist(), lines, [*begin[1:].tolist(), len(bears)], strict=True):
+            if told:
+                own = told[: end - k]
+                bears[k : k + len(own)] = [x is True for x in own]
+    return bears[line]
 
 
 class Packer:
@@ -108,19 +134,23 @@ class Packer:
 
 
 def pack_texts(
-    df: DataFrame, id_col: str, text_col: str, encoder: SharedEncoder, limits: Limits = Limits()
+    df: DataFrame, id_col: str, text_col: str, encoder: SharedEncoder, limits: Limits = Limits(), bears: str | None = None
 ) -> DataFrame:
     """(id, piece, start, n_tokens, n_loss, container_id): every text's place.
 
-    A text takes one segment; its tokens after its first line (the heading,
-    which serves as the prompt) bear loss.  Texts are whole unless one alone
-    exceeds a limit; its pieces then carry 0, 1, ... and their first token.
-    Null and empty texts are items without tokens and get a place as well.
-    Rows that occur twice are items twice.  Container ids are unique over the
-    whole result.  Of an empty input nothing comes out.
+    A text takes one segment.  ``bears`` is a column of booleans that tells of
+    each line of the text whether its tokens bear loss (null: it doesn't);
+    without it all lines bear loss but the first, which serves as the prompt.
+    Texts are whole unless one alone exceeds the tokens of a container; its
+    pieces then carry 0, 1, ... and their first token.  A text with more
+    loss-bearing tokens than a container takes is the only one of its container
+    that bears loss.  Null and empty texts are items without tokens and get a
+    place as well.  Rows that occur twice are items twice.  Container ids are
+    unique over the whole result.  Of an empty input nothing comes out.
     """
     kind = df.schema[id_col].dataType
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    told = [F.col(bears).cast("array<boolean>").alias("bears")] if bears else []
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *told)
     schema = StructType(
         [StructField("id", kind), StructField("piece", IntegerType()), StructField("start", LongType()),
          StructField("n_tokens", LongType()), StructField("n_loss", LongType()), StructField("container_id", LongType())]
@@ -129,7 +159,7 @@ def pack_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, base = encoder.get(), TaskContext.get().partitionId() << 36
         packer = Packer(limits)
-        ids, sizes, waiting, n = [], [], {}, 0
+        waiting, n = {}, 0
 
         def out(items: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
             got = [waiting.pop(i) for i in items.tolist()]
@@ -143,14 +173,13 @@ def pack_texts(
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                heads = [t.partition("\n")[0] if t else None for t in texts]
-                sizes = np.diff(bpe.encode(texts)[1]).tolist()
-                quiet = np.diff(bpe.encode(heads)[1]).tolist()
+                flat, at = bpe.encode(texts)
+                loss = loss_bearing(texts, part.column(2).to_pylist() if bears else None, flat, at, bpe.lengths)
                 demand = []
-                for i, size, q in zip(ids, sizes, quiet, strict=True):
-                    for piece, (start, m, loss) in enumerate(split_sizes(size, max(0, size - q), limits)):
-                        waiting[n + len(demand)] = (i, piece, start, m, loss)
-                        demand.append((m, 1, loss))
+                for j, i in enumerate(ids):
+                    for piece, (start, m, borne) in enumerate(pieces(loss[at[j] : at[j + 1]], limits)):
+                        waiting[n + len(demand)] = (i, piece, start, m, borne)
+                        demand.append((m, 1, min(borne, limits.loss)))
                 items = np.arange(n, n + len(demand))
                 n += len(demand)
                 for x in packer.add(np.array(demand, float).reshape(-1, 3), items):

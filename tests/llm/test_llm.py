@@ -327,14 +327,35 @@ def test_encode_table(spark):
 # -- 9: packing ----------------------------------------------------------
 
 
-def test_split_sizes():
+def test_pieces():
     limits = packing.Limits(100, 4, 90)
-    assert packing.split_sizes(50, 40, limits) == [(0, 50, 40)]
-    for tokens, loss in ((100, 95), (1000, 1000), (250, 10), (101, 0)):
-        pieces = packing.split_sizes(tokens, loss, limits)
-        assert sum(n for _, n, _ in pieces) == tokens and sum(q for *_, q in pieces) == loss
-        assert all(n <= 100 and q <= 90 for _, n, q in pieces)
-        assert [s for s, *_ in pieces] == list(np.cumsum([0] + [n for _, n, _ in pieces])[:-1])
+    rng = np.random.default_rng(3)
+    assert packing.pieces(np.ones(98, bool), limits) == [(0, 98, 98)]
+    assert packing.pieces(np.zeros(0, bool), limits) == [(0, 0, 0)]
+    for bears in (np.ones(1000, bool), rng.random(250) < 0.3, rng.random(1001) < 0.95, np.zeros(101, bool)):
+        found = packing.pieces(bears, limits)
+        assert sum(n for _, n, _ in found) == len(bears) and sum(q for *_, q in found) == bears.sum()
+        assert all(0 < n <= 100 and q <= 90 and q == bears[s : s + n].sum() for s, n, q in found)
+        assert [s for s, *_ in found] == list(np.cumsum([0] + [n for _, n, _ in found])[:-1])
+
+
+def test_loss_bearing_tokens_are_those_of_their_lines():
+    with open(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        enc = bpe.ByteBPE(f.read())
+    texts = ["ab cd\n  ef\n\n gh", None, "", "é x\r\nlast", "one line"]
+    flat, at = enc.encode(texts)
+    lines = [[True, False, None, True], None, [True], [False, True], [True, True, True]]
+    got = packing.loss_bearing(texts, lines, flat, at, enc.lengths)
+    for i, t in enumerate(texts):
+        done, want = 0, []
+        raw = (t or "").encode()
+        for n in enc.lengths[flat[at[i] : at[i + 1]]]:
+            k = raw[:done].count(b"\n")
+            want.append(bool(lines[i] and k < len(lines[i]) and lines[i][k]))
+            done += n
+        assert done == len(raw) and got[at[i] : at[i + 1]].tolist() == want
+    after_first = packing.loss_bearing(texts, None, flat, at, enc.lengths)
+    assert after_first[at[0] : at[1]].tolist()[:2] == [False, False] and after_first[at[1] - 1] and not after_first[at[4] :].any()
 
 
 def test_packer_respects_limits_and_fills():
@@ -359,7 +380,9 @@ def test_pack_texts(spark):
     by = {}
     for r in got:
         by.setdefault(r.container_id, []).append(r)
-    assert all(sum(r.n_tokens for r in rs) <= 2048 and len(rs) <= 16 and sum(r.n_loss for r in rs) <= 2048 for rs in by.values())
+    assert all(sum(r.n_tokens for r in rs) <= 2048 and len(rs) <= 16 for rs in by.values())
+    assert all(sum(r.n_loss for r in rs) <= 1536 or sum(r.n_loss > 0 for r in rs) == 1 for rs in by.values())
+    assert any(r.n_loss > 1536 for r in got)  # whole, though more than a container's loss
     assert sum(r.id == 3 for r in got) == 2
     pieces = sorted((r.piece, r.start, r.n_tokens) for r in got if r.id == 99)
     assert [p for p, *_ in pieces] == list(range(len(pieces))) and pieces[-1][1] + pieces[-1][2] == 10001
@@ -369,6 +392,22 @@ def test_pack_texts(spark):
     assert all((sum(n) > 2048) == (len(n) > 1) for i, n in totals.items() if i != 3)
 
 
+def test_the_loss_limit_binds(spark):
+    # half of the items bear loss throughout, half none: only mixed containers are full in both
+    df = spark.createDataFrame([(i, "word " * 200, [i % 2 == 0]) for i in range(400)], "id int, text string, bears array<boolean>").coalesce(1)
+    limits = packing.Limits(1000, 100, 500)
+    got = packing.pack_texts(df, "id", "text", bpe.SharedEncoder(spark), limits, "bears").collect()
+    by = {}
+    for r in got:
+        t = by.setdefault(r.container_id, [0, 0])
+        t[0] += r.n_tokens
+        t[1] += r.n_loss
+    assert all(t <= 1000 and q <= 500 for t, q in by.values())
+    assert max(q for _, q in by.values()) > 400 and sum(t for t, _ in by.values()) > 0.75 * 1000 * len(by)
+    plenty = packing.pack_texts(df, "id", "text", bpe.SharedEncoder(spark), packing.Limits(1000, 100, 1000), "bears").groupBy("container_id").agg(F.sum("n_loss").alias("q"))
+    assert plenty.agg(F.max("q")).first()[0] > 500
+
+
 # -- 10: reading level ---------------------------------------------------
 
 
