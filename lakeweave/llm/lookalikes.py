@@ -5,13 +5,18 @@
    accents composed.  Raised digits, fractions and degree signs look different
    and stay.
 2. Characters that don't show are deleted.
-3. Every word (run of letters) gets letters of one script.  Each letter opens
-   a column of a lattice: itself and its look-alikes.  Viterbi search finds the
-   best path through the lattice of each script under that script's character
-   bigram scores; paths never change script within a word.  Latin is taken
-   where it has a path, since a word is Cyrillic or Greek only if one of its
-   letters resembles no Latin letter; otherwise the script with the fewest
-   letters out of place, then the higher score.
+3. Every word (run of letters) gets letters of one script.  Its letters open a
+   lattice: each may be itself or any of its look-alikes in the script, of
+   which there may be several, and two letters may stand for one that looks
+   like both together.  Viterbi search finds the best path through the lattice
+   of each script: the one with the fewest letters left out of place, then with
+   the highest sum of that script's character bigram scores and of what the
+   look-alikes on it cost (less where they look the same than where they are
+   merely similar).  Paths never change script within a word.  A constraint
+   decides between Latin and the others: a word is Cyrillic or Greek only if
+   one of its letters resembles no Latin letter, so if every letter has a Latin
+   one that looks the same only Latin paths count.  Letters of other scripts
+   take part in words that are mixed.
 """
 
 from __future__ import annotations
@@ -29,8 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of Cyrillic and Greek that look like a Latin letter (left: as stored, right: Latin).
-CYRILLIC_AS_LATIN = dict(zip("аеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТУХ", "aeopcyxsijhdqwABESIJKMHOPCTYX", strict=True))
+CYRILLIC_AS_LATIN = dict(zip("аеорсухѕіјһԁԛԝӕАВЕЅІЈКМНОРСТУХӔ", "aeopcyxsijhdqwæABESIJKMHOPCTYXÆ", strict=True))
 GREEK_AS_LATIN = dict(zip("οϲΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ocABEZHIKMNOPTYXC", strict=True))
+# A plain stroke, which is capital I as well as small l.
+STROKES = ("ӏl", "ӏI", "Ӏl", "ӀI", "Іl", "Ιl")
+# Letters of other scripts that look like a Latin letter, where they stand in a word with letters of the three.
+OTHERS_AS_LATIN = dict(zip("օսհոցզյՕՏԼՍᎪᏴᏟᎠᎬᎶᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃⲟⲥⲣ", "ouhngqjOSLUABCDEGHJKLMPRSTVWZocp", strict=True))
+# Groups of letters that are similar without looking the same; they only serve words that aren't Latin.
+SIMILAR = ("aα", "bьвβ", "eε", "hнη", "iι", "kкκ", "mмμ", "nпηπ", "pρ", "rг", "sσ", "tтτ", "uиυμ", "vνѵυ", "wшω", "xχ", "yγ", "zζ", "NИ", "RЯ", "GԌ", "KК", "YΥ")
+# Two letters that together look like one.
+PAIRS = {"bl": "ы", "bI": "Ы", "lo": "ю", "lO": "Ю", "IO": "Ю"}
+#: What a path pays for a letter that looks the same as the one stored, and for one that is similar.
+SAME_COST, SIMILAR_COST = 0.5, 3.0
 
 #: Text of which nothing can need a change: printable ASCII, tabs and line ends.
 PLAIN = r"\A[\x20-\x7E\t\n\r]*\z"
@@ -70,40 +85,69 @@ def script_of(ch: str) -> str:
     return first if first in SCRIPTS else ""
 
 
-def _alternatives() -> dict[str, dict[str, tuple[str, ...]]]:
-    """letter -> script -> its look-alikes there."""
-    groups: dict[str, dict[str, set[str]]] = {}
-    for table in (CYRILLIC_AS_LATIN, GREEK_AS_LATIN):
-        for other, latin in table.items():
-            g = groups.setdefault(latin, {"LATIN": {latin}})
-            g.setdefault(script_of(other), set()).add(other)
-    return {
-        ch: {s: tuple(sorted(o)) for s, o in g.items()}
-        for g in groups.values() for own in g.values() for ch in own
-    }
+def _alternatives() -> dict[str, dict[str, dict[str, float]]]:
+    """letter -> script -> its look-alikes there with their costs; many to many."""
+    same: dict[str, set[str]] = {}
+    for pair in [*CYRILLIC_AS_LATIN.items(), *GREEK_AS_LATIN.items(), *OTHERS_AS_LATIN.items(), *map(tuple, STROKES)]:
+        for a, b in (pair, pair[::-1]):
+            same.setdefault(a, set()).add(b)
+    similar: dict[str, set[str]] = {}
+    for group in SIMILAR:
+        for a in group:
+            similar.setdefault(a, set()).update(set(group) - {a})
+    out: dict[str, dict[str, dict[str, float]]] = {}
+    for ch in {*same, *similar}:
+        own = out.setdefault(ch, {s: {} for s in SCRIPTS})
+        latin = {ch} | {x for x in same.get(ch, ()) if script_of(x) == "LATIN"}
+        # by way of the Latin letters that it looks like, letters of two other scripts look alike as well
+        near = {y: SIMILAR_COST for x in latin for y in similar.get(x, ())}
+        near |= {y: SAME_COST for x in latin for y in {x, *same.get(x, ())}}
+        for y, cost in near.items():
+            if y != ch and script_of(y):
+                own[script_of(y)][y] = cost
+    return out
 
 
 _ALIKE = _alternatives()
+#: Letters with a Latin letter that looks the same.
+_LATIN = {ch for ch, found in _ALIKE.items() if script_of(ch) == "LATIN" or SAME_COST in found["LATIN"].values()}
 
 
-def lattice(word: str, script: str) -> list[tuple[tuple[str, ...], bool]]:
-    """For each character the letters that may stand there in ``script``; False: none, it stays as it is."""
+@lru_cache(maxsize=65536)
+def options(ch: str, script: str) -> tuple[tuple[str, float], ...]:
+    """The letters of ``script`` that a letter may stand for, each with its cost; none if there aren't any."""
+    own = script_of(ch)
+    if own == script or not own and ch not in OTHERS_AS_LATIN:
+        return ((ch, 0.0),)
+    limit = SAME_COST if script == "LATIN" else SIMILAR_COST
+    found = _ALIKE.get(ch, {}).get(script, {})
+    if not found:  # an accented letter may have a look-alike base
+        d = unicodedata.normalize("NFD", ch)
+        base = _ALIKE.get(d[0], {}).get(script, {}) if len(d) > 1 else {}
+        found = {unicodedata.normalize("NFC", b + d[1:]): cost for b, cost in base.items()}
+    return tuple(sorted((x, cost) for x, cost in found.items() if cost <= limit))
+
+
+def lattice(word: str, script: str) -> list[list[tuple[int, str, float, bool]]]:
+    """For each place of a word what may stand from there on in ``script``: (letters taken, what for, cost, fits).
+
+    A letter without any look-alike there may only stay as it is, and doesn't fit.
+    """
     out = []
-    for ch in word:
-        own = script_of(ch)
-        if own == script or not own:
-            # its own script; lunate sigma is the one letter that gives way to the usual look-alike-free form only by script
-            out.append(((ch,), True))
-            continue
-        alike = _ALIKE.get(ch, {}).get(script)
-        if alike is None:  # an accented letter may have a look-alike base
-            d = unicodedata.normalize("NFD", ch)
-            base = _ALIKE.get(d[0], {}).get(script) if len(d) > 1 else None
-            alike = tuple(unicodedata.normalize("NFC", b + d[1:]) for b in base) if base else None
-        out.append((alike, True) if alike else ((ch,), False))
+    for i, ch in enumerate(word):
+        arcs = [(1, x, cost, True) for x, cost in options(ch, script)] or [(1, ch, 0.0, False)]
+        one = PAIRS.get(word[i : i + 2])
+        if one and script_of(one) == script:
+            arcs.append((2, one, SIMILAR_COST, True))
+        out.append(arcs)
     return out
 
 
+def is_latin(word: str) -> bool:
+    """Whether every letter of a word is Latin or has a Latin letter that looks the same."""
+    return all(script_of(c) == "LATIN" or c in _LATIN or not script_of(c) or script_of(unicodedata.normalize("NFD", c)[0]) == "LATIN" or unicodedata.normalize("NFD", c)[0] in _LATIN for c in word)
+
+
 class ScriptModel:
     """Character bigram scores of each script."""
 
@@ -111,6 +155,7 @@ class ScriptModel:
         self.pair = Counter()
         self.from_ = Counter()
         self.letters = {s: set() for s in SCRIPTS}
+        self.known: dict[str, str] = {}
         for (a, b), n in counts.items():
             self.pair[a, b] += n
             self.from_[a] += n
@@ -121,24 +166,31 @@ class ScriptModel:
 
     def viterbi(self, word: str, script: str) -> tuple[int, float, str]:
         """(letters out of place, score, best path) of a word in one script."""
-        columns = lattice(word, script)
-        paths = {_START + script: (0.0, "")}
-        for options, _ in columns:
-            paths = {
-                b: max((s + self.score(script, a, b), p + b) for a, (s, p) in paths.items()) for b in options
-            }
-        score, path = max(paths.values())
-        return sum(not ok for _, ok in columns), score, path
+        # at each place and for each last letter the best path to there: (letters in place, score, path)
+        best: list[dict[str, tuple[int, float, str]]] = [{} for _ in range(len(word) + 1)]
+        best[0][_START + script] = (0, 0.0, "")
+        for i, arcs in enumerate(lattice(word, script)):
+            for last, (out, score, path) in best[i].items():
+                for n, x, cost, fits in arcs:
+                    found = (out - (not fits), score + self.score(script, last, x) - cost, path + x)
+                    if x not in best[i + n] or found > best[i + n][x]:
+                        best[i + n][x] = found
+        out, score, path = max(best[-1].values())
+        return -out, score, path
 
     def word(self, word: str) -> str:
         scripts = {script_of(c) for c in word} - {""}
-        if scripts <= {"LATIN"}:
+        if not scripts or scripts == {"LATIN"} and not any(c in OTHERS_AS_LATIN for c in word):
             return word
-        found = {s: self.viterbi(word, s) for s in SCRIPTS}
-        if found["LATIN"][0] == 0:
-            return found["LATIN"][2]
-        _, s = min(((found[s][0], -found[s][1]), s) for s in SCRIPTS if s != "LATIN" or s in scripts)
-        return found[s][2]
+        if word not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            if is_latin(word):
+                self.known[word] = self.viterbi(word, "LATIN")[2]
+            else:
+                found = [self.viterbi(word, s) for s in sorted(scripts - {"LATIN"})] or [self.viterbi(word, "LATIN")]
+                self.known[word] = min(found, key=lambda f: (f[0], -f[1]))[2]
+        return self.known[word]
 
     def text(self, text: str | None) -> str | None:
         """The common form of a text; None stays None."""

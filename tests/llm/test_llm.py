@@ -59,6 +59,58 @@ def test_every_alternative_looks_alike_both_ways():
         for other, latin in table.items():
             assert lookalikes.script_of(latin) == "LATIN" and lookalikes.script_of(other) in ("CYRILLIC", "GREEK")
             assert unicodedata.category(other) == unicodedata.category(latin)
+            assert latin in dict(lookalikes.options(other, "LATIN")) and other in dict(lookalikes.options(latin, lookalikes.script_of(other)))
+
+
+def taught(words):
+    """A model of some words."""
+    counts = {}
+    for w in words:
+        for a, b in zip(["^" + lookalikes.script_of(w[0]), *w], w, strict=False):
+            counts[a, b] = counts.get((a, b), 0) + 1
+    return lookalikes.ScriptModel(counts)
+
+
+@pytest.mark.parametrize("word, words, form", [
+    # a stroke is I or l, as the letters around it have it
+    ("heӏӏo", ["hello", "bell"] * 9, "hello"), ("PӏNE", ["PINE", "MINT"] * 9, "PINE"), ("fΙag", ["flag", "flat"] * 9, "flag"), ("fΙag", ["fIag", "fIat"] * 9, "fIag"),
+    ("ӏt", ["It", "Is"] * 9, "It"), ("ӏt", ["lt", "ls"] * 9, "lt"),
+    # a Latin letter in a Cyrillic word may be several; two may be one
+    ("пpaвдa", ["правда"] * 9, "правда"), ("cboбoда", ["свобода", "своё"] * 9, "свобода"), ("cboбoда", ["сьобода", "сьоё"] * 9, "сьобода"), ("дымblл", ["мыл", "дым"] * 9, "дымыл"),
+    ("λoγoς", ["λογος"] * 9, "λογος"), ("mнp".replace("н", "и"), ["мир"] * 9, "мир"),
+    # other scripts only where a word is mixed
+    ("nօne", ["none"] * 9, "none"), ("օսհ", ["none"], "օսհ"),
+])
+def test_the_scores_decide(word, words, form):
+    model = taught(words)
+    assert model.word(word) == form
+    assert model.word(form) == form
+
+
+def test_a_table_would_not_do():
+    """The same stored letter comes out as different ones under one model, and the same word as different ones under two."""
+    m = taught(["hello", "bell", "PINE", "MINT"] * 9)
+    assert m.word("heӏӏo") == "hello" and m.word("PӏNE") == "PINE"
+    assert {taught(w).word("fΙag") for w in (["flag"] * 9, ["fIag"] * 9)} == {"flag", "fIag"}
+    assert max(len(lookalikes.options(c, s)) for c in "bnulI" for s in lookalikes.SCRIPTS) > 2
+
+
+def test_paths_are_the_best_of_all():
+    import math
+
+    m = taught(["своб", "вода", "съел", "мир", "ииг", "нпп"] * 3)
+    for word in ("cbnur", "mubo", "blob", "жkh"):
+        def paths(i, last):
+            if i == len(word):
+                yield 0, 0.0, ""
+                return
+            for n, x, cost, fits in lookalikes.lattice(word, "CYRILLIC")[i]:
+                for out, score, rest in paths(i + n, x):
+                    yield out + (not fits), score + m.score("CYRILLIC", last, x) - cost, x + rest
+
+        want = min(paths(0, "^CYRILLIC"), key=lambda p: (p[0], -p[1]))
+        got = m.viterbi(word, "CYRILLIC")
+        assert got[0] == want[0] and math.isclose(got[1], want[1])
 
 
 # -- 2: frequencies ------------------------------------------------------
