@@ -463,10 +463,64 @@ def test_the_loss_limit_binds(spark):
 # -- 10: reading level ---------------------------------------------------
 
 
-def test_article_words():
-    page = "HARBOUR POST, No. 6\nCUP AT BIRKAS\nThe rail-\nway sold 0ur cup\r\nTerms cash. No agents.\nWANTED\nBox 582, this office\nin 1767."
-    assert reading.article_words(page) == ["the", "rail|way|in", "sold", "our", "cup", "in", "l767"]
-    assert reading.article_words(None) == reading.article_words("") == reading.article_words("WANTED\nTelephone 246") == []
+ADVERTS = {
+    "en": ("TO LET", ["Box {n}, this office", "Terms cash. No agents.", "a warm {w}, hardly used", "Telephone {n}"]),
+    "de": ("ZU VERKAUFEN", ["Gute {w}, kaum benutzt", "Angebote unter {n} an die Expedition", "nur {n} Mark das Dutzend"]),
+    "fr": ("À VENDRE", ["Bonne {w}, presque neuve", "S'adresser au bureau, {n}", "{n} francs la douzaine"]),
+}
+
+
+@pytest.fixture(scope="module")
+def pages():
+    rng = random.Random(11)
+    words = {"en": "the cat sold his road when mayor used this office box only from hardly and they have apply to it was", "de": "der hund sah das haus nur mark und die gute stadt unter dem wald", "fr": "le chat vendit sa route quand maire bureau au la bonne et neuve une"}
+    out = []
+    for i in range(360):
+        lang = ("en", "de", "fr")[i % 3]
+        vocabulary = words[lang].split()
+        lines = ["HARBOUR POST, page 6", f"NEWS OF {''.join(rng.sample('BCDFGHKLMNP', 5))}"]
+        lines += [" ".join(rng.choice(vocabulary) for _ in range(7)) for _ in range(14)]
+        if i % 2:
+            head, kinds = ADVERTS[lang]
+            at = rng.randrange(4, 14)
+            lines[at:at] = [head, *(x.format(n=rng.randrange(900), w=rng.choice(vocabulary)) for x in rng.sample(kinds, 2))]
+        out.append((i, "\n".join(lines), lang))
+    return out
+
+
+@pytest.fixture(scope="module")
+def line_model(spark, pages):
+    return reading.fit_lines(spark.createDataFrame(pages, "doc_id long, text string, lang string"))
+
+
+def test_lines_are_told_without_any_word_list(line_model, pages):
+    assert line_model.headlines == {reading.headline(h) for h, _ in ADVERTS.values()}
+    for _, text, _ in pages:
+        head = {"en": "office", "de": "expedition", "fr": "douzaine"}
+        words = reading.article_words(text, line_model)
+        assert len(words) in (98, *range(91, 99)) and head["de"] not in words and head["fr"] not in words
+    kept = ["it was the only", "He had hardly used the road", "they have to apply to the mayor", "short notes from 5d the whole town came", "the cat sold it only from this office"]
+    for line in kept:
+        page = "\n".join(["NEWS OF BIRKA", "the cat sold his road", line, "the mayor sold this box and it was"])
+        assert len(reading.article_words(page, line_model)) == sum(len(reading._TOKEN(x)) for x in page.split("\n")[1:])
+    for head, kinds in ADVERTS.values():
+        page = "\n".join([head, *(x.format(n=7, w="cat") for x in kinds)])
+        assert reading.article_words("FIRST LINE\n" + page, line_model) == []
+
+
+def test_article_words(line_model):
+    page = "HARBOUR POST, page 6\nCUP AT BIRKAS\nThe rail-\nway sold 0ur cup\r\nTO LET\nTerms cash. No agents.\nBox 582, this office\nit was s0."
+    assert reading.article_words(page, line_model) == ["the", "rail|way|it", "sold", "our", "cup", "it", "was", "so"]
+    assert reading.article_words(None, line_model) == reading.article_words("", line_model) == reading.article_words("TO LET\nTelephone 246", line_model) == []
+    assert reading.article_words("THE MAYOR OPENED THE NEW HALL AND SPOKE", line_model) == "the mayor opened the new hall and spoke".split()
+    assert reading.article_words("cup", line_model) == ["cup"] and len(reading.article_words("x" * 90, line_model)[0]) == 90
+    assert reading.article_words("in\nTO LET\nit was so", reading.LineModel()) == ["in", "it", "was", "so"]
+
+
+def test_sections_of_a_paper_head_no_adverts(spark, pages):
+    with_sections = [(i, t.replace("\n", "\nHOME AND ABROAD\n", 3), x) for i, t, x in pages]
+    model = reading.fit_lines(spark.createDataFrame(with_sections, "doc_id long, text string, lang string"))
+    assert reading.headline("HOME AND ABROAD") not in model.headlines and reading.headline("TO LET") in model.headlines
 
 
 def test_levels_follow_planted_ones(spark):
@@ -477,15 +531,17 @@ def test_levels_follow_planted_ones(spark):
         level = i % 5 + 1
         pool = {1: (9, 1, 0), 2: (6, 4, 0), 3: (3, 5, 2), 4: (2, 4, 4), 5: (1, 2, 7)}[level]
         text = " ".join(rng.choice(rng.choices((easy, mid, hard), pool)[0]) for _ in range(150))
-        docs.append((i, "Start " + text, None if i % 7 == 0 else "en", "x"))
+        advert = "\nWANTED\nTelephone 246\nTerms cash. No agents." if i % 3 == 0 else ""
+        lines = [text[k : k + 60] for k in range(0, len(text), 60)]
+        docs.append((i, "Start " + "\n".join(lines[:5]) + advert + "\n" + "\n".join(lines[5:]), None if i % 7 == 0 else "en", "x"))
         if i % 4 == 0:
             labels += [(i, "r1", level), (i, "r1", level), (i, "r2", None)]
-    docs += [(900, None, "en", "x"), (901, "  ", None, "x"), (902, "WANTED\nTelephone 246", "en", "x")]
+    docs += [(900, None, "en", "x"), (901, "  ", None, "x"), (902, "WANTED\nTelephone 246", "en", "x"), (903, "POST\nWANTED\nTelephone 246\nTerms cash. No agents.", "en", "x"), (904, "Start", "en", "x")]
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, level string")
     lab = spark.createDataFrame(labels, "doc_id long, rater string, level int")
     got = {r.doc_id: r.level for r in reading.reading_levels(d, lab, rounds=4).collect()}
-    assert set(got) == set(range(400))
-    assert sum(got[i] == i % 5 + 1 for i in got) > 360
+    assert set(got) == {*range(400), 904}  # a page of one word has a level, adverts alone have none
+    assert sum(got[i] == i % 5 + 1 for i in range(400)) > 360
     assert {r.level for r in reading.reading_levels(d, lab.limit(0), rounds=1).collect()} == {None}
 
 
