@@ -2,16 +2,21 @@
 
 1. Names are normalised: case, accents, blanks, moved parts ("Surname, Given",
    "Affair, The"), annotations, numerals.  Placeholders name nothing.
-2. A symmetric-delete neighbourhood index on the tokens of all names finds
-   tokens at a small edit distance: two tokens are neighbours only if deleting
-   a few letters of each can leave the same rest.
-3. Names that share a rare token, or hold neighbouring rare tokens, or meet
-   in frequent and short tokens (as written or corrected), are aligned: tokens are assigned to each other at the lowest total cost, edits,
-   short forms, initials and abbreviations being allowed.
-4. Links of full names make groups; two edits in one token, and given names
-   that no lexicon links, count only where the names share evidence (a film).  A name with a short form or an initial
+2. A symmetric-delete neighbourhood index on the tokens of all names, frequent
+   and short ones included, finds tokens at a small edit distance: two tokens
+   are neighbours only if deleting a few letters of each can leave the same
+   rest.  How many tokens share a rest is bounded by the alphabet.
+3. Names meet where two things agree: a token, as written or as corrected by
+   the index, and what another token may stand for (itself, its corrections,
+   short and full forms, an initial, its beginning) or evidence (a film).
+   Works meet in all their tokens with up to three of them corrected.
+4. Names that meet are aligned: tokens are assigned to each other at the lowest
+   total cost, edits, short forms, initials and abbreviations being allowed.
+5. Links of full names make groups.  An edit that may as well be another name,
+   two edits in one token, and given names that no lexicon links count only
+   where the names share evidence.  A name with a short form or an initial
    joins the one group that it can stand for; where there are several, those
-   that share evidence (a film) with it.
+   that share evidence with it.
 """
 
 from __future__ import annotations
@@ -36,9 +41,13 @@ from lakeweave.plans.scratch import written
 ESTABLISHED, LEAST_ESTABLISHED = 0.002, 8
 #: A token may be a short form that the data show from this share of the names.
 SHORT_FORM, LEAST_SHORT_FORM = 0.0003, 3
-#: A token that so many names hold makes candidates only together with the initial of another token.
-FREQUENT, LEAST_FREQUENT = 0.01, 20
-_PLACEHOLDERS = {"", "n a", "na", "unknown", "none", "null", "nan", "tbd", "tba", "anonymous", "not available", "unnamed", "no name", "various", "untitled", "undefined", "missing", "no title", "no director", "not known", "not specified", "test"}
+#: Tokens from this length on are hardly ever one edit away from another name by chance.
+LONG = 8
+#: A token that is one edit off is a typing error only if fewer names than this would be expected to hold it and the rest by chance.
+CHANCE = 0.01
+#: Spellings that name nothing, and abbreviations that are also written without a full stop: defaults of parameters.
+PLACEHOLDERS = frozenset({"", "n a", "na", "unknown", "none", "null", "nan", "tbd", "tba", "anonymous", "not available", "unnamed", "no name", "various", "untitled", "undefined", "missing", "no title", "no director", "not known", "not specified", "test"})
+ABBREVIATIONS = frozenset({"mr", "mrs", "dr", "st", "mt", "rd", "capt", "dept", "bros", "no", "prof", "ave"})
 _LETTERS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i", "þ": "th", "ð": "d", "’": "'", "–": "-", "—": "-"})
 _NUMBERS = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 _WORDS = {n: w for w, n in _NUMBERS.items()}
@@ -48,8 +57,6 @@ _NOTE = re.compile(r"[\(\[][^\)\]]*[\)\]]")
 _ARTICLE = re.compile(r"^(.*?),\s*(the|a|an)\b(.*)$")
 _PART = re.compile(r"\b(?:part|pt\.?|vol\.?|volume|chapter)\s+(\w+)\s*$")
 _TOKENS = re.compile(r"[^\W_]+\.?")
-# Abbreviations that are also written without a full stop.
-_ABBREVIATIONS = {"mr", "mrs", "dr", "st", "mt", "rd", "capt", "dept", "bros", "no", "prof", "ave"}
 
 
 def folded(text: str) -> str:
@@ -58,7 +65,7 @@ def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
-def person_tokens(name: str | None) -> list[str] | None:
+def person_tokens(name: str | None, placeholders: frozenset[str] = PLACEHOLDERS) -> list[str] | None:
     """Tokens of a person's name, given name first where the order is known; None for a placeholder."""
     if name is None:
         return None
@@ -67,10 +74,10 @@ def person_tokens(name: str | None) -> list[str] | None:
     if comma and first.strip():
         text = f"{first} {last}"
     tokens = [t.rstrip(".") for t in _TOKENS.findall(text.replace("'", ""))]
-    return None if " ".join(tokens) in _PLACEHOLDERS else tokens
+    return None if " ".join(tokens) in placeholders else tokens
 
 
-def title_tokens(title: str | None) -> list[str] | None:
+def title_tokens(title: str | None, placeholders: frozenset[str] = PLACEHOLDERS, abbreviations: frozenset[str] = ABBREVIATIONS) -> list[str] | None:
     """Tokens of a work's title: no article in front, numbers as digits; None for a placeholder."""
     if title is None:
         return None
@@ -84,7 +91,7 @@ def title_tokens(title: str | None) -> list[str] | None:
         n = part[1]
         text = text[: part.start()] + " " + (_NUMBERS.get(n) or _ROMAN.get(n) or ("1" if n == "i" else n))
     tokens = _TOKENS.findall(text)
-    if " ".join(t.rstrip(".") for t in tokens) in _PLACEHOLDERS:
+    if " ".join(t.rstrip(".") for t in tokens) in placeholders:
         return None
     if len(tokens) > 1 and tokens[0] in ("the", "a", "an"):
         tokens = tokens[1:]
@@ -98,8 +105,8 @@ def title_tokens(title: str | None) -> list[str] | None:
     out = []
     for t in tokens:
         bare = t.rstrip(".")
-        out.append(bare + "." if t.endswith(".") and not bare.isdigit() or bare in _ABBREVIATIONS else bare)
-    if out and out[-1].endswith(".") and out[-1][:-1] not in _ABBREVIATIONS:
+        out.append(bare + "." if t.endswith(".") and not bare.isdigit() or bare in abbreviations else bare)
+    if out and out[-1].endswith(".") and out[-1][:-1] not in abbreviations:
         out[-1] = out[-1][:-1]
     return out
 
@@ -197,12 +204,44 @@ def token_match(a: str, b: str, lexicon: Lexicon, person: bool) -> tuple[float,
     return (float(n), EDIT if n else SAME) if n <= most else None
 
 
+def hungarian(cost: list[list[float]]) -> list[int]:
+    """For each row of a square matrix its column in the assignment of the lowest total cost; cubic in the size."""
+    n = len(cost)
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row_of[0], j0 = i, 0
+        least, used = [float("inf")] * (n + 1), [False] * (n + 1)
+        while row_of[j0]:
+            used[j0] = True
+            i0, delta, j1 = row_of[j0], float("inf"), 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[row_of[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            row_of[j0] = row_of[way[j0]]
+            j0 = way[j0]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[row_of[j] - 1] = j - 1
+    return out
+
+
 def assign(left: list[str], right: list[str], lexicon: Lexicon, person: bool) -> tuple[float, list[tuple[str, str, int]], list[str], list[str]]:
-    """The assignment that leaves the fewest whole tokens over, at the lowest cost: (cost, pairs with kinds, unmatched left, unmatched right).
+    """The assignment that leaves the fewest whole tokens over, then the fewest initials, at the lowest cost: (cost, pairs with kinds, unmatched left, unmatched right).
 
     Equal whole tokens are assigned first, which is always optimal; the rest by
-    dynamic programming over subsets.  Names with more than 10 differing
-    tokens on a side match nothing further.
+    an optimal assignment, whatever their number.
     """
     pairs, rest_l, rest_r = [], [], list(right)
     for t in left:
@@ -211,26 +250,59 @@ def assign(left: list[str], right: list[str], lexicon: Lexicon, person: bool) ->
             pairs.append((t, t, SAME))
         else:
             rest_l.append(t)
-    if not rest_l or not rest_r or max(len(rest_l), len(rest_r)) > 10:
+    found = {(i, j): m for i, t in enumerate(rest_l) for j, u in enumerate(rest_r) if (m := token_match(t, u, lexicon, person))}
+    if not found:
         return 0.0, pairs, rest_l, rest_r
-    best: dict[int, tuple[int, float, tuple]] = {0: (0, 0.0, ())}
-    for i, t in enumerate(rest_l):
-        after = dict(best)
-        for mask, (n, cost, used) in best.items():
-            for j, u in enumerate(rest_r):
-                if not mask >> j & 1 and (m := token_match(t, u, lexicon, person)):
-                    new = (n - sum(10 if len(x) > 1 else 1 for x in (t, u)), cost + m[0], (*used, (i, j, m[1])))
-                    if (mask | 1 << j) not in after or new[:2] < after[mask | 1 << j][:2]:
-                        after[mask | 1 << j] = new
-        best = after
-    _, cost, used = min(best.values(), key=lambda x: x[:2])
-    pairs += [(rest_l[i], rest_r[j], k) for i, j, k in used]
-    gone_l, gone_r = {i for i, _, _ in used}, {j for _, j, _ in used}
-    return cost, pairs, [t for i, t in enumerate(rest_l) if i not in gone_l], [t for j, t in enumerate(rest_r) if j not in gone_r]
-
-
-def person_link(a: list[str], b: list[str], lexicon: Lexicon) -> str | None:
-    """'full', 'far' (two edits in one token, or another given name that may be a short form), 'short' or 'initial' (how a full token is stood for), None if the names differ."""
+    n = max(len(rest_l), len(rest_r))
+    big = 10.0 * n  # more than all costs together
+    worth = {(i, j): sum(2 * n + 1 if len(x) > 1 else 1 for x in (rest_l[i], rest_r[j])) for i, j in found}
+    matrix = [[found[i, j][0] - big * worth[i, j] if (i, j) in found else 0.0 for j in range(n)] for i in range(n)]
+    used = {i: j for i, j in enumerate(hungarian(matrix)) if (i, j) in found}
+    pairs += [(rest_l[i], rest_r[j], found[i, j][1]) for i, j in used.items()]
+    gone = set(used.values())
+    return sum(found[p][0] for p in used.items()), pairs, [t for i, t in enumerate(rest_l) if i not in used], [t for j, t in enumerate(rest_r) if j not in gone]
+
+
+@dataclass(frozen=True)
+class Usage:
+    """In how many of ``names`` names tokens occur; without counts no edit is doubted."""
+
+    names: int = 0
+    counts: Mapping[str, int] = field(default_factory=dict)
+
+    def count(self, token: str) -> int:
+        return self.counts.get(token.rstrip("."), 1)
+
+    def doubtful(self, pairs: list[tuple[str, str, int]]) -> bool:
+        """Whether an edit among the pairs may as well be another name.
+
+        Letters swapped or doubled are slips, and long tokens differ by errors
+        only.  Elsewhere it is asked how many names that hold the rarer of the
+        two tokens and the rest of the name were to be expected by chance.
+        """
+        for x, y, k in pairs:
+            if k != EDIT or not self.names:
+                continue
+            a, b = x.rstrip("."), y.rstrip(".")
+            if min(len(a), len(b)) >= LONG or abbreviates(x, y) or abbreviates(y, x) or slip(a, b):
+                continue
+            other = [max(self.count(p), self.count(q)) for p, q, j in pairs if (p, q) != (x, y) and j in (SAME, EDIT) and len(p) > 1]
+            chance = min(self.count(a), self.count(b)) * min(other, default=self.names) / self.names
+            if chance > CHANCE:
+                return True
+        return False
+
+
+def slip(a: str, b: str) -> bool:
+    """Whether two tokens differ by letters swapped or a letter doubled."""
+    if len(a) == len(b):
+        return sorted(a) == sorted(b)
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[i] == long[i + 1] and long[:i] + long[i + 1 :] == short for i in range(len(short)))
+
+
+def person_link(a: list[str], b: list[str], lexicon: Lexicon, usage: Usage = Usage()) -> str | None:
+    """'full', 'far' (two edits in one token, an edit that may be another name, or another given name that may be a short form), 'short' or 'initial' (how a full token is stood for), None if the names differ."""
     _, pairs, left, right = assign(a, b, lexicon, True)
     whole_l, whole_r = [t for t in left if len(t) > 1], [t for t in right if len(t) > 1]
     if whole_l or whole_r:
@@ -256,68 +328,82 @@ def person_link(a: list[str], b: list[str], lexicon: Lexicon) -> str | None:
         return None
     kinds = {k for _, _, k in pairs}
     far = any(k == EDIT and edits(x, y, 2) > 1 for x, y, k in pairs)
+    if usage.doubtful(pairs):
+        return "far"
     return "initial" if INITIAL in kinds else "short" if SHORT in kinds else "far" if far else "full"
 
 
-def title_link(a: list[str], b: list[str], lexicon: Lexicon) -> str | None:
-    """'full' if the titles are the same but for spelling, 'far' with two edits in one token; numbers must agree."""
+def title_link(a: list[str], b: list[str], lexicon: Lexicon, usage: Usage = Usage()) -> str | None:
+    """'full' if the titles are the same but for spelling, 'far' with two edits in one token or an edit that may be another word; numbers must agree."""
     _, pairs, left, right = assign(a, b, lexicon, False)
     if left or right:
         one, other = "".join(a), "".join(b)
         same_numbers = [c for c in one if c.isdigit()] == [c for c in other if c.isdigit()]
         return "full" if same_numbers and len(one) > 9 and edits(one, other, 1) <= 1 else None
     typed = [edits(x, y, 2) for x, y, k in pairs if k == EDIT and not (x.endswith(".") or y.endswith("."))]
-    return None if sum(typed) > 3 else "far" if max(typed, default=0) > 1 else "full"
+    return None if sum(typed) > 3 else "far" if max(typed, default=0) > 1 or usage.doubtful(pairs) else "full"
 
 
-def person_keys(tokens: list[str], forms: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
-    """(key, side) at which a person's name meets others without a rare token in both.
+#: Marks of a key: two names don't meet in it if they have one of them in common.
+WHOLE, CORRECTED, ALSO_CORRECTED, TWICE = 1, 2, 4, 1
 
-    ``forms``: the frequent and short tokens that a token is or may be misspelled
-    from.  One of them makes a key together with what another token may stand
-    for.  Two names of side 1 don't meet.
+
+def person_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
+    """(key, marks) at which a person's name meets others: a token, and what another one may stand for.
+
+    ``near``: the tokens that each token is or may be misspelled from.  Of two
+    names that meet one has the token as written in the key.
     """
     found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 6 else set()
+    whole = sum(len(o) > 1 for o in tokens)
     for i, t in enumerate(tokens):
-        heads = {("", 0)} if sum(len(o) > 1 for o in tokens) == 1 else set()
+        if len(t) == 1:
+            continue
+        heads = {("", 0)} if whole == 1 else set()
         for o in tokens[:i] + tokens[i + 1 :]:
             if len(o) == 1:
                 heads.add((f"1 {o}", 0))
                 continue
-            heads |= {(f"1 {f[0]}", 1) for f in (o, *lexicon.forms(o))}
-            heads |= {(f"f {f}", 0) for f in (o, *forms.get(o, ()), *lexicon.forms(o))}
-            if len(o) > 2:
-                heads |= {(f"p {o[:3]}", 0)} if len(o) < 6 else {(f"p {o[:3]}", 1)}
-        found |= {(f"{u} {k}", side) for u in forms.get(t, ()) if len(u) > 2 for k, side in heads}
+            heads |= {(f"1 {f[0]}", WHOLE) for f in (o, *lexicon.forms(o))}
+            heads |= {(f"f {f}", 0) for f in (o, *lexicon.forms(o))} | {(f"f {f}", ALSO_CORRECTED) for f in near.get(o, ()) if f != o}
+            if len(o) > 2:  # Fred for Frederick
+                heads.add((f"p {o[:3]}", 0 if len(o) < 6 else WHOLE))
+        found |= {(f"{u} {k}", marks | (CORRECTED if u != t else 0)) for u in {t, *near.get(t, ())} if len(u) > 2 for k, marks in heads}
     return found
 
 
-def title_keys(tokens: list[str], forms: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
-    """(key, side) at which a title meets others without a rare token in both; sides and ``forms`` as for :func:`person_keys`.
+def title_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
+    """(key, marks) at which a work's title meets others; ``near`` and marks as for :func:`person_keys`.
 
-    A key is the whole title in frequent and short tokens, of which up to three
-    are corrections (titles with more edits aren't linked), one token being
-    left open where an abbreviation may stand for it.
+    A key is the whole title with up to two tokens corrected.  Titles that are
+    linked differ in three tokens at most, so they meet where one has corrected
+    one and the other the rest.  Where abbreviations may stand for words, a key
+    is the first letters of all tokens with one other token.
     """
     found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 8 else set()
-    for at in range(-1, len(tokens)):
-        lists = [(0, ())]
-        for i, t in enumerate(tokens):
-            if i == at:
-                lists = [(n, (*w, t[0] + "*")) for n, w in lists]
-            else:
-                lists = [(n + (u != t), (*w, u)) for n, w in lists for u in forms.get(t, ()) if n + (u != t) <= 3]
-        side = 0 if at < 0 or tokens[at].endswith(".") else 1
-        found |= {("t " + " ".join(sorted(w)), side) for _, w in lists}
+    bare = [t.rstrip(".") for t in tokens]
+    lists: list[tuple[int, list[str]]] = [(0, [])]
+    for t in bare:
+        lists = [(n + (u != t), [*w, u]) for n, w in lists for u in {t, *near.get(t, ())} if n + (u != t) <= 2]
+    found |= {("t " + " ".join(sorted(w)), TWICE if n == 2 else 0) for n, w in lists}
+    short = any(t.endswith(".") for t in tokens)
+    for i, t in enumerate(tokens):
+        if not t.endswith("."):
+            rest = [o[0] for o in bare[:i] + bare[i + 1 :]]
+            found |= {(f"a {u} {''.join(sorted([*rest, u[0]]))}", 0 if short else WHOLE) for u in {t, *near.get(t, ())}}
+    if all(t.endswith(".") for t in tokens) or not short:
+        found.add((f"a {''.join(sorted(o[0] for o in bare))}", 0 if short else WHOLE))
     return found
 
 
 # -- over tables ---------------------------------------------------------
 
 
-def spellings(df: DataFrame, column: str, person: bool) -> DataFrame:
+def spellings(df: DataFrame, column: str, person: bool, placeholders: frozenset[str] = PLACEHOLDERS, abbreviations: frozenset[str] = ABBREVIATIONS) -> DataFrame:
     """(raw, key, tokens): every distinct spelling with its normalised name; placeholders and empty names have none."""
-    split = person_tokens if person else title_tokens
+
+    def split(name: str) -> list[str] | None:
+        return person_tokens(name, placeholders) if person else title_tokens(name, placeholders, abbreviations)
 
     @F.pandas_udf(ArrayType(StringType()))
     def tokens(names: pd.Series) -> pd.Series:
@@ -374,10 +460,12 @@ def neighbours(tokens: DataFrame) -> DataFrame:
     def near(t: pd.Series, u: pd.Series) -> pd.Series:
         return pd.Series([edits(a, b, m) <= m for a, b in zip(t, u, strict=True) for m in (most_edits(a, b),)], dtype=bool)
 
-    index = tokens.select("t", F.explode(rest("t")).alias("d"))
-    other = index.withColumnRenamed("t", "u")
-    pairs = index.join(other, "d").where("t < u").select("t", "u").distinct().where(near("t", "u"))
-    return pairs.unionByName(pairs.select(F.col("u").alias("t"), F.col("t").alias("u"))).unionByName(tokens.select("t", F.col("t").alias("u")))
+    # many rests come from few bytes: as many tasks as a shuffle has, and one pass for both sides of the join
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = written(tokens.select("t").repartition(parts, "t").select("t", F.explode(rest("t")).alias("d")), "deletes")
+    pairs = index.join(index.withColumnRenamed("t", "u"), "d").where("t < u").select("t", "u").distinct().where(near("t", "u"))
+    both = F.explode(F.array(F.struct("t", "u"), F.struct(F.col("u").alias("t"), F.col("t").alias("u")))).alias("p")
+    return pairs.select(both).select("p.t", "p.u").unionByName(tokens.select("t", F.col("t").alias("u")))
 
 
 @dataclass
@@ -387,45 +475,50 @@ class Linked:
     names: DataFrame
     groups: DataFrame
 
+    def members(self) -> DataFrame:
+        """(raw, entity): every spelling with what it names, as long as the input; the pairs grow with the square of a group."""
+        return self.names.join(self.groups, "key").select("raw", "entity")
+
     def pairs(self) -> DataFrame:
         """(name_1, name_2), name_1 < name_2: all spellings of the same entity."""
-        of = self.names.join(self.groups, "key")
+        of = self.members()
         a, b = of.select("entity", F.col("raw").alias("name_1")), of.select("entity", F.col("raw").alias("name_2"))
         return a.join(b, "entity").where("name_1 < name_2").select("name_1", "name_2").distinct()
 
 
 def link_names(
-    df: DataFrame, column: str, person: bool, short_forms: Mapping[str, Iterable[str]] | None = None, evidence: str | None = None
+    df: DataFrame, column: str, person: bool, short_forms: Mapping[str, Iterable[str]] | None = None, evidence: str | None = None,
+    placeholders: frozenset[str] = PLACEHOLDERS, abbreviations: frozenset[str] = ABBREVIATIONS,
 ) -> Linked:
     """Group the spellings in a column.
 
     ``short_forms``: short form of a given name -> full forms (a lexicon, not
     data); more are learned.  ``evidence``: a column with what records of the
-    same entity share; used for names that could stand for several, and for
-    names two edits apart (which without evidence are different names).
+    same entity share; used for names that could stand for several, for names
+    two edits apart and for edits that may as well be another name (which
+    without evidence are different names).
     Null, empty and placeholder names name nothing.  Of no rows nothing comes out.
     """
-    names = written(spellings(df, column, person), "spellings")
+    names = written(spellings(df, column, person, placeholders, abbreviations), "spellings")
     # one token list for a key: where a comma showed the order it is as good as any
     keyed = names.groupBy("key").agg(F.min("tokens").alias("tokens"))
     tokens = written(keyed.select("key", F.explode(F.array_distinct("tokens")).alias("token")), "tokens")
     n = keyed.count()
     counted = _counted(tokens, max(LEAST_SHORT_FORM, min(SHORT_FORM, ESTABLISHED) * n))
     established = {t: k for t, k in counted.items() if k >= max(LEAST_ESTABLISHED, ESTABLISHED * n)}
-    frequent = [t for t, k in established.items() if k >= max(LEAST_FREQUENT, FREQUENT * n)]
     forms: dict[str, set[str]] = {}
     if person:
         forms = learned_forms(tokens, counted, established)
         for s, fulls in (short_forms or {}).items():
             forms.setdefault(folded(s), set()).update(map(folded, fulls))
     lexicon = Lexicon(frozenset(established), {k: frozenset(v) for k, v in forms.items()})
-    links = written(_links(keyed, tokens, lexicon, frequent, person), "links")
     seen = None
     if evidence:
         seen = written(
-            df.select(F.col(column).cast("string").alias("raw"), F.col(evidence).alias("e")).where("e IS NOT NULL")
+            df.select(F.col(column).cast("string").alias("raw"), F.col(evidence).cast("string").alias("e")).where("e IS NOT NULL")
             .join(names.select("raw", "key"), "raw").select("key", "e").distinct(), "evidence",
         )
+    links = written(_links(keyed, tokens, lexicon, n, seen, person), "links")
     full = links.where("kind = 'full'").select("a", "b").unionByName(keyed.select(F.col("key").alias("a"), F.col("key").alias("b")))
     if seen is not None:
         far = links.where("kind = 'far'").select("a", "b")
@@ -439,67 +532,54 @@ def link_names(
     return Linked(names.select("raw", "key"), groups)
 
 
-def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, often: list[str], person: bool) -> DataFrame:
+def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, n: int, seen: DataFrame | None, person: bool) -> DataFrame:
     """(a, b, kind): all links between normalised names; a stands for b where the kind is 'short' or 'initial'."""
-    usable = (F.length("token") > 3) & ~F.col("token").rlike("^[0-9]+$")
-    is_rare = usable & ~F.col("token").isin(often) if often else usable
-    rare = tokens.where(is_rare)
-    words = tokens.where(~F.col("token").rlike("^[0-9]+$")).select("token").distinct()
-    near_all = written(neighbours(words.select(F.col("token").alias("t"))), "neighbours")
-    of_rare = words.where(is_rare)
-    near = near_all.join(of_rare.select(F.col("token").alias("t")), "t", "left_semi").join(of_rare.select(F.col("token").alias("u")), "u", "left_semi")
-    # what must agree anyhow: a title's numbers
-    sign = F.lit("") if person else F.regexp_replace("key", "[^0-9]+", " ")
-    left = rare.select(F.col("key").alias("a"), F.trim(sign).alias("s"), F.col("token").alias("t"))
-    right = left.select(F.col("a").alias("b"), "s", F.col("t").alias("u"))
-    by_token = left.join(near, "t").join(right, ["u", "s"]).where("a < b").select("a", "b").distinct()
-    # names of frequent tokens only meet where they share one of them and the initial of another
-    plain = keyed.join(rare.select("key").distinct(), "key", "left_anti")
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def keys(lists: pd.Series) -> pd.Series:
-        def of(t: list[str]) -> list[str]:
-            heads = {w: {w[0], *(f[0] for f in lexicon.forms(w))} for w in t if w}
-            return sorted({f"{w} {h}" for w in t if len(w) > 1 for o in t if o != w for h in heads[o]} or {" ".join(t)})
-
-        return lists.map(lambda t: of(list(t)))
-
-    one = plain.select(F.col("key").alias("a"), F.explode(keys("tokens")).alias("k"))
-    by_initial = one.join(one.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
-    # a rare token on one side only: names meet in the frequent and short tokens that theirs are or may be misspelled from
-    common = words.where(~is_rare).select(F.col("token").alias("u"))
-    held = tokens.join(near_all.join(common, "u", "left_semi"), F.col("token") == F.col("t")).groupBy("key").agg(F.collect_list(F.struct("t", "u")).alias("held"))
-    of_common = person_keys if person else title_keys
-
-    @F.pandas_udf("array<struct<k: string, side: int>>")
-    def common_keys(lists: pd.Series, held: pd.Series) -> pd.Series:
-        def of(t: list[str], pairs: list[dict] | None) -> list[dict]:
-            forms: dict[str, set[str]] = {w: {w} for w in t if w.isdigit()}
-            for p in [] if pairs is None else pairs:
-                if p["t"] == p["u"] or not (p["t"] in lexicon.established and p["u"] in lexicon.established):
-                    forms.setdefault(p["t"], set()).add(p["u"])
-            return [{"k": k, "side": s} for k, s in sorted(of_common(t, forms, lexicon))]
-
-        return pd.Series([of(list(t), p) for t, p in zip(lists, held, strict=True)], dtype=object)
-
-    placed = written(
-        keyed.join(held, "key", "left").withColumn("s", F.explode(common_keys("tokens", "held")))
-        .select(F.col("key").alias("a"), "s.k", "s.side"), "keys",
-    )
-    by_common = (
-        placed.join(placed.withColumnsRenamed({"a": "b", "side": "other"}), "k").where("a < b AND NOT (side = 1 AND other = 1)").select("a", "b").distinct()
+    bare = tokens.select("key", "token", F.rtrim("token", F.lit(".")).alias("t"))
+    words = bare.where(~F.col("t").rlike("^[0-9]+$")).select("t").distinct()
+    near = written(neighbours(words), "neighbours")
+    counts = bare.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    held = written(
+        bare.join(counts, "t").join(near, "t", "left").groupBy("key", "t", "n").agg(F.collect_set("u").alias("near"))
+        .groupBy("key").agg(F.collect_list(F.struct("t", "n", "near")).alias("held")).join(keyed, "key"), "held",
     )
-    text = keyed.select("key", F.concat_ws(" ", "tokens").alias("x"))
+    of_name = person_keys if person else title_keys
+
+    @F.pandas_udf("array<struct<k: string, marks: int>>")
+    def keys(lists: pd.Series, held: pd.Series) -> pd.Series:
+        def of(t: list[str], entries: list[dict]) -> list[dict]:
+            forms = {e["t"]: {u for u in e["near"] if u == e["t"] or not (e["t"] in lexicon.established and u in lexicon.established)} for e in entries}
+            return [{"k": k, "marks": m} for k, m in sorted(of_name(t, forms, lexicon))]
+
+        return pd.Series([of(list(t), h) for t, h in zip(lists, held, strict=True)], dtype=object)
+
+    placed = held.withColumn("s", F.explode(keys("tokens", "held"))).select(F.col("key").alias("a"), "s.k", "s.marks")
+    if person and seen is not None:
+        # given names that no lexicon links: a surname, as written or corrected, and evidence
+        whole = held.where(F.size(F.filter("tokens", lambda t: F.length(t) > 1)) > 1).select("key", F.explode("held").alias("h")).where(F.length("h.t") > 4)
+        surnames = whole.select("key", F.col("h.t").alias("t"), F.explode("h.near").alias("u"))
+        placed = placed.unionByName(surnames.join(seen, "key").select(
+            F.col("key").alias("a"), F.concat_ws(" ", "u", F.lit("e"), "e").alias("k"), F.when(F.col("t") == F.col("u"), 0).otherwise(CORRECTED).alias("marks")
+        ))
+    placed = written(placed, "keys")
+    met = placed.join(placed.withColumnsRenamed({"a": "b", "marks": "other"}), "k").where((F.col("a") < F.col("b")) & (F.col("marks").bitwiseAND(F.col("other")) == 0))
+    used = F.transform("held", lambda h: F.struct(h["t"].alias("t"), h["n"].alias("n")))
+    text = held.select("key", F.concat_ws(" ", "tokens").alias("x"), used.alias("c"))
     candidates = (
-        by_token.unionByName(by_initial).unionByName(by_common).distinct()
-        .join(text.select(F.col("key").alias("a"), F.col("x").alias("ta")), "a")
-        .join(text.select(F.col("key").alias("b"), F.col("x").alias("tb")), "b")
+        met.select("a", "b").distinct()
+        .join(text.select(F.col("key").alias("a"), F.col("x").alias("ta"), F.col("c").alias("ca")), "a")
+        .join(text.select(F.col("key").alias("b"), F.col("x").alias("tb"), F.col("c").alias("cb")), "b")
     )
     link = person_link if person else title_link
 
     @F.pandas_udf("string")
-    def kind(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([link(a.split(" "), b.split(" "), lexicon) for a, b in zip(x, y, strict=True)], dtype=object)
+    def kind(x: pd.Series, y: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        def of(a: str, b: str, ca: list[dict], cb: list[dict]) -> str | None:
+            found = link(a.split(" "), b.split(" "), lexicon)
+            if found is None or found == "far" or a == b:
+                return found
+            return link(a.split(" "), b.split(" "), lexicon, Usage(n, {e["t"]: e["n"] for e in (*ca, *cb)}))
+
+        return pd.Series([of(*r) for r in zip(x, y, cx, cy, strict=True)], dtype=object)
 
     @F.pandas_udf("int")
     def rank(x: pd.Series) -> pd.Series:
@@ -510,7 +590,7 @@ def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, often: list[st
 
         return x.map(lambda s: of(s.split(" "))).astype("int32")
 
-    found = candidates.withColumn("kind", kind("ta", "tb")).where("kind IS NOT NULL")
+    found = candidates.withColumn("kind", kind("ta", "tb", "ca", "cb")).where("kind IS NOT NULL")
     if not person:
         return found.select("a", "b", "kind")
     ranked = found.withColumn("ra", rank("ta")).withColumn("rb", rank("tb"))
