@@ -9,7 +9,9 @@
 3. Names meet where two things agree: a token, as written or as corrected by
    the index, and what another token may stand for (itself, its corrections,
    short and full forms, an initial, its beginning) or evidence (a film).
-   Works meet in all their tokens with up to three of them corrected.
+   Works meet in all their tokens with up to three of them corrected.  Of two
+   neighbouring tokens the rarer one is corrected to the other, never the other
+   way round, so a usual token has few corrections however often it is misspelled.
 4. Names that meet are aligned: tokens are assigned to each other at the lowest
    total cost, edits, short forms, initials and abbreviations being allowed.
 5. Links of full names make groups.  An edit that may as well be another name,
@@ -344,15 +346,14 @@ def title_link(a: list[str], b: list[str], lexicon: Lexicon, usage: Usage = Usag
     return None if sum(typed) > 3 else "far" if max(typed, default=0) > 1 or usage.doubtful(pairs) else "full"
 
 
-#: Marks of a key: two names don't meet in it if they have one of them in common.
-WHOLE, CORRECTED, ALSO_CORRECTED, TWICE = 1, 2, 4, 1
+#: Mark of a key in which names with that mark don't meet each other.
+WHOLE = 1
 
 
 def person_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
-    """(key, marks) at which a person's name meets others: a token, and what another one may stand for.
+    """(key, mark) at which a person's name meets others: a token, and what another one may stand for.
 
-    ``near``: the tokens that each token is or may be misspelled from.  Of two
-    names that meet one has the token as written in the key.
+    ``near``: the tokens that each token may be misspelled from.
     """
     found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 6 else set()
     whole = sum(len(o) > 1 for o in tokens)
@@ -365,27 +366,26 @@ def person_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexico
                 heads.add((f"1 {o}", 0))
                 continue
             heads |= {(f"1 {f[0]}", WHOLE) for f in (o, *lexicon.forms(o))}
-            heads |= {(f"f {f}", 0) for f in (o, *lexicon.forms(o))} | {(f"f {f}", ALSO_CORRECTED) for f in near.get(o, ()) if f != o}
+            heads |= {(f"f {f}", 0) for f in (o, *lexicon.forms(o), *near.get(o, ()))}
             if len(o) > 2:  # Fred for Frederick
                 heads.add((f"p {o[:3]}", 0 if len(o) < 6 else WHOLE))
-        found |= {(f"{u} {k}", marks | (CORRECTED if u != t else 0)) for u in {t, *near.get(t, ())} if len(u) > 2 for k, marks in heads}
+        found |= {(f"{u} {k}", mark) for u in {t, *near.get(t, ())} if len(u) > 2 for k, mark in heads}
     return found
 
 
 def title_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
-    """(key, marks) at which a work's title meets others; ``near`` and marks as for :func:`person_keys`.
+    """(key, mark) at which a work's title meets others; ``near`` as for :func:`person_keys`.
 
-    A key is the whole title with up to two tokens corrected.  Titles that are
-    linked differ in three tokens at most, so they meet where one has corrected
-    one and the other the rest.  Where abbreviations may stand for words, a key
+    A key is the whole title with up to three tokens corrected; titles that are
+    linked don't differ in more.  Where abbreviations may stand for words, a key
     is the first letters of all tokens with one other token.
     """
     found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 8 else set()
     bare = [t.rstrip(".") for t in tokens]
     lists: list[tuple[int, list[str]]] = [(0, [])]
     for t in bare:
-        lists = [(n + (u != t), [*w, u]) for n, w in lists for u in {t, *near.get(t, ())} if n + (u != t) <= 2]
-    found |= {("t " + " ".join(sorted(w)), TWICE if n == 2 else 0) for n, w in lists}
+        lists = [(n + (u != t), [*w, u]) for n, w in lists for u in {t, *near.get(t, ())} if n + (u != t) <= 3]
+    found |= {("t " + " ".join(sorted(w)), 0) for _, w in lists}
     short = any(t.endswith(".") for t in tokens)
     for i, t in enumerate(tokens):
         if not t.endswith("."):
@@ -538,30 +538,29 @@ def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, n: int, seen:
     words = bare.where(~F.col("t").rlike("^[0-9]+$")).select("t").distinct()
     near = written(neighbours(words), "neighbours")
     counts = bare.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    up = near.where("t <> u").join(counts, "t").join(counts.withColumnsRenamed({"t": "u", "n": "m"}), "u").where("m > n OR (m = n AND u > t)").select("t", "u")
     held = written(
-        bare.join(counts, "t").join(near, "t", "left").groupBy("key", "t", "n").agg(F.collect_set("u").alias("near"))
+        bare.join(counts, "t").join(up, "t", "left").groupBy("key", "t", "n").agg(F.collect_set("u").alias("near"))
         .groupBy("key").agg(F.collect_list(F.struct("t", "n", "near")).alias("held")).join(keyed, "key"), "held",
     )
     of_name = person_keys if person else title_keys
 
-    @F.pandas_udf("array<struct<k: string, marks: int>>")
+    @F.pandas_udf("array<struct<k: string, mark: int>>")
     def keys(lists: pd.Series, held: pd.Series) -> pd.Series:
         def of(t: list[str], entries: list[dict]) -> list[dict]:
-            forms = {e["t"]: {u for u in e["near"] if u == e["t"] or not (e["t"] in lexicon.established and u in lexicon.established)} for e in entries}
-            return [{"k": k, "marks": m} for k, m in sorted(of_name(t, forms, lexicon))]
+            forms = {e["t"]: {u for u in e["near"] if not (e["t"] in lexicon.established and u in lexicon.established)} for e in entries}
+            return [{"k": k, "mark": m} for k, m in sorted(of_name(t, forms, lexicon))]
 
         return pd.Series([of(list(t), h) for t, h in zip(lists, held, strict=True)], dtype=object)
 
-    placed = held.withColumn("s", F.explode(keys("tokens", "held"))).select(F.col("key").alias("a"), "s.k", "s.marks")
+    placed = held.withColumn("s", F.explode(keys("tokens", "held"))).select(F.col("key").alias("a"), "s.k", "s.mark")
     if person and seen is not None:
         # given names that no lexicon links: a surname, as written or corrected, and evidence
         whole = held.where(F.size(F.filter("tokens", lambda t: F.length(t) > 1)) > 1).select("key", F.explode("held").alias("h")).where(F.length("h.t") > 4)
-        surnames = whole.select("key", F.col("h.t").alias("t"), F.explode("h.near").alias("u"))
-        placed = placed.unionByName(surnames.join(seen, "key").select(
-            F.col("key").alias("a"), F.concat_ws(" ", "u", F.lit("e"), "e").alias("k"), F.when(F.col("t") == F.col("u"), 0).otherwise(CORRECTED).alias("marks")
-        ))
+        surnames = whole.select("key", F.explode(F.array_union(F.array("h.t"), "h.near")).alias("u"))
+        placed = placed.unionByName(surnames.join(seen, "key").select(F.col("key").alias("a"), F.concat_ws(" ", "u", F.lit("e"), "e").alias("k"), F.lit(0).alias("mark")))
     placed = written(placed, "keys")
-    met = placed.join(placed.withColumnsRenamed({"a": "b", "marks": "other"}), "k").where((F.col("a") < F.col("b")) & (F.col("marks").bitwiseAND(F.col("other")) == 0))
+    met = placed.join(placed.withColumnsRenamed({"a": "b", "mark": "other"}), "k").where("a < b AND NOT (mark = 1 AND other = 1)")
     used = F.transform("held", lambda h: F.struct(h["t"].alias("t"), h["n"].alias("n")))
     text = held.select("key", F.concat_ws(" ", "tokens").alias("x"), used.alias("c"))
     candidates = (

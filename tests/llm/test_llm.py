@@ -232,6 +232,74 @@ def test_titles_of_short_and_of_split_words(spark):
     assert linked(spark, [x for p in pairs for x in p], person=False) == all_pairs(*pairs)
 
 
+def corpus(n, *spelled):
+    """Names with others around them, none of which is near to any."""
+    filler = [f"{a}{b}{a}ko {c}{b}{c}{a}mum" for a in "bdfgzv" for b in "aeiou" for c in "bdfgzv"]
+    return [*filler[: n - len(spelled)], *spelled]
+
+
+def test_different_names_one_edit_apart_need_evidence(spark):
+    spelled = ["Gina Smith", "Tina Smith", "John Larson", "John Lawson", "John Parson"]
+    assert linked(spark, corpus(50, *spelled)) == set()
+    assert linked(spark, corpus(150, *spelled)) == set()
+    rows = [(x, f"f{i}") for i, x in enumerate(corpus(100))] + [(x, "film") for x in ("John Smith", "John Smyth", "Gina Wood", "Tina Wood")] + [("Nina Wood", "other")]
+    pairs = names.link_names(spark.createDataFrame(rows, "x string, e string"), "x", True, evidence="e").pairs().collect()
+    assert {(r.name_1, r.name_2) for r in pairs} == {("John Smith", "John Smyth"), ("Gina Wood", "Tina Wood")}
+
+
+def test_slips_and_long_tokens_need_none(spark):
+    pairs = [["John Smith", "Jhon Smith"], ["Ang Lee", "Ang Leee"], ["Robert Kurkunpirlen", "Robert Kurkunpxrlen"], ["Spike Jonze", "Spike Jonez"]]
+    assert linked(spark, corpus(60, *(x for p in pairs for x in p))) == all_pairs(*pairs)
+    assert names.slip("gina", "gian") and names.slip("lee", "leee") and not names.slip("gina", "tina") and not names.slip("maria", "marina")
+
+
+def test_frequent_names_meet_as_rare_ones_do(spark):
+    filler = [f"John {a}{b}{a}{b}{a}{b}ov" for a in "bdfgk" for b in "lmnrs"] + [f"{a}{b}{b}{a}{a}{b}us Smith" for a in "bdfgk" for b in "lmnrs"]
+    got = linked(spark, [*filler, "John Smith", "Jhon Smith", "John Smiht", "J. Smith", "John A. Smith"])
+    assert frozenset(("Jhon Smith", "John Smiht")) in got and frozenset(("John A. Smith", "John Smith")) in got
+
+
+def test_usual_tokens_have_few_keys():
+    """However many misspellings of a token there are, a name with the token itself isn't keyed by them."""
+    near = {"smyht": {"smith"}, "smithh": {"smith"}, "smoth": {"smith"}}
+    assert all("smith" in k or k.startswith("j ") or k.startswith("john ") for k, _ in names.person_keys(["john", "smith"], near, names.Lexicon()))
+    assert names.person_keys(["john", "smyht"], near, names.Lexicon()) & names.person_keys(["john", "smoth"], near, names.Lexicon())
+
+
+def test_assignment_is_optimal():
+    rng = random.Random(8)
+    for n in (1, 2, 5, 6):
+        for _ in range(30):
+            cost = [[rng.choice([0.0, rng.random(), -rng.randrange(50)]) for _ in range(n)] for _ in range(n)]
+            got = names.hungarian(cost)
+            best = min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+            assert sorted(got) == list(range(n)) and abs(sum(cost[i][j] for i, j in enumerate(got)) - best) < 1e-9
+
+
+def test_names_of_many_differing_tokens():
+    whole = ["anselmo", "bertholdo", "cordelius", "desmondo", "eusebius", "fridolin", "gottfried", "hildebert", "ignatius", "jeronimo", "kasimir", "leopoldo"]
+    initials = [w[0] for w in whole]
+    assert names.person_link([*initials, "kurkunpirlen"], [*reversed(whole), "kurkunpirlen"], names.Lexicon()) == "initial"
+    assert names.person_link([*initials[:-1], "x", "kurkunpirlen"], [*whole, "kurkunpirlen"], names.Lexicon()) is None
+
+
+def test_placeholders_are_a_parameter(spark):
+    spelled = ["Alan Smithee", "Alan  Smithee", "N/A", "n/a"]
+    assert linked(spark, spelled) == {frozenset(("Alan Smithee", "Alan  Smithee"))}
+    assert linked(spark, spelled, placeholders=frozenset({"alan smithee"})) == {frozenset(("N/A", "n/a"))}
+
+
+def test_several_abbreviations_in_a_title(spark):
+    pair = ["Capt. Mt. Jedupundin", "Captain Mount Jedupundin"]
+    assert linked(spark, [*pair, "Captain Murat Jedupandas"], person=False) == all_pairs(pair)
+
+
+def test_members_are_as_long_as_the_input(spark):
+    df = spark.createDataFrame([(f"{'X' * (i % 2)}avier{'.' * (i % 3)} Kurkunpirlen",) for i in range(6)], "x string")
+    found = names.link_names(df, "x", True)
+    assert found.members().count() == df.distinct().count()
+
+
 def test_no_names(spark):
     assert linked(spark, []) == set()
     assert linked(spark, [None, "", "N/A"]) == set()
