@@ -5,7 +5,10 @@ vocabulary reaches over such a place.  Each distinct chunk is split by the
 tokenizer's pattern and its pieces are merged once per worker: pieces of
 similar length form a padded matrix in which every row merges its leftmost pair
 of minimum rank each round, pairs are looked up in an open-addressing hash
-table, and rows are compacted by one column a round.  Chunks seen before are
+table, and rows are compacted by one column a round.  Rows of more than 32
+bytes take several of the rounds that merge one and the same pair at once
+where that gives the same, which long runs of one letter would need
+thousands of rounds for.  Chunks seen before are
 gathered from a flat array of ids.
 
 Null and empty texts get the empty list.  Special tokens are ordinary text.

@@ -28,8 +28,8 @@ from lakeweave.plans.scratch import written
 
 #: Bits of a code, and those of them that ride along to test the Hamming radius.
 BITS, RADIUS_BITS = 1024, 128
-#: A set with more than this share of all rows (and so many rows) is spread over SALTS tasks; at most 1 / HOT_SHARE sets can have it.
-HOT_SHARE, HOT_ROWS, SALTS = 0.001, 1_000_000, 64
+#: A set of more rows is split into parts of about half as many, however large it is; no task holds more of one set.
+HOT_ROWS = 1_000_000
 _SETS = "id string, salt int, hot boolean, n long, tokens array<string>, digest string, code binary"
 _SEED = 20240229
 
@@ -166,7 +166,7 @@ def _sketch(least: int):
 
 
 def _merge_hot(parts: pd.DataFrame) -> pd.DataFrame:
-    """The parts of one hot set, at most SALTS rows."""
+    """The parts of one hot set: 4 KB for every HOT_ROWS / 2 of its rows."""
     parts = parts.sort_values("salt")
     mins = np.stack([np.frombuffer(c, np.uint32) for c in parts["code"]]).min(axis=0)
     digest = hashlib.md5("".join(parts["digest"]).encode()).hexdigest()
@@ -188,11 +188,12 @@ def sketch(df: DataFrame, ident: str, token: str, least: int, hot_rows: int = HO
     """
     rows = df.select(F.col(ident).cast("string").alias("id"), F.col(token).cast("string").alias("token")).where("id IS NOT NULL AND token <> ''")
     sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    total = rows.count()
-    hot = [r.id for r in sizes.where(F.col("rows") > max(hot_rows, HOT_SHARE * total)).collect()]  # at most 1 / HOT_SHARE ids
-    is_hot = F.col("id").isin(hot) if hot else F.lit(False)
-    salted = rows.withColumn("hot", is_hot).withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    large = written(sizes.where(F.col("rows") > hot_rows).select("id", F.ceil(F.col("rows") / max(1, hot_rows // 2)).cast("int").alias("parts")), "large-sets")
+    hot = not large.isEmpty()
+    # left to Spark's own size check: there are at most (all rows) / HOT_ROWS of them
+    told = rows.join(large, "id", "left") if hot else rows.withColumn("parts", F.lit(None).cast("int"))
+    salted = told.select(
+        "id", "token", F.col("parts").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("token"), F.col("parts")).cast("int"), F.lit(0)).alias("salt")
     )
     ordered = (
         salted.repartition("id", "salt").sortWithinPartitions("id", "salt", "token")
@@ -209,10 +210,22 @@ def sketch(df: DataFrame, ident: str, token: str, least: int, hot_rows: int = HO
     return Sketches(sets, codes)
 
 
-def similar_pairs(
+@dataclass
+class SimilarClasses:
+    """``members``: (id, rep), every set with its class of equal sets; ``pairs``: (a, b) of similar classes.
+
+    This is as long as the input and the similar pairs of different sets; the
+    pairs of all sets grow with the square of a class as well.
+    """
+
+    members: DataFrame
+    pairs: DataFrame
+
+
+def similar_classes(
     df: DataFrame, ident: str, token: str, threshold: float, least: int = 1, recall: float = 0.999, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """(id_1, id_2), id_1 < id_2: all pairs of sets whose Jaccard similarity is at least ``threshold``.
+) -> SimilarClasses:
+    """Classes of equal sets, and the pairs of classes whose Jaccard similarity is at least ``threshold``.
 
     Every pair that comes out is verified exactly; a pair exactly at the
     threshold is missed with probability ``1 - recall`` at most, one above it
@@ -228,10 +241,17 @@ def similar_pairs(
     reps = member.where("code IS NOT NULL")
     plan = calibrate(reps.count(), threshold, recall)
     near = _candidates(reps, plan, threshold)
-    pairs = _verified(written(near, "near"), sk.sets, threshold)
-    plain = member.select("id", "rep")
+    return SimilarClasses(member.select("id", "rep"), _verified(written(near, "near"), sk.sets, threshold))
+
+
+def similar_pairs(
+    df: DataFrame, ident: str, token: str, threshold: float, least: int = 1, recall: float = 0.999, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(id_1, id_2), id_1 < id_2: all pairs of similar sets, those of equal sets included; as :func:`similar_classes` otherwise."""
+    found = similar_classes(df, ident, token, threshold, least, recall, hot_rows)
+    plain = found.members
     across = (
-        pairs.join(plain.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a")
+        found.pairs.join(plain.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a")
         .join(plain.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b")
     ).select("x", "y")
     others = plain.where("id <> rep")

@@ -373,6 +373,15 @@ def test_similar_sets(spark, hot_rows):
     assert len(got) >= 0.97 * len(want)
 
 
+def test_classes_and_a_large_set(spark):
+    base = [str(x) for x in range(900)]
+    sets = {"large": base, "same": base, "near": base[:800] + ["n1"], "small": base[:30], "again": base[:30], "far": ["z1", "z2"] * 20}
+    rows = [(v, k) for k, vs in sets.items() for v in vs]
+    found = set_join.similar_classes(spark.createDataFrame(rows, "t string, i string"), "i", "t", 0.7, hot_rows=100)
+    assert {(r.id, r.rep) for r in found.members.collect()} == {("large", "large"), ("same", "large"), ("near", "near"), ("small", "again"), ("again", "again"), ("far", "far")}
+    assert [sorted(r) for r in found.pairs.collect()] == [["large", "near"]]
+
+
 def test_similar_sets_of_nothing(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert set_join.similar_pairs(df, "a", "b", 0.7).count() == 0
@@ -437,6 +446,25 @@ def test_encoding_is_the_public_one():
         assert flat[at[i] : at[i + 1]].tolist() == ref.encode(t, add_special_tokens=False).ids
 
 
+def test_wide_rows_follow_the_leftmost_rule():
+    """Rounds that merge all occurrences of a pair at once give what merging the leftmost one each round gives."""
+    with open(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        raw = f.read()
+    enc = bpe.ByteBPE(raw)
+    ranks = {bpe.base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x)}
+    rng = random.Random(6)
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(33, 300))) for alphabet in ("a", "ab", "aab=", "etaoin", "-=", "é", "01", "ha") for _ in range(25)]
+    for word, ids in zip(words, enc.merge_pieces([w.encode() for w in words]), strict=True):
+        parts = [bytes([b]) for b in word.encode()]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in ranks]
+            if not found:
+                break
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert ids.tolist() == [ranks[p] for p in parts]
+
+
 def test_encode_table(spark):
     df = spark.createDataFrame([(1, "hi there"), (2, None), (3, ""), (1, "hi there")], "text long, ids string")
     got = [(r.id, r.ids) for r in bpe.encode_texts(df, "text", "ids", bpe.SharedEncoder(spark)).collect()]
