@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lakeweave.llm.suffixes import _differs
+from lakeweave.plans.scratch import written
 
 #: Stands between the fields of a canonical record; no canonical field holds it.
 SEP = "\x01"
@@ -56,7 +57,8 @@ def canonical_records(cells: DataFrame, record: Sequence[str], field: str, text:
 def copies(records: DataFrame) -> DataFrame:
     """(r0.., n_copies) for every group of two or more records of one ``key``: the smallest record and their number."""
     ids = [c for c in records.columns if c != "key"]
-    rows = records.select("key", *ids)
+    # written first: the ranges are told from a sample, for which the records would be made a second time
+    rows = written(records.select("key", *ids), "records")
     array = rows.repartitionByRange("key", *ids).sortWithinPartitions("key", *ids)
     schema = StructType([StructField("key", StringType()), *(rows.schema[c] for c in ids), StructField("n", LongType())])
 
