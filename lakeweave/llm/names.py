@@ -28,7 +28,7 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,9 +105,11 @@ def title_tokens(title: str | None, placeholders: frozenset[str] = PLACEHOLDERS,
     # a number inside the title is a word, one at its end a part
     tokens[:-1] = [_WORDS.get(t.rstrip("."), t) for t in tokens[:-1]]
     out = []
-    for t in tokens:
+    for i, t in enumerate(tokens):
         bare = t.rstrip(".")
-        out.append(bare + "." if t.endswith(".") and not bare.isdigit() or bare in abbreviations else bare)
+        # "no" is a number's only before one: No Rain in Vienna
+        known = bare in abbreviations and (bare != "no" or tokens[i + 1 : i + 2] and tokens[i + 1].rstrip(".").isdigit())
+        out.append(bare + "." if t.endswith(".") and not bare.isdigit() or known else bare)
     if out and out[-1].endswith(".") and out[-1][:-1] not in abbreviations:
         out[-1] = out[-1][:-1]
     return out
@@ -346,8 +348,9 @@ def title_link(a: list[str], b: list[str], lexicon: Lexicon, usage: Usage = Usag
     return None if sum(typed) > 3 else "far" if max(typed, default=0) > 1 or usage.doubtful(pairs) else "full"
 
 
-#: Mark of a key in which names with that mark don't meet each other.
-WHOLE = 1
+#: Marks of a key: bits of which two names that meet have none in common.  A name with a whole word where the other must
+#: have an initial has WHOLE; of two opened tokens of a title each has a bit.  PLAIN keys are only for each other.
+WHOLE, PLAIN = 1, -1
 
 
 def person_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexicon) -> set[tuple[str, int]]:
@@ -355,7 +358,7 @@ def person_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexico
 
     ``near``: the tokens that each token may be misspelled from.
     """
-    found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 6 else set()
+    found = set()
     whole = sum(len(o) > 1 for o in tokens)
     for i, t in enumerate(tokens):
         if len(t) == 1:
@@ -377,22 +380,34 @@ def title_keys(tokens: list[str], near: Mapping[str, set[str]], lexicon: Lexicon
     """(key, mark) at which a work's title meets others; ``near`` as for :func:`person_keys`.
 
     A key is the whole title with up to three tokens corrected; titles that are
-    linked don't differ in more.  Where abbreviations may stand for words, a key
-    is the first letters of all tokens with one other token.
+    linked don't differ in more.  An abbreviation may stand for a word, so of
+    any one or two tokens, and of all abbreviations, the first letter is a key
+    with all other tokens.  Titles with more abbreviations than that meet in
+    the first letters of all tokens and one other token.
     """
-    found = {(f"j {d}", 0) for d in deletes("".join(tokens), 1)} if len("".join(tokens)) > 8 else set()
     bare = [t.rstrip(".") for t in tokens]
+    short = [i for i, t in enumerate(tokens) if t.endswith(".")]
     lists: list[tuple[int, list[str]]] = [(0, [])]
     for t in bare:
         lists = [(n + (u != t), [*w, u]) for n, w in lists for u in {t, *near.get(t, ())} if n + (u != t) <= 3]
-    found |= {("t " + " ".join(sorted(w)), 0) for _, w in lists}
-    short = any(t.endswith(".") for t in tokens)
-    for i, t in enumerate(tokens):
-        if not t.endswith("."):
-            rest = [o[0] for o in bare[:i] + bare[i + 1 :]]
-            found |= {(f"a {u} {''.join(sorted([*rest, u[0]]))}", 0 if short else WHOLE) for u in {t, *near.get(t, ())}}
-    if all(t.endswith(".") for t in tokens) or not short:
-        found.add((f"a {''.join(sorted(o[0] for o in bare))}", 0 if short else WHOLE))
+    found = {("t " + " ".join(sorted(w)), PLAIN) for _, w in lists}
+    free = [i for i, t in enumerate(bare) if i not in short and len(t) > 2]
+    mark = 0 if short else WHOLE
+    for _, w in lists:
+        for more in ((), *((i,) for i in free), *combinations(free, 2)):
+            opened = [*short, *more]
+            if len(opened) not in (1, 2):
+                continue
+            key = f"o {len(opened)} " + " ".join(sorted([u[0] + "*" if i in opened else u for i, u in enumerate(w)]))
+            # an opened token must be an abbreviation in one of the two titles
+            for order in permutations(opened):
+                letters = [w[i][0] for i in order]
+                if letters == sorted(letters):
+                    found.add((key, sum(1 << n for n, i in enumerate(order) if i in more)))
+    if len(short) > 2 or not short:
+        first = "".join(sorted(o[0] for o in bare))
+        found |= {(f"a {u} {first}", mark) for i, t in enumerate(bare) if i not in short for u in {t, *near.get(t, ())}}
+        found.add((f"a {first}", mark))
     return found
 
 
@@ -554,31 +569,38 @@ def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, n: int, seen:
         return pd.Series([of(list(t), h) for t, h in zip(lists, held, strict=True)], dtype=object)
 
     placed = held.withColumn("s", F.explode(keys("tokens", "held"))).select(F.col("key").alias("a"), "s.k", "s.mark")
+    # words written together or apart: names meet in all their letters but one
+    joined = held.select(F.col("key").alias("a"), F.array_join("tokens", "").alias("j")).where(F.length("j") > (6 if person else 8))
+    less = F.transform(F.sequence(F.lit(1), F.length("j")), lambda i: F.concat(F.substring("j", F.lit(1), i - 1), F.substr(F.col("j"), i + 1)))
+    placed = placed.unionByName(joined.select("a", F.explode(F.array_distinct(F.array_append(less, F.col("j")))).alias("k"), F.lit(PLAIN).alias("mark")))
     if person and seen is not None:
         # given names that no lexicon links: a surname, as written or corrected, and evidence
         whole = held.where(F.size(F.filter("tokens", lambda t: F.length(t) > 1)) > 1).select("key", F.explode("held").alias("h")).where(F.length("h.t") > 4)
         surnames = whole.select("key", F.explode(F.array_union(F.array("h.t"), "h.near")).alias("u"))
-        placed = placed.unionByName(surnames.join(seen, "key").select(F.col("key").alias("a"), F.concat_ws(" ", "u", F.lit("e"), "e").alias("k"), F.lit(0).alias("mark")))
-    placed = written(placed, "keys")
-    met = placed.join(placed.withColumnsRenamed({"a": "b", "mark": "other"}), "k").where("a < b AND NOT (mark = 1 AND other = 1)")
-    used = F.transform("held", lambda h: F.struct(h["t"].alias("t"), h["n"].alias("n")))
-    text = held.select("key", F.concat_ws(" ", "tokens").alias("x"), used.alias("c"))
+        placed = placed.unionByName(surnames.join(seen, "key").select(F.col("key").alias("a"), F.concat_ws(" ", "u", F.lit("e"), "e").alias("k"), F.lit(PLAIN).alias("mark")))
+    placed = written(placed.select("a", F.xxhash64("k").alias("k"), "mark"), "keys")  # what meets by chance is told apart by the alignment
+    # a name joins those of the marks that it may meet, so that names that may not meet aren't paired at all
+    partners = F.when(F.col("mark") == PLAIN, F.array(F.lit(PLAIN))).otherwise(F.filter(F.array(*(F.lit(m) for m in range(4))), lambda m: m.bitwiseAND(F.col("mark")) == 0))
+    other = placed.select(F.col("a").alias("b"), "k", F.explode(partners).alias("mark"))
+    met = placed.join(other, ["k", "mark"]).where("a < b")
+    text = held.select("key", F.concat_ws(" ", "tokens").alias("x"))
     candidates = (
         met.select("a", "b").distinct()
-        .join(text.select(F.col("key").alias("a"), F.col("x").alias("ta"), F.col("c").alias("ca")), "a")
-        .join(text.select(F.col("key").alias("b"), F.col("x").alias("tb"), F.col("c").alias("cb")), "b")
+        .join(text.select(F.col("key").alias("a"), F.col("x").alias("ta")), "a")
+        .join(text.select(F.col("key").alias("b"), F.col("x").alias("tb")), "b")
     )
     link = person_link if person else title_link
 
     @F.pandas_udf("string")
-    def kind(x: pd.Series, y: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
-        def of(a: str, b: str, ca: list[dict], cb: list[dict]) -> str | None:
-            found = link(a.split(" "), b.split(" "), lexicon)
-            if found is None or found == "far" or a == b:
-                return found
-            return link(a.split(" "), b.split(" "), lexicon, Usage(n, {e["t"]: e["n"] for e in (*ca, *cb)}))
+    def kind(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([link(a.split(" "), b.split(" "), lexicon) for a, b in zip(x, y, strict=True)], dtype=object)
 
-        return pd.Series([of(*r) for r in zip(x, y, cx, cy, strict=True)], dtype=object)
+    @F.pandas_udf("string")
+    def doubted(kind: pd.Series, x: pd.Series, y: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        def of(kind: str, a: str, b: str, ca: list[dict], cb: list[dict]) -> str | None:
+            return kind if kind == "far" else link(a.split(" "), b.split(" "), lexicon, Usage(n, {e["t"]: e["n"] for e in (*ca, *cb)}))
+
+        return pd.Series([of(*r) for r in zip(kind, x, y, cx, cy, strict=True)], dtype=object)
 
     @F.pandas_udf("int")
     def rank(x: pd.Series) -> pd.Series:
@@ -589,7 +611,13 @@ def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, n: int, seen:
 
         return x.map(lambda s: of(s.split(" "))).astype("int32")
 
-    found = candidates.withColumn("kind", kind("ta", "tb", "ca", "cb")).where("kind IS NOT NULL")
+    # of those that link, whether an edit may be another name
+    linked = written(candidates.withColumn("kind", kind("ta", "tb")).where("kind IS NOT NULL"), "linked")
+    used = held.select("key", F.transform("held", lambda h: F.struct(h["t"].alias("t"), h["n"].alias("n"))).alias("c"))
+    found = (
+        linked.join(used.select(F.col("key").alias("a"), F.col("c").alias("ca")), "a").join(used.select(F.col("key").alias("b"), F.col("c").alias("cb")), "b")
+        .withColumn("kind", doubted("kind", "ta", "tb", "ca", "cb")).drop("ca", "cb")
+    )
     if not person:
         return found.select("a", "b", "kind")
     ranked = found.withColumn("ra", rank("ta")).withColumn("rb", rank("tb"))
