@@ -446,7 +446,7 @@ def learned_forms(tokens: DataFrame, counted: Iterable[str], established: Iterab
         return {}
     given = tokens.where(F.col("token").isin(list(counted)) & (F.length("token") > 1))
     sur = tokens.where(~F.col("token").isin(often) & (F.length("token") > 3))
-    stands = given.join(sur.select("key", F.col("token").alias("sur")), "key").where("token <> sur").select("token", "sur").distinct()
+    stands = written(given.join(sur.select("key", F.col("token").alias("sur")), "key").where("token <> sur").select("token", "sur").distinct(), "stands")
     with_n = stands.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     total = stands.select("sur").distinct().count()
     both = (
@@ -516,7 +516,7 @@ def link_names(
     """
     names = written(spellings(df, column, person, placeholders, abbreviations), "spellings")
     # one token list for a key: where a comma showed the order it is as good as any
-    keyed = names.groupBy("key").agg(F.min("tokens").alias("tokens"))
+    keyed = written(names.groupBy("key").agg(F.min("tokens").alias("tokens")), "keyed")
     tokens = written(keyed.select("key", F.explode(F.array_distinct("tokens")).alias("token")), "tokens")
     n = keyed.count()
     counted = _counted(tokens, max(LEAST_SHORT_FORM, min(SHORT_FORM, ESTABLISHED) * n))
@@ -634,10 +634,10 @@ def _links(keyed: DataFrame, tokens: DataFrame, lexicon: Lexicon, n: int, seen:
 def _attached(groups: DataFrame, links: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Groups after names with short forms or initials have joined those they stand for."""
     of = groups.select("key", "entity")
-    reach = (
+    reach = written(
         links.join(of.select(F.col("key").alias("a"), F.col("entity").alias("ea")), "a")
         .join(of.select(F.col("key").alias("b"), F.col("entity").alias("eb")), "b")
-        .where("ea <> eb").select("ea", "eb").distinct()
+        .where("ea <> eb").select("ea", "eb").distinct(), "reach",
     )
     n = reach.groupBy("ea").agg(F.count(F.lit(1)).alias("n"))
     single = reach.join(n.where("n = 1"), "ea").select("ea", "eb")
