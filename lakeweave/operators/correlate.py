@@ -141,28 +141,3 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     row = coded.agg(*(pearson(coded, x, y).alias(f"c{i}") for i, (x, y) in enumerate(names)))
     entries = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("corr")) for i, (x, y) in enumerate(names) for a, b in {(x, y), (y, x)}]
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-
-def counted_ranks(joined: DataFrame) -> DataFrame:
-    """(table_col_id, input_row, e): ranks of joined rows by counting along the column's order, without averaging equal values.
-
-    ``joined``: all rows of each column (table_col_id, ext_row, rk, input_row),
-    ``input_row`` null where a row isn't joined.  The count goes up after a
-    row that the next one equals, and once for a change of value after a
-    joined row; of several rows of one input row the last counts.  For columns
-    without equal values this is the rank among the joined rows.  A column must
-    fit in one task.
-    """
-    w = Window.partitionBy("table_col_id").orderBy("rk", "ext_row")
-    flagged = joined.withColumn("differs", F.coalesce(F.lead("rk").over(w) != F.col("rk"), F.lit(False)))
-    rows = flagged.groupBy("table_col_id").agg(F.array_sort(F.collect_list(F.struct("rk", "ext_row", "input_row", "differs"))).alias("l"))
-    fold = F.expr("""aggregate(l,
-        named_struct('n', 1, 'jump', false, 'got', false, 'out', cast(array() as array<struct<input_row:int,e:int>>)),
-        (s, x) -> aggregate(array(s.n + IF(s.jump AND s.got, 1, 0)), s, (t, n) -> named_struct(
-            'n', n + IF(x.differs, 0, 1),
-            'jump', x.differs OR (s.jump AND NOT (s.jump AND s.got)),
-            'got', x.input_row IS NOT NULL OR (s.got AND NOT (s.jump AND s.got)),
-            'out', IF(x.input_row IS NULL, s.out, concat(s.out, array(named_struct('input_row', x.input_row, 'e', n)))))),
-        s -> s.out)""")
-    placed = rows.select("table_col_id", F.posexplode(fold).alias("i", "s")).select("table_col_id", "i", "s.input_row", "s.e")
-    return placed.groupBy("table_col_id", "input_row").agg(F.max_by("e", "i").alias("e"))

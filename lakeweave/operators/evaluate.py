@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.operators.ranges import running_totals
+from lakeweave.plans.scratch import written
+
 
 def _pipeline(df: DataFrame, features: Sequence[str], target: str, seed: int) -> Pipeline:
     kinds = dict(df.dtypes)
@@ -44,17 +49,42 @@ def mse(predicted: DataFrame, target: str) -> float:
     return RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="mse").evaluate(predicted)
 
 
-def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """``df`` with the values of one column dealt out anew; held-out samples are small."""
-    rows = df.withColumn("__a", F.row_number().over(Window.orderBy(F.xxhash64(*df.columns), *df.columns)))
-    dealt = df.select(F.col(column).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)).alias("__b"))
-    return rows.join(dealt, F.col("__a") == F.col("__b")).withColumn(column, F.col("__v")).drop("__a", "__b", "__v")
-
-
-def permutation_importance(model, test: DataFrame, features: Sequence[str], target: str, rounds: int = 10, seed: int = 0) -> list[tuple[str, int, float]]:
-    """(feature, round, increase of the mean squared error when the feature's values are dealt out anew)."""
+def shuffles(n: int, count: int, seed: int) -> list[tuple[int, int]]:
+    """(a, b) of ``count`` permutations p -> (a * p + b) mod n of the places 0 to n - 1."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < count:
+        a = rng.randrange(1, min(max(n, 2), 1 << 20))
+        if math.gcd(a, max(n, 1)) == 1:
+            out.append((a, rng.randrange(max(n, 1))))
+    return out
+
+
+def dealt(df: DataFrame, features: Sequence[str], rounds: int, seed: int = 0) -> DataFrame:
+    """``df`` once for every feature and round, with ``feature`` and ``round``, the values of that feature dealt out anew among the rows.
+
+    Rows are numbered once in the order of their hashes, by ranges; a round is
+    a permutation of the numbers, so all rounds are one join and no task holds
+    all rows.
+    """
+    keys = [F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in df.columns)), *(F.col(f"`{c}`") for c in df.columns)]
+    numbered = written(running_totals(df.withColumn("__one", F.lit(1)), [], keys, "__one").withColumnRenamed("__before", "__p").drop("__one", "__total"), "numbered")
+    n = numbered.count()
+    turns = [(f, r, *ab) for f, of in zip(features, range(len(features)), strict=True) for r, ab in enumerate(shuffles(n, rounds, seed * 1009 + of))]
+    turn = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("round"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for f, r, a, b in turns)))
+    spread = numbered.withColumn("__t", turn).withColumn("__q", (F.col("__t.a") * F.col("__p") + F.col("__t.b")) % F.lit(max(n, 1)))
+    given = numbered.select(F.col("__p").alias("__q"), *(F.col(f"`{f}`").alias(f"__v{i}") for i, f in enumerate(features)))
+    met = spread.join(given, "__q")
+    met = met.withColumns({f: F.when(F.col("__t.feature") == f, F.col(f"__v{i}")).otherwise(F.col(f"`{f}`")) for i, f in enumerate(features)})
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), "__t.feature", "__t.round")
+
+
+def permutation_importance(model, test: DataFrame, features: Sequence[str], target: str, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(feature, round, increase): how much the mean squared error grows when the feature's values are dealt out anew; one job for all rounds."""
     base = mse(model.transform(test), target)
-    return [(f, i, mse(model.transform(permuted(test, f, seed + i)), target) - base) for f in features for i in range(rounds)]
+    predicted = model.transform(dealt(test, features, rounds, seed))
+    error = F.avg((F.col("prediction") - F.col(target)) ** 2)
+    return predicted.groupBy("feature", "round").agg((error - F.lit(base)).alias("increase"))
 
 
 def compare(df: DataFrame, base: Sequence[str], added: Sequence[str], target: str, seed: int = 42) -> tuple[float, float, float]:

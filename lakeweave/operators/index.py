@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,10 @@ from lakeweave.functions.text import categorical_value, clean_text, is_numeric_t
 from lakeweave.operators.ranges import average_ranks, running_totals
 
 
+#: Rows of a column that one row of the stored order holds.
+BLOCK = 100_000
+
+
 @dataclass(frozen=True)
 class LakeTable:
     """A table to be indexed; ``order`` is a total order of its rows, which gives the row ids."""
@@ -69,7 +71,12 @@ def raw_cells(tables: Sequence[LakeTable]) -> DataFrame:
 
 def index_cells(tables: Sequence[LakeTable]) -> DataFrame:
     """Inverted index of several tables, one row per cell: (token, tableid, colid, rowid, table_col_id)."""
-    return raw_cells(tables).select(
+    return cells_of(raw_cells(tables))
+
+
+def cells_of(raw: DataFrame) -> DataFrame:
+    """Cells with their tokens, of (tableid, colid, rowid, value, null)."""
+    return raw.select(
         clean_text(F.coalesce("value", "null")).alias("token"), "tableid", "colid", "rowid",
         F.concat_ws("_", "tableid", "colid").alias("table_col_id"),
     )
@@ -108,8 +115,8 @@ def numeric_columns(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_col_id").agg(F.every(is_numeric_token(F.col("token"))).alias("is_numeric"))
 
 
-def column_ranks(cells: DataFrame) -> DataFrame:
-    """(table_col_id, rowid, token, is_numeric, rk): average rank of every cell in its column; missing numbers are last and equal.
+def _placed(cells: DataFrame) -> DataFrame:
+    """(table_col_id, rowid, token, is_numeric, rk, before): average rank of every cell in its column, and the cells of smaller rank.
 
     Distinct values are counted and ranked by ranges, so a column may be of any length.
     """
@@ -119,32 +126,85 @@ def column_ranks(cells: DataFrame) -> DataFrame:
         F.when(~F.col("is_numeric"), categorical_value(F.col("token"))).alias("c"),
     )
     ranks = average_ranks(typed, ["table_col_id"], ["x", "c"]).select(
-        F.col("table_col_id").alias("__t"), F.col("x").alias("__x"), F.col("c").alias("__c"), "rk"
+        F.col("table_col_id").alias("__t"), F.col("x").alias("__x"), F.col("c").alias("__c"), "rk", "before"
     )
     on = (F.col("table_col_id") == F.col("__t")) & F.col("x").eqNullSafe(F.col("__x")) & F.col("c").eqNullSafe(F.col("__c"))
-    return typed.join(ranks, on).select("table_col_id", "rowid", "token", "is_numeric", "rk")
+    return typed.join(ranks, on).select("table_col_id", "rowid", "token", "is_numeric", "rk", "before")
+
+
+def column_ranks(cells: DataFrame) -> DataFrame:
+    """(table_col_id, rowid, token, is_numeric, rk): average rank of every cell in its column; missing numbers are last and equal."""
+    return _placed(cells).drop("before")
+
+
+def order_blocks(cells: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(table_col_id, is_numeric, block, row_list, binary_list): the rows of every column in rank order, cut into blocks of ``size`` rows.
+
+    ``binary_list`` tells of each row by 1 or 0 whether its rank differs from
+    that of the row before.  Of equal ranks the smaller row comes first.  No
+    task and no row holds a whole column.
+    """
+    ranked = _placed(cells).withColumn("__one", F.lit(1))
+    at = running_totals(ranked, ["table_col_id"], [F.col("rk"), F.col("rowid")], "__one")
+    row = F.struct("__before", "rowid", F.when(F.col("__before") == F.col("before"), "1").otherwise("0").alias("new"))
+    blocks = at.groupBy("table_col_id", "is_numeric", F.floor(F.col("__before") / size).cast("int").alias("block")).agg(F.array_sort(F.collect_list(row)).alias("l"))
+    return blocks.select("table_col_id", "is_numeric", "block", F.col("l.rowid").alias("row_list"), F.array_join("l.new", "").alias("binary_list"))
+
+
+def order_positions(blocks: DataFrame) -> DataFrame:
+    """(table_col_id, is_numeric, rowid, at, run): the place of each row in its column's order, and the number of the run of equal values that it is in."""
+    changes = F.length(F.translate("binary_list", "0", ""))
+    earlier = Window.partitionBy("table_col_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for a whole block
+    based = blocks.withColumn("run0", F.coalesce(F.sum(changes).over(earlier), F.lit(0))).withColumn("at0", F.coalesce(F.sum(F.size("row_list")).over(earlier), F.lit(0)))
+    rows = based.select("table_col_id", "is_numeric", "block", "run0", "at0", F.posexplode(F.arrays_zip("row_list", F.split("binary_list", "").alias("new"))).alias("i", "r"))
+    here = Window.partitionBy("table_col_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # a block has a bounded size
+    return rows.select(
+        "table_col_id", "is_numeric", F.col("r.row_list").alias("rowid"), (F.col("at0") + F.col("i")).alias("at"),
+        (F.col("run0") + F.sum(F.col("r.new").cast("int")).over(here)).alias("run"),
+    )
+
+
+def category_runs(blocks: DataFrame) -> DataFrame:
+    """(table_col_id, run, n, first_row): the runs of equal values of the columns that aren't numeric, in order."""
+    rows = order_positions(blocks.where("NOT is_numeric"))
+    return rows.groupBy("table_col_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("rowid").alias("first_row"))
+
+
+def order_ranks(blocks: DataFrame) -> DataFrame:
+    """(table_col_id, rowid, rk): average ranks told from the stored order of the columns."""
+    rows = order_positions(blocks)
+    runs = rows.groupBy("table_col_id", "run").agg((F.min("at") + (F.count(F.lit(1)) + 1) / 2).alias("rk"))
+    return rows.join(runs, ["table_col_id", "run"]).select("table_col_id", "rowid", "rk")
+
+
+def joined_ranks(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(table_col_id, input_row, e): ranks of the joined rows among each other, told from the stored order of the columns.
+
+    ``pairs``: (tableid, ext_row, input_row).  Equal values have the average of
+    their ranks; of several rows for one input row the last in order counts.
+    """
+    rows = order_positions(blocks).withColumn("tableid", F.split("table_col_id", "_")[0].cast("int"))
+    joined = rows.join(pairs.select("tableid", F.col("ext_row").alias("rowid"), "input_row"), ["tableid", "rowid"])
+    runs = joined.groupBy("table_col_id", "run").agg(F.count(F.lit(1)).alias("__w"))
+    total = running_totals(runs, ["table_col_id"], [F.col("run")], "__w")
+    ranks = total.select("table_col_id", "run", (F.col("__before") + (F.col("__w") + 1) / 2).alias("e"))
+    return joined.join(ranks, ["table_col_id", "run"]).groupBy("table_col_id", "input_row").agg(F.max_by("e", F.struct("e", "rowid")).alias("e"))
 
 
 def order_index(cells: DataFrame) -> DataFrame:
     """(table_col_id, is_numeric, min_index, order_list, binary_list): each row's successor in rank order, and whether its rank differs.
 
-    The stored form has a whole column in one row, so a column must fit in one
-    task here; where it doesn't, use :func:`column_ranks`, which tells the same.
+    This form has a whole column in one row by definition; :func:`order_blocks`
+    tells the same of columns of any length.
     """
-    w = Window.partitionBy("table_col_id").orderBy("rk", "rowid")
-    linked = column_ranks(cells).select(
-        "table_col_id", "is_numeric", "rowid", "rk",
-        F.coalesce(F.lead("rowid").over(w), F.lit(-1)).alias("next"),
-        F.when(F.lead("rk").over(w) != F.col("rk"), "1").otherwise("0").alias("flag"),
+    at = order_positions(order_blocks(cells))
+    after = at.select(F.col("table_col_id").alias("__t"), (F.col("at") - 1).alias("__at"), F.col("rowid").alias("next"), F.col("run").alias("__run"))
+    linked = at.join(after, (F.col("table_col_id") == F.col("__t")) & (F.col("at") == F.col("__at")), "left").select(
+        "table_col_id", "is_numeric", "rowid", "at", F.coalesce("next", F.lit(-1)).alias("next"), F.when(F.col("__run") != F.col("run"), "1").otherwise("0").alias("flag")
     )
     return linked.groupBy("table_col_id", "is_numeric").agg(
-        F.min_by("rowid", F.struct("rk", "rowid")).alias("min_index"),
-        F.array_sort(F.collect_list(F.struct("rowid", "next", "flag"))).alias("l"),
-    ).select(
-        "table_col_id", "is_numeric", "min_index",
-        F.transform("l", lambda s: s["next"]).alias("order_list"),
-        F.array_join(F.transform("l", lambda s: s["flag"]), "").alias("binary_list"),
-    )
+        F.min_by("rowid", "at").alias("min_index"), F.array_sort(F.collect_list(F.struct("rowid", "next", "flag"))).alias("l"),
+    ).select("table_col_id", "is_numeric", "min_index", F.col("l.next").alias("order_list"), F.array_join("l.flag", "").alias("binary_list"))
 
 
 def decode_order_index(index: DataFrame) -> DataFrame:
@@ -154,27 +214,3 @@ def decode_order_index(index: DataFrame) -> DataFrame:
         F.transform(F.split("order_list", ","), lambda x: x.cast("int")).alias("order_list"),
         F.transform(F.split(F.translate("binary_list", "TF", "10"), ","), lambda x: x.cast("int")).alias("binary_list"),
     )
-
-
-def order_ranks(index: DataFrame) -> DataFrame:
-    """(table_col_id, rowid, rk): average ranks told from an order index, by walking its list once.
-
-    A list has its whole column in one row, so a column must fit in one task here as there.
-    """
-
-    @F.pandas_udf("array<double>")
-    def ranks(first: pd.Series, order: pd.Series, flags: pd.Series) -> pd.Series:
-        def walk(at: int, following: np.ndarray, differs: str) -> np.ndarray:
-            after, step = following.tolist(), [f == "1" for f in differs]
-            dense, r = np.zeros(len(after), dtype=np.int64), 0
-            for _ in after:
-                dense[at] = r
-                r += step[at]
-                at = after[at]
-            n = np.bincount(dense)
-            return (np.cumsum(n) - n + (n + 1) / 2)[dense]
-
-        return pd.Series([walk(*x) for x in zip(first, order, flags, strict=True)], dtype=object)
-
-    found = index.select("table_col_id", ranks("min_index", "order_list", "binary_list").alias("l"))
-    return found.select("table_col_id", F.posexplode("l").alias("rowid", "rk"))

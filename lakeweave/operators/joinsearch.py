@@ -12,6 +12,7 @@ from lakeweave.functions.hashing import Signature, contained, row_key, xash
 from lakeweave.functions.text import clean_text, null_like_in_query
 from lakeweave.operators.index import row_signatures
 from lakeweave.operators.ranges import running_totals
+from lakeweave.plans.scratch import written
 
 
 @dataclass
@@ -72,10 +73,13 @@ def join_search(
         hits.groupBy("tableid").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") > min_join_ratio)
         .orderBy(F.desc("hits"), "tableid").limit(k_c)
     )
-    cand = hits.join(chosen.select("tableid"), "tableid", "left_semi").select("tableid", "rowid", "colid", "token")
+    # at most k_c rows, which prune both the hits and the rows that are fetched
+    chosen = F.broadcast(written(chosen.select("tableid"), "chosen"))
+    cand = hits.join(chosen, "tableid", "left_semi").select("tableid", "rowid", "colid", "token")
+    own = cells.join(chosen, "tableid", "left_semi")
     if use_hash:
         if rows is None:
-            rows = row_signatures(cells.join(cand.select("tableid", "rowid").distinct(), ["tableid", "rowid"], "left_semi"), sig)
+            rows = row_signatures(own.join(cand.select("tableid", "rowid").distinct(), ["tableid", "rowid"], "left_semi"), sig)
         keyed_query = query.withColumn("qkey", row_key([f"q{i}" for i in range(n)], sig))
         pairs = cand.join(rows, ["tableid", "rowid"]).join(keyed_query, F.col("token") == F.col("q0"))
         pairs = pairs.withColumn("kept", contained(F.col("qkey"), F.col("key"), sig.size)).drop("key", "qkey")
@@ -84,7 +88,7 @@ def join_search(
     approved = pairs.where("kept").drop("kept", "token")
     # further columns: where each value stands in the row
     further = list(range(1, n)) if n > 1 else [0]
-    fetched = approved.join(cells.select("tableid", "rowid", F.col("colid").alias("c"), "token"), ["tableid", "rowid"])
+    fetched = approved.join(own.select("tableid", "rowid", F.col("colid").alias("c"), "token"), ["tableid", "rowid"])
     at = [F.array_sort(F.collect_list(F.when(F.col("token") == F.col(f"q{j}"), F.col("c")))).alias(f"at{j}") for j in further]
     placed = fetched.groupBy("tableid", "rowid", "colid", "input_row").agg(*at)
     for j in further:
@@ -110,12 +114,14 @@ def join_search(
 
 
 def join_map(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(tableid, cols, join_map): for every row of a joined table its input row, or -1."""
-    mapped = pairs.groupBy("tableid", "cols").agg(F.map_from_entries(F.collect_list(F.struct("ext_row", "input_row"))).alias("m"))
-    return mapped.join(sizes.select("tableid", "max_row_id"), "tableid").select(
-        "tableid", "cols",
-        F.expr("transform(sequence(0, max_row_id - 1), i -> coalesce(element_at(m, i), -1))").alias("join_map"),
-    )
+    """(tableid, cols, join_map): for every row of a joined table its input row, or -1.
+
+    A map has its whole table in one row by definition; ``pairs`` tells the same row by row.
+    """
+    joined = pairs.select("tableid", "cols").distinct().join(sizes.select("tableid", "max_row_id"), "tableid")
+    rows = joined.select("tableid", "cols", F.explode(F.sequence(F.lit(0), F.col("max_row_id") - 1)).alias("ext_row"))
+    told = rows.join(pairs, ["tableid", "cols", "ext_row"], "left").select("tableid", "cols", F.struct("ext_row", F.coalesce("input_row", F.lit(-1)).alias("r")).alias("s"))
+    return told.groupBy("tableid", "cols").agg(F.array_sort(F.collect_list("s")).alias("l")).select("tableid", "cols", F.col("l.r").alias("join_map"))
 
 
 def highlighted(cells: DataFrame, pairs: DataFrame, tableid: int) -> DataFrame:

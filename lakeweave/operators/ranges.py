@@ -38,10 +38,10 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(group.., order.., rk) of the distinct values of each group: average rank, nulls last and equal.
+    """(group.., order.., rk, before) of the distinct values of each group: average rank, nulls last and equal, and the rows before.
 
     Equal values are counted before anything is sorted.
     """
     counted = df.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("__w"))
     total = running_totals(counted, group, [F.col(c).asc_nulls_last() for c in order], "__w")
-    return total.select(*group, *order, (F.col("__before") + (F.col("__w") + 1) / 2).alias("rk"))
+    return total.select(*group, *order, (F.col("__before") + (F.col("__w") + 1) / 2).alias("rk"), F.col("__before").alias("before"))

@@ -19,11 +19,17 @@ from lakeweave.plans.scratch import written
 INPUT_TABLE = 1
 
 
+_cells: dict[tuple[str, str], DataFrame] = {}
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lake's cells, each once; missing tokens are no cells."""
-    m = spark.read.parquet(f"{sf_dir}/maco_main_tokenized.parquet")
-    once = m.select(F.col("tokenized").alias("token"), "tableid", "colid", "rowid", "table_col_id").where("token IS NOT NULL")
-    return once.dropDuplicates(["tableid", "colid", "rowid", "token", "table_col_id"])
+    """The lake's cells, each once; missing tokens are no cells.  Written once per session and folder, as an index has them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells:
+        m = spark.read.parquet(f"{sf_dir}/maco_main_tokenized.parquet")
+        once = m.select(F.col("tokenized").alias("token"), "tableid", "colid", "rowid", "table_col_id").where("token IS NOT NULL")
+        _cells[key] = written(once.dropDuplicates(["tableid", "colid", "rowid", "token", "table_col_id"]), "cells")
+    return _cells[key]
 
 
 def _query(c: DataFrame, cols: list[int]) -> DataFrame:

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.discovery import Discovery
 from lakeweave.functions import hashing
 from lakeweave.functions.text import clean_text
 from lakeweave.operators import correlate, duplicates, enrich, evaluate, index, joinsearch, lookup
 from lakeweave.plans import lake as L
 from lakeweave.plans.scratch import scratch_dir, written
 from lakeweave.sources import readers
-from lakeweave.sources.catalog import LakeCatalog
+from lakeweave.sources.catalog import SCHEMAS, LakeCatalog
+from lakeweave.sources.html import duplicate_page
 from lakeweave.streaming.append import append_cells
 
 QUERIES: dict = {}
@@ -260,13 +263,13 @@ def H7_order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def W6_ranks_from_order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks told from the stored order of the small tables' columns."""
     cells = L.lake(spark, sf_dir).cells.where("tableid IN (1, 2, 6, 7, 8, 9, 10)")
-    return index.order_ranks(index.order_index(cells))
+    return index.order_ranks(index.order_blocks(cells))
 
 
 @query(f"{_ROWS_ONLY} SELECT table_col_id, rowid, CAST(rk AS DOUBLE) AS rk FROM rk0")
 def W6_ranks_from_order_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks told from the stored order of every table's columns."""
-    return index.order_ranks(index.order_index(L.lake(spark, sf_dir).cells))
+    return index.order_ranks(index.order_blocks(L.lake(spark, sf_dir).cells))
 
 
 @query(f"{_ORDER} SELECT * FROM oi WHERE table_col_id IN ('9_1', '9_3')")
@@ -352,6 +355,16 @@ def C1_join_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(_search(spark, sf_dir, L.Q3, ["p_brand", "p_type"]))
 
 
+#: Hits that a table must have more of than this.
+_RATIO = 12
+
+
+@query(f"""{CELLS}, {_S1.replace("hit AS (SELECT h.tableid", f"ok AS (SELECT tableid FROM cells h JOIN (SELECT DISTINCT q0 FROM q) x ON h.token = x.q0 GROUP BY 1 HAVING count(*) > {_RATIO}), hit AS (SELECT h.tableid").replace("h.token = q.q0)", "h.token = q.q0 WHERE h.tableid IN (SELECT tableid FROM ok))")} {_TOP}""")
+def F12_min_join_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only tables with enough hits of the first query column are looked at."""
+    return _tables(_search(spark, sf_dir, L.Q1, ["n_name", "r_name"], min_join_ratio=_RATIO))
+
+
 @query(f"{CELLS}, {_S1} {_TOP} WHERE rank <= 1")
 def F15_keep_joinable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.keep_ranks(_tables(_search(spark, sf_dir, L.Q1, ["n_name", "r_name"])), 1)
@@ -456,6 +469,22 @@ def C6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.enrich_multicolumn(*_multi_inputs(spark, sf_dir), 10).withColumn("corr", F.round("corr", 6))
 
 
+@query(f"""{CELLS}, {_MULTI} SELECT fid AS table_col_id, input_row, CAST(e AS DOUBLE) AS e FROM n1""")
+def W6_joined_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of the joined rows in every numeric column of the joined tables, told from the stored order."""
+    cells, pairs, _ = _multi_inputs(spark, sf_dir)
+    keys = pairs.select("tableid", F.explode("cols").alias("colid")).distinct()
+    own = cells.join(pairs.select("tableid").distinct(), "tableid", "left_semi").join(keys, ["tableid", "colid"], "left_anti")
+    return index.joined_ranks(index.order_blocks(own).where("is_numeric"), pairs)
+
+
+@query(f"""{_ROWS_ONLY} SELECT table_col_id, dense_rank AS run, count(*) AS n, min(rowid) AS first_row
+    FROM (SELECT table_col_id, rowid, dense_rank() OVER (PARTITION BY table_col_id ORDER BY c NULLS LAST) AS dense_rank FROM val WHERE NOT is_numeric) GROUP BY ALL""")
+def W7_category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal categories along the stored order of every column that isn't numeric."""
+    return index.category_runs(index.order_blocks(L.lake(spark, sf_dir).cells))
+
+
 @query(f"{CELLS}, {_MULTI} SELECT count(*) AS evaluated_features, round(max(abs(corr)), 6) AS max_corr_coeff FROM sc")
 def A21_correlation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C6_column_scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("evaluated_features"), F.max(F.abs("corr")).alias("max_corr_coeff"))
@@ -507,6 +536,33 @@ def C9_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_relations(lake.cells, lake.rows)
 
 
+@query(f"""{CELLS}, {_VALS}, sz AS (SELECT tableid, count(*) AS n FROM v GROUP BY 1),
+    d AS (SELECT a.tableid AS tableid_1, b.tableid AS tableid_2, count(*) AS n_pairs, count(DISTINCT a.rowid) AS m1, count(DISTINCT b.rowid) AS m2 FROM v a JOIN v b ON a.vals = b.vals AND a.tableid < b.tableid GROUP BY ALL)
+    SELECT tableid_1, tableid_2, n_pairs FROM d JOIN sz s1 ON s1.tableid = tableid_1 JOIN sz s2 ON s2.tableid = tableid_2 WHERE CASE WHEN s1.n <= s2.n THEN m1 = s1.n ELSE m2 = s2.n END""")
+def A12_distinct_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate tables, every row of the smaller one having a partner."""
+    lake = L.lake(spark, sf_dir)
+    return duplicates.duplicate_relations(lake.cells, lake.rows, distinct=True)
+
+
+@query(f"""{CELLS}, {_VALS}, p AS (SELECT rowid, vals FROM v WHERE tableid = 7)
+    SELECT v.tableid FROM v JOIN p ON p.vals = v.vals GROUP BY 1 HAVING count(DISTINCT p.rowid) = (SELECT count(*) FROM p)""")
+def A12_full_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that hold all rows of a table."""
+    lake = L.lake(spark, sf_dir)
+    return duplicates.duplicate_tables(lake.cells, lake.rows, 7, full=True)
+
+
+@query(f"""{CELLS}, {_REL}, p AS (SELECT tableid_1 AS a, tableid_2 AS b FROM rel UNION ALL SELECT tableid_2, tableid_1 FROM rel)
+    SELECT a AS tableid, string_agg(b, ',' ORDER BY b) AS partners FROM (SELECT DISTINCT a, b FROM p) GROUP BY a""")
+def S21_duplicate_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of the page of duplicate tables and their links."""
+    lake = L.lake(spark, sf_dir)
+    page = duplicate_page(duplicates.duplicate_relations(lake.cells, lake.rows), lake.cells, lake.headers)
+    sections = re.findall(r"<h2 id='t(\d+)'>.*?<p>Same rows as (.*?)</p>", page)
+    return spark.createDataFrame([(int(t), ",".join(re.findall(r"#t(\d+)", links))) for t, links in sections], "tableid int, partners string")
+
+
 @query(f"{CELLS}, {_REL} SELECT DISTINCT tableid FROM cells WHERE tableid NOT IN (SELECT tableid_2 FROM rel)")
 def C10_remove_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = L.lake(spark, sf_dir)
@@ -535,6 +591,25 @@ def C11_enrich_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.add_features(data, ["n_name"], lake.cells, lake.headers, 9, [0], [1, 3])
 
 
+@query(f"""{CELLS}, ds AS ({L.sql_dataset(L.Q1)}), w AS (SELECT rowid, max(CASE WHEN colid = 0 THEN token END) AS k, max(CASE WHEN colid = 1 THEN token END) AS f1 FROM cells WHERE tableid = 9 GROUP BY 1),
+    o AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY rowid) = 1)
+    SELECT n_name, r_name, avg_bal, f1 AS "9_1:n_customers" FROM ds LEFT JOIN o ON k = left({CLEAN('n_name')}, 200)""")
+def F14_drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attached columns of one header dropped again."""
+    return enrich.drop_columns(C11_enrich_left_join(spark, sf_dir), ":top_segment")
+
+
+@query(f"{CELLS} SELECT token, tableid, colid, rowid FROM cells SEMI JOIN (SELECT DISTINCT token FROM cells WHERE table_col_id = '8_0') q USING (token)")
+def L11_unpacked_posting_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posting list packed into composite ids and taken apart again."""
+    return lookup.unpacked_posting_list(F1_posting_list(spark, sf_dir))
+
+
+@query(f"SELECT lower(n_name) AS n_name, lower(r_name) AS r_name, CAST(avg_bal AS VARCHAR) AS avg_bal FROM ({L.sql_dataset(L.Q1)})")
+def L12_lowered_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovery(spark, sf_dir, L.Q1, ["n_name", "r_name"], "avg_bal").lowered()
+
+
 @query("SELECT c_mktsegment, round(avg(c_custkey), 6) AS c_custkey, round(avg(c_nationkey), 6) AS c_nationkey, round(avg(c_acctbal), 6) AS c_acctbal FROM customer GROUP BY 1")
 def A13_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = enrich.group_mean(spark.read.parquet(f"{sf_dir}/customer.parquet"), ["c_mktsegment"])
@@ -578,6 +653,37 @@ def K8_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.preview(lake.cells, lake.headers, 8, 5)
 
 
+# -- the whole of it as one object ---------------------------------------
+
+
+def _discovery(spark, sf_dir, q, columns: list[str], target: str) -> Discovery:
+    data, order = L.dataset(spark, sf_dir, q)
+    lake = L.lake(spark, sf_dir)
+    return Discovery(data, columns, target, order, lake.cells, lake.rows, lake.headers)
+
+
+@query(f"{CELLS}, {_MULTI}, h AS (VALUES {_HEADERS}) SELECT CAST(row_number() OVER (ORDER BY abs(corr) DESC, fid) AS INT) AS rank, round(corr, 6) AS corr, fid AS table_col_id, is_numeric, col2 AS header FROM sc LEFT JOIN h ON fid = col0 || '_' || col1 WHERE corr IS NOT NULL ORDER BY rank LIMIT 10")
+def C14_correlated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joinable tables and the columns of theirs that tell most of the target, by their headers."""
+    d = _discovery(spark, sf_dir, L.Q1, ["n_name", "r_name"], "avg_bal")
+    d.joinable(20, 200)
+    return d.correlated(10).withColumn("corr", F.round("corr", 6))
+
+
+@query("SELECT s_name, round(s_acctbal, 6) AS s_acctbal FROM supplier")
+def C15_load_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input dataset from a file; that it has its query and target columns is checked."""
+    folder = _folder(spark)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias(" s_name"), F.col("s_acctbal").alias("s_acctbal "))
+    s.coalesce(1).write.csv(folder, header=True, sep=";")
+    path, lake = _file(spark, folder, ".csv"), L.lake(spark, sf_dir)
+    try:
+        Discovery.load(spark, path, ";", ["s_name"], "missing", ["s_name"], lake)
+        raise AssertionError("a missing target wasn't noticed")
+    except ValueError:
+        return Discovery.load(spark, path, ";", ["s_name"], "s_acctbal", ["s_name"], lake).data.withColumn("s_acctbal", F.round("s_acctbal", 6))
+
+
 # -- models --------------------------------------------------------------
 
 
@@ -586,6 +692,14 @@ def _movies(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return movie, ["voted_users", "duration", "reviewers"]
 
 
+@query("SELECT round(avg((imdb_score - duration / 20) * (imdb_score - duration / 20)), 6) AS mse FROM movie WHERE imdb_score IS NOT NULL AND duration IS NOT NULL")
+def A22_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of a given prediction."""
+    movie = spark.read.parquet(f"{sf_dir}/movie.parquet").where("imdb_score IS NOT NULL AND duration IS NOT NULL")
+    error = evaluate.mse(movie.withColumn("prediction", F.col("duration") / 20), "imdb_score")
+    return spark.createDataFrame([(round(float(error), 6),)], "mse double")
+
+
 @query()
 def G1_fit_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out error of a model of the film's score."""
@@ -595,18 +709,19 @@ def G1_fit_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def G2_perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Increase of the held-out error when one feature's values are dealt out anew."""
+    """Increase of the held-out error when one feature's values are dealt out anew, ten times each."""
     movie, features = _movies(spark, sf_dir)
     model, test, _ = evaluate.fit_model(movie, features, "imdb_score")
-    rows = evaluate.permutation_importance(model, test, features, "imdb_score", rounds=2)
-    return spark.createDataFrame([(f, i, float(d)) for f, i, d in rows], "feature string, round int, increase double")
+    return evaluate.permutation_importance(model, test, features, "imdb_score")
 
 
 @query()
 def G3_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error with the film's length only and with all features."""
-    movie, features = _movies(spark, sf_dir)
-    return spark.createDataFrame([evaluate.compare(movie, ["duration"], ["voted_users", "reviewers"], "imdb_score")], "base double, enriched double, reduction double")
+    """Error of a model of the parts' price with the dataset's own features, and with those of the lake's table that joins with it."""
+    d = _discovery(spark, sf_dir, L.Q3, ["p_brand", "p_type"], "price")
+    best = d.joinable(20, 200).where("tableid = 10").first()
+    enriched = written(d.enriched(10, list(best.cols), [2, 3]), "enriched")
+    return spark.createDataFrame([d.evaluated(enriched, ["p_brand"])], "base double, enriched double, reduction double")
 
 
 # -- sources -------------------------------------------------------------
@@ -667,24 +782,102 @@ def S18_index_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     for name, write in (
         ("nation", lambda df, p: df.write.csv(p, header=True)), ("region", lambda df, p: df.write.parquet(p)),
-        ("supplier", lambda df, p: df.write.json(p)),
     ):
         write(spark.read.parquet(f"{sf_dir}/{name}.parquet").coalesce(1), f"{folder}/{name}")
     spark.range(1).selectExpr("'x' AS value").coalesce(1).write.text(f"{folder}/other")
     spark.read.parquet(f"{sf_dir}/region.parquet").limit(0).coalesce(1).write.parquet(f"{folder}/empty")
     catalog = LakeCatalog(spark, f"{folder}-index")
-    catalog.add_folder(f"{folder}", recursive=True)
-    catalog.pending = [p for p in catalog.pending if "/part-" in p and (".csv" in p or ".parquet" in p or ".txt" in p or ".json" in p) and "/." not in p]
-    catalog.pending = [p for p in catalog.pending if "/supplier/" not in p]
+    catalog.add_folder(folder, recursive=True)
     first = catalog.update()
-    catalog.add_folder(f"{folder}/supplier")  # JSON lines
-    catalog.pending = [p for p in catalog.pending if p.endswith(".json")]
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").coalesce(1).write.json(f"{folder}/supplier")  # JSON lines
+    catalog.add_folder(folder, recursive=True)
     second = catalog.update()
     n = catalog.table("cells").count()
     row = (len(first.inserted) + len(second.inserted), len(first.file_errors), len(first.data_errors), catalog.next_id(), n)
     return spark.createDataFrame([row], "inserted int, file_errors int, data_errors int, next_id int, cells long")
 
 
+_FILES = 5000
+
+
+@query(f"""WITH t AS (SELECT o_orderkey % {_FILES} AS k, count(*) AS n FROM orders GROUP BY 1)
+    SELECT CAST(count(*) AS INT) AS inserted, count(*) AS tables, CAST(sum(n) * 3 AS BIGINT) AS cells, count(*) * 3 AS headers, count(*) * 3 AS order_blocks, CAST(sum(n) AS BIGINT) AS rows, CAST(max(n) AS INT) AS longest, CAST(0 AS BIGINT) AS after_drop FROM t""")
+def S18_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five thousand small files indexed in one job per relation: what all relations hold, and nothing once they are dropped."""
+    folder = _folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % _FILES).alias("k"), "o_orderkey", "o_custkey", "o_totalprice")
+    orders.repartition("k").write.partitionBy("k").csv(folder, header=True)
+    catalog = LakeCatalog(spark, f"{folder}-index")
+    catalog.add_folder(folder, recursive=True)
+    report = catalog.update()
+    sizes = [catalog.table(t).count() for t in ("tables", "cells", "headers", "order_index", "rows")]
+    longest = catalog.table("tables").agg(F.max("max_row_id")).first()[0]
+    catalog.drop()
+    row = (len(report.inserted), *sizes, longest, sum(catalog.table(t).count() for t in SCHEMAS))
+    return spark.createDataFrame([row], "inserted int, tables long, cells long, headers long, order_blocks long, rows long, longest int, after_drop long")
+
+
+def _nation_catalog(spark: SparkSession, sf_dir: str) -> LakeCatalog:
+    folder = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").coalesce(1).write.csv(folder, header=True)
+    catalog = LakeCatalog(spark, f"{folder}-index")
+    catalog.add_folder(folder)
+    catalog.update()
+    return catalog
+
+
+@query(f"SELECT CAST(1 AS INT) AS tableid, colid, header, {CLEAN('header')} AS header_tokenized FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey')) AS h(colid, header)")
+def S11_headers_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers as an index has them after a file was indexed."""
+    return _nation_catalog(spark, sf_dir).table("headers")
+
+
+@query("SELECT CAST(1 AS INT) AS tableid, CAST(count(*) AS INT) AS max_row_id, CAST(2 AS INT) AS max_col_id FROM nation")
+def S12_table_info_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_catalog(spark, sf_dir).table("tables").drop("dataset_name")
+
+
+@query("""WITH n AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS rowid, n_regionkey FROM nation)
+    SELECT '1_2' AS table_col_id, true AS is_numeric, CAST(0 AS INT) AS block, string_agg(rowid, ',' ORDER BY n_regionkey, rowid) AS row_list,
+        string_agg(new, '' ORDER BY n_regionkey, rowid) AS binary_list
+    FROM (SELECT *, CASE WHEN lag(n_regionkey) OVER (ORDER BY n_regionkey, rowid) = n_regionkey THEN '0' ELSE '1' END AS new FROM n)""")
+def S13_order_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored order of a numeric column."""
+    stored = _nation_catalog(spark, sf_dir).table("order_index").where("table_col_id = '1_2'")
+    return stored.withColumn("row_list", F.array_join(F.col("row_list").cast("array<string>"), ","))
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def S3_jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, all of them."""
+    folder = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal").coalesce(1).write.json(folder)
+    return readers.read_json(spark, _file(spark, folder, ".json")).select(F.col("s_suppkey").cast("int").alias("s_suppkey"), "s_name", "s_acctbal")
+
+
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS s_suppkey, '@' || s_name AS s_name FROM supplier")
+def S5_arff_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long header, comments and blank lines among the rows, and rows that begin like a declaration."""
+    folder = _folder(spark)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    head = "% suppliers\n" * 8000 + "@relation supplier\n@attribute s_name string\n@attribute s_suppkey numeric\n@data"
+    rows = s.select(F.lit(1).alias("o"), F.concat(F.lit("@"), "s_name", F.lit(","), "s_suppkey").alias("value"))
+    noise = s.select(F.lit(1).alias("o"), F.when(F.col("s_suppkey") % 2 == 0, "% no row").otherwise("").alias("value"))
+    spark.createDataFrame([(0, head)], "o int, value string").unionByName(rows).unionByName(noise).coalesce(1).orderBy("o").select("value").write.text(folder)
+    return readers.read_arff(spark, _file(spark, folder, ".txt")).select("s_suppkey", "s_name")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'Zürich' ELSE o_orderstatus END AS place FROM orders")
+def S1_latin1_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that only its last line shows to be Latin-1."""
+    folder = _folder(spark)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    rows = o.orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.when(F.col("o_orderkey") == last, "Zürich").otherwise(F.col("o_orderstatus")).alias("place"))
+    rows.coalesce(1).write.csv(folder, header=True, sep=";", encoding="ISO-8859-1")
+    return readers.read_csv(spark, _file(spark, folder, ".csv"))
+
+
 @query("SELECT s_name, round(s_acctbal, 6) AS s_acctbal FROM supplier")
 def S19_load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests on one machine) a folder of our own is used.  Tables written here cut
+and the master is local (tests on one machine) a folder of our own is used.  On
+a cluster the setting must name a folder that all executors share.  Tables written here cut
 the lineage and survive the loss of executors.
 """
 
@@ -22,6 +23,8 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="lakeweave-")

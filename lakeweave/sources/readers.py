@@ -5,31 +5,37 @@ from __future__ import annotations
 import csv
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a file's start that are looked at to tell its delimiter and encoding.
+#: Bytes of a file's start that are read to tell the delimiter from its first line, and first to find an ARFF header's end.
 SNIFF_BYTES = 65536
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> list[str]:
     """Files of a folder, sorted by path.  ``recursive``: those of all folders below it, without its own."""
+    return sorted(listed(spark, path, recursive))
+
+
+def listed(spark: SparkSession, path: str, recursive: bool = False) -> dict[str, int]:
+    """File -> its bytes, as for :func:`list_files`.  Files whose name begins with _ or . are hidden."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(root).toString().rstrip("/")
     it = fs.listFiles(root, recursive)
-    out = []
+    out = {}
     while it.hasNext():
-        p = it.next().getPath().toString()
+        status = it.next()
+        p = status.getPath().toString()
         rest = p[len(base) + 1 :]
-        if not recursive or "/" in rest:
-            out.append(p)
-    return sorted(out)
+        if (not recursive or "/" in rest) and rest.rsplit("/", 1)[-1][:1] not in ("_", "."):
+            out[p] = status.getLen()
+    return out
 
 
 def _head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
@@ -42,39 +48,40 @@ def _head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
         stream.close()
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """(delimiter, encoding) of a delimited file; ValueError if its first line has none."""
-    try:
-        text, encoding = head.decode("utf-8"), "UTF-8"
-    except UnicodeDecodeError as e:
-        if e.start >= len(head) - 4:  # a character cut at the end
-            text, encoding = head[: e.start].decode("utf-8"), "UTF-8"
-        else:
-            text, encoding = head.decode("latin-1"), "ISO-8859-1"
+def sniff(head: bytes) -> str:
+    """The delimiter of a delimited file; ValueError if its first line has none."""
+    text = head.decode("utf-8", "replace")
     line = text.splitlines()[0] if text.strip() else ""
     try:
-        return csv.Sniffer().sniff(line, delimiters=",;\t|:").delimiter, encoding
+        return csv.Sniffer().sniff(line, delimiters=",;\t|:").delimiter
     except csv.Error as e:
         raise ValueError(f"no delimiter in {line[:80]!r}") from e
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Delimited file with a header, all columns strings; delimiter and encoding told from its start."""
-    found, encoding = sniff(_head(spark, path)) if sep is None else (sep, sniff_encoding(_head(spark, path)))
-    return spark.read.csv(path, header=True, sep=found, encoding=encoding, inferSchema=False, multiLine=True, escape='"', mode="FAILFAST")
+def text_options(spark: SparkSession, path: str) -> dict[str, object]:
+    """Encoding, and whether quotes span lines, told from the whole file in one pass of the cluster.
 
+    A file is Latin-1 if any of its lines isn't UTF-8.  Only where a line has
+    an odd number of quotes records may go over lines; any other file is read
+    in splits.
+    """
+    lines = spark.read.text(path)
+    r = lines.agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("other"), F.count_if(F.length(F.regexp_replace("value", '[^"]+', "")) % 2 == 1).alias("odd")
+    ).first()
+    return {"encoding": "ISO-8859-1" if r.other else "UTF-8", "multiLine": bool(r.odd)}
 
-def sniff_encoding(head: bytes) -> str:
-    try:
-        head.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return "UTF-8" if e.start >= len(head) - 4 else "ISO-8859-1"
-    return "UTF-8"
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Delimited file with a header, all columns strings; the delimiter is told from its first line, the encoding from all of it."""
+    options = text_options(spark, path)
+    found = sep or sniff(_head(spark, path))
+    return spark.read.csv(path, header=True, sep=found, inferSchema=False, escape='"', mode="FAILFAST", **options)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated file with a header; types inferred."""
-    return spark.read.csv(path, header=True, sep="\t", inferSchema=True, multiLine=True, escape='"')
+    return spark.read.csv(path, header=True, sep="\t", inferSchema=True, escape='"', **text_options(spark, path))
 
 
 def _several_values(spark: SparkSession, path: str) -> bool:
@@ -227,7 +234,11 @@ def read_any(spark: SparkSession, path: str, report: IndexReport) -> DataFrame |
     return df
 
 
-def read_dataset(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """An input dataset; types inferred, header names stripped."""
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=True, multiLine=True, escape='"')
-    return df.toDF(*(c.strip() for c in df.columns))
+def read_dataset(spark: SparkSession, path: str, sep: str, columns: Sequence[str] = ()) -> DataFrame:
+    """An input dataset; types inferred, header names stripped.  ValueError if it lacks one of ``columns``."""
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=True, escape='"', **text_options(spark, path))
+    df = df.toDF(*(c.strip() for c in df.columns))
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
+    return df

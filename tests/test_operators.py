@@ -38,10 +38,11 @@ def test_order_list_is_a_permutation_ending_in_minus_one(spark):
     assert sorted(seen) == list(range(40))
 
 
-def test_ranks_of_order_index_agree(spark):
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_ranks_of_order_index_agree(spark, size):
     c = cells_of(spark, {1: [[v, w] for v, w in zip("3121", ["b", "", "a", "b"], strict=True)]})
     a = {(r.table_col_id, r.rowid): r.rk for r in index.column_ranks(c).collect()}
-    b = {(r.table_col_id, r.rowid): r.rk for r in index.order_ranks(index.order_index(c)).collect()}
+    b = {(r.table_col_id, r.rowid): r.rk for r in index.order_ranks(index.order_blocks(c, size)).collect()}
     assert a == b
 
 
@@ -176,9 +177,46 @@ def test_order_ranks_of_a_long_column(spark):
         first.setdefault(v, i)
         count[v] = count.get(v, 0) + 1
     began = time.time()
-    got = {r.rowid: r.rk for r in index.order_ranks(index.order_index(cells)).collect()}
+    got = {r.rowid: r.rk for r in index.order_ranks(index.order_blocks(cells, 7000)).collect()}
     assert got == {i: first[v] + (count[v] - 1) / 2 for i, v in enumerate(values)}
     assert time.time() - began < 60
+    assert index.order_blocks(cells, 7000).agg(F.max(F.size("row_list"))).first()[0] == 7000
+
+
+def test_ranks_of_joined_rows_against_brute_force(spark):
+    rng = random.Random(12)
+    values = [rng.randrange(20) for _ in range(300)]
+    cells = spark.createDataFrame([(str(v), 3, 0, i, "3_0") for i, v in enumerate(values)], CELL)
+    joined = {i: rng.randrange(60) for i in range(300) if rng.random() < 0.4}
+    pairs = spark.createDataFrame([(3, i, r) for i, r in joined.items()], "tableid int, ext_row int, input_row int")
+    order = sorted(values[i] for i in joined)
+    want = {}
+    for i, r in joined.items():
+        e = order.index(values[i]) + (order.count(values[i]) + 1) / 2
+        want[r] = max(want.get(r, 0), e)
+    got = {r.input_row: r.e for r in index.joined_ranks(index.order_blocks(cells, 16), pairs).collect()}
+    assert got == want
+
+
+def test_category_runs(spark):
+    c = cells_of(spark, {1: [["b"], ["a"], [""], ["b"], ["nan"]]})
+    assert {tuple(r) for r in index.category_runs(index.order_blocks(c, 2)).collect()} == {("1_0", 1, 1, 1), ("1_0", 2, 2, 0), ("1_0", 3, 2, 2)}
+
+
+def test_values_dealt_out_anew(spark):
+    from lakeweave.operators import evaluate
+
+    df = spark.createDataFrame([(i, i % 7, float(i)) for i in range(100)], "id int, a int, b double")
+    out = evaluate.dealt(df, ["a", "b"], 3)
+    for f in ("a", "b"):
+        for r in range(3):
+            rows = out.where((F.col("feature") == f) & (F.col("round") == r)).collect()
+            assert sorted(x.id for x in rows) == list(range(100))
+            assert sorted(x[f] for x in rows) == sorted(x[f] for x in df.collect())
+            assert sum(x[f] != (x.id % 7 if f == "a" else float(x.id)) for x in rows) > 60
+            assert all(x.b == float(x.id) for x in rows) or f == "b"
+    assert evaluate.dealt(df.limit(0), ["a"], 2).count() == 0
+    assert len(set(evaluate.shuffles(97, 10, 1))) == 10 and all(len({(a * p + b) % 97 for p in range(97)}) == 97 for a, b in evaluate.shuffles(97, 10, 1))
 
 
 @pytest.mark.parametrize("name", ["W6_ranks_from_order_index_all", "L5_simhash_all", "H1_xash_variants_all"])
@@ -192,8 +230,8 @@ def test_queries_over_every_table(spark, sf_dir, name):
 
 
 def test_sniff():
-    assert readers.sniff(b"a;b;c\n1;2;3\n") == (";", "UTF-8")
-    assert readers.sniff("näme,x\n".encode("latin-1"))[1] == "ISO-8859-1"
+    assert readers.sniff(b"a;b;c\n1;2;3\n") == ";"
+    assert readers.sniff("näme,x\n".encode("latin-1")) == ","
     with pytest.raises(ValueError):
         readers.sniff(b"")
 
@@ -277,6 +315,59 @@ def test_catalog_appends(spark, tmp_path):
     assert cat.next_id() == 1
 
 
+def test_bulk_parsers():
+    from lakeweave.sources import bulk
+
+    assert bulk.parse("a.csv", b"x;y\n1;\"p\nq\"\n2\n") == ("read", (["x", "y"], [["1", "p\nq"], ["2", None]]))
+    late = ("x,y\n" + "a,b\n" * 40_000 + "Z\xfcrich,c\n").encode("latin-1")
+    assert bulk.parse("a.CSV", late)[1][1][-1] == ["Zürich", "c"]
+    assert bulk.parse("a.tsv", b"p\tq\n007\tu\n1.50\tv\n") == ("read", (["p", "q"], [["7.0", "u"], ["1.5", "v"]]))
+    assert bulk.parse("a.json", b'{"k": "a"}\n\n{"k": "b", "n": 1}\n') == ("read", (["k", "n"], [["a", None], ["b", "1"]]))
+    assert bulk.parse("a.json", b'{"x": [1, 2], "y": ["p", null]}') == ("read", (["x", "y"], [["1", "p"], ["2", None]]))
+    assert bulk.parse("a.json", b'{"x": {"0": 1, "1": 2}, "y": {"0": "p"}}') == ("read", (["x", "y"], [["1", "p"], ["2", None]]))
+    arff = b"% c\n@relation r\n@attribute n numeric\n@attribute 's t' string\n@data\n1.5,@home\n?,'v, w'\n% no row\n"
+    assert bulk.parse("a.arff", arff) == ("read", (["n", "s t"], [["1.5", "@home"], [None, "v, w"]]))
+    for name, raw in (("a.csv", b""), ("a.csv", b"x,y\n"), ("b.csv", b"x,y\n1,2\n1,2,3\n"), ("a.json", b"{"), ("a.json", b'{"x": [1], "y": []}'), ("a.parquet", b"PAR"), ("a.arff", b"@attribute a string\nx\n")):
+        assert bulk.parse(name, raw)[0] == "data error"
+    assert bulk.parse("a.xyz", b"?")[0] == "file error"
+
+
+def test_many_files_are_read_in_one_job(spark, tmp_path, monkeypatch):
+    from lakeweave.sources import bulk
+
+    monkeypatch.setattr(bulk, "FILES_PER_SCAN", 70)
+    lake = tmp_path / "lake [x]"
+    for i in range(150):
+        (lake / f"k={i % 10}").mkdir(parents=True, exist_ok=True)
+        (lake / f"k={i % 10}" / f"f{i}.csv").write_text("a,b\n" + "".join(f"v{i},{j}\n" for j in range(i % 4)))
+    (lake / "k=0" / "_SUCCESS").write_text("")
+    (lake / "k=0" / "broken.csv").write_text("a,b\n" + "1,2\n" * 5000 + "1,2,3\n")
+    cat = LakeCatalog(spark, str(tmp_path / "index"), row_layout=True)
+    cat.add_folder(str(lake), recursive=True)
+    r = cat.update()
+    assert (len(r.inserted), len(r.file_errors), len(r.data_errors)) == (112, 0, 39)
+    assert cat.table("cells").count() == cat.table("cells_by_row").count() == 2 * sum(i % 4 for i in range(150))
+    sizes = {x.dataset_name.rsplit("/", 1)[1]: x.max_row_id for x in cat.table("tables").collect()}
+    assert sizes == {f"f{i}.csv": i % 4 for i in range(150) if i % 4}
+    assert cat.table("headers").count() == 224 and cat.table("order_index").count() == 224
+
+
+def test_text_options_look_at_the_whole_file(spark, tmp_path):
+    late = "x;y\n" + "a;b\n" * 40_000 + "Zürich;c\n"
+    (tmp_path / "late.csv").write_bytes(late.encode("latin-1"))
+    (tmp_path / "quotes.csv").write_text('x,y\n1,"p\nq"\n')
+    assert readers.text_options(spark, str(tmp_path / "late.csv")) == {"encoding": "ISO-8859-1", "multiLine": False}
+    assert readers.read_csv(spark, str(tmp_path / "late.csv")).where("y = 'c'").first().x == "Zürich"
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "quotes.csv")).collect()] == [("1", "p\nq")]
+
+
+def test_dataset_columns_are_checked(spark, tmp_path):
+    (tmp_path / "d.csv").write_text(" x , y\n1,2\n")
+    assert readers.read_dataset(spark, str(tmp_path / "d.csv"), ",", ["x", "y"]).columns == ["x", "y"]
+    with pytest.raises(ValueError, match="no column z"):
+        readers.read_dataset(spark, str(tmp_path / "d.csv"), ",", ["x", "z"])
+
+
 def test_posting_list_round_trip(spark):
     c = cells_of(spark, LAKE)
     back = lookup.unpacked_posting_list(lookup.packed_posting_list(c, spark.createDataFrame([("rome",), ("rome",)], "token string")))
@@ -297,6 +388,8 @@ def test_duplicate_page(spark):
     c = cells_of(spark, {1: [["a<b"]], 2: [["a<b"]]})
     h = spark.createDataFrame([(1, 0, "h", "h"), (2, 0, "h", "h")], "tableid int, colid int, header string, header_tokenized string")
     rel = spark.createDataFrame([(1, 2)], "tableid_1 int, tableid_2 int")
+    with pytest.raises(ValueError):
+        duplicate_page(rel, c, h, most=0)
     page = duplicate_page(rel, c, h)
     assert "href='#t2'" in page and "a&lt;b" in page
 
@@ -332,31 +425,3 @@ def test_stream_append_is_repeatable(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("2,Cow\n")
     assert run() == {("red fox", 0), ("hen", 1), ("cow", 2)}
     assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 3
-
-
-def test_counted_ranks_against_the_state_machine(spark):
-    import random
-
-    rng = random.Random(11)
-    rows, want = [], {}
-    for c in range(12):
-        n = rng.randrange(1, 12)
-        values = [rng.randrange(n if c % 2 else 100) for _ in range(n)]
-        if c % 2 == 0:
-            values = rng.sample(range(100), n)
-        joined = [rng.choice([None, rng.randrange(6)]) for _ in range(n)]
-        order = sorted(range(n), key=lambda i: (values[i], i))
-        counter, jump, got, ranks = 1, False, False, {}
-        for k, i in enumerate(order):
-            if jump and got:
-                counter, jump, got = counter + 1, False, False
-            if joined[i] is not None:
-                ranks[joined[i]], got = counter, True
-            if k + 1 < n and values[order[k + 1]] != values[i]:
-                jump = True
-            else:
-                counter += 1
-        want |= {(str(c), r): e for r, e in ranks.items()}
-        rows += [(str(c), i, float(values[i]), joined[i]) for i in range(n)]
-    df = spark.createDataFrame(rows, "table_col_id string, ext_row int, rk double, input_row int")
-    assert {(r.table_col_id, r.input_row): r.e for r in correlate.counted_ranks(df).collect()} == want

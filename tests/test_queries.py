@@ -6,8 +6,7 @@ import __spark_entry__ as e
 from lakeweave.plans import index_queries, lake_queries, skew_queries
 
 CORE = [m for m in (lake_queries, index_queries, skew_queries)]
-# the ablation is eight searches and runs with the correctness check
-WITH_SQL = [n for m in CORE for n in m.ORACLES if n != "C12_xash_precision"]
+WITH_SQL = [n for m in CORE for n in m.ORACLES]
 WITHOUT = [n for m in CORE for n in m.QUERIES if n not in m.ORACLES]
 
 
@@ -16,7 +15,7 @@ def test_against_sql(against_sql, name):
     against_sql(name)
 
 
-@pytest.mark.parametrize("name", [n for n in WITHOUT if n != "G2_perm_importance"])
+@pytest.mark.parametrize("name", WITHOUT)
 def test_runs(spark, sf_dir, name):
     assert e.queries()[name](spark, sf_dir).count() > 0
 
