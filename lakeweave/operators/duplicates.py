@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,27 +78,55 @@ def duplicates_of_all(cells: DataFrame, rows: DataFrame, tableids: Sequence[int]
     return out
 
 
-def contained_tables(cells: DataFrame) -> DataFrame:
-    """(tableid_1, tableid_2), tableid_1 < tableid_2: pairs of tables of which one holds every row of the other.
+@dataclass
+class Contained:
+    """``members``: (tableid, rep), every table with the smallest table of the same rows; ``pairs``: (small, big) of such
+    representatives, the first one's rows all being in the second."""
+
+    members: DataFrame
+    pairs: DataFrame
+
+
+def contained_classes(cells: DataFrame) -> Contained:
+    """Tables that hold the same rows, and which of these hold all rows of others.
 
-    Rows are equal if their sorted values are.  A table can only be held by
-    tables that hold its rarest row, so only those are compared; rows common to
-    many tables make no candidates unless a table has nothing rarer.
+    Rows are equal if their sorted values are; repeated rows of a table don't
+    count.  Tables of the same rows are one class, told by the number of
+    their different rows and two sums over the rows' hashes, so no row of any
+    result holds a whole table, and a row that is in very many copies of one
+    table meets once.  A class can only be held by classes that hold its rarest
+    row, so only those are compared; rows common to many classes make no
+    candidates unless a class has nothing rarer.
     """
     values = cells.groupBy("tableid", "rowid").agg(F.array_sort(F.collect_list("token")).alias("vals"))
-    kinds = values.select("tableid", F.md5(F.concat_ws("\x01", "vals")).alias("kind"), F.size("vals").alias("n")).distinct()
-    spread = kinds.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("tables"))
-    rated = kinds.join(spread, ["kind", "n"])
-    rarest = rated.groupBy("tableid").agg(
-        F.min_by(F.struct("kind", "n"), F.struct("tables", "kind", "n")).alias("r"), F.count(F.lit(1)).alias("kinds")
-    ).select(F.col("tableid").alias("small"), F.col("r.kind").alias("kind"), F.col("r.n").alias("n"), "kinds")
-    pairs = rarest.join(kinds, ["kind", "n"]).where("small <> tableid").select("small", F.col("tableid").alias("big"), "kinds")
-    held = (
-        pairs.join(kinds.withColumnRenamed("tableid", "small"), "small")
-        .join(kinds.withColumnRenamed("tableid", "big"), ["big", "kind", "n"])
-        .groupBy("small", "big", "kinds").agg(F.count(F.lit(1)).alias("held")).where("held = kinds")
+    kinds = written(values.select("tableid", F.md5(F.concat_ws("\x01", "vals")).alias("kind"), F.size("vals").alias("n")).distinct(), "kinds")
+    told = kinds.groupBy("tableid").agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum(F.xxhash64("kind", "n").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "n", "kind")).alias("x")
     )
-    return held.select(F.least("small", "big").alias("tableid_1"), F.greatest("small", "big").alias("tableid_2")).distinct()
+    reps = told.groupBy("kinds", "s", "x").agg(F.min("tableid").alias("rep"))
+    members = written(told.join(reps, ["kinds", "s", "x"]).select("tableid", "rep", "kinds"), "classes")
+    own = kinds.join(members.where("tableid = rep").select("tableid", "kinds"), "tableid")
+    spread = own.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("classes"))
+    rarest = own.join(spread, ["kind", "n"]).groupBy(F.col("tableid").alias("small"), "kinds").agg(
+        F.min_by(F.struct("kind", "n"), F.struct("classes", "kind", "n")).alias("r")
+    ).select("small", "kinds", "r.kind", "r.n")
+    # only a class with more rows can hold another one
+    near = rarest.join(own.select(F.col("tableid").alias("big"), F.col("kinds").alias("more"), "kind", "n"), ["kind", "n"]).where("more > kinds").select("small", "big", "kinds")
+    pairs = (
+        near.join(own.select(F.col("tableid").alias("small"), "kind", "n"), "small").join(own.select(F.col("tableid").alias("big"), "kind", "n"), ["big", "kind", "n"])
+        .groupBy("small", "big", "kinds").agg(F.count(F.lit(1)).alias("held")).where("held = kinds").select("small", "big")
+    )
+    return Contained(members.select("tableid", "rep"), pairs)
+
+
+def contained_tables(cells: DataFrame) -> DataFrame:
+    """(tableid_1, tableid_2), tableid_1 < tableid_2: all pairs of tables of which one holds every row of the other; as :func:`contained_classes` otherwise."""
+    found = contained_classes(cells)
+    of = found.members
+    a, b = of.select(F.col("tableid").alias("x"), F.col("rep").alias("small")), of.select(F.col("tableid").alias("y"), F.col("rep").alias("big"))
+    across = found.pairs.join(a, "small").join(b, "big").select("x", "y")
+    within = a.join(b.withColumnRenamed("big", "small"), "small").where("x < y").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("tableid_1"), F.greatest("x", "y").alias("tableid_2"))
 
 
 def remove_duplicates(tables: DataFrame, relations: DataFrame) -> DataFrame:

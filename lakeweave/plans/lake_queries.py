@@ -817,10 +817,10 @@ def S18_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "inserted int, tables long, cells long, headers long, order_blocks long, rows long, longest int, after_drop long")
 
 
-def _nation_catalog(spark: SparkSession, sf_dir: str) -> LakeCatalog:
+def _nation_catalog(spark: SparkSession, sf_dir: str, **options) -> LakeCatalog:
     folder = _folder(spark)
     spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").coalesce(1).write.csv(folder, header=True)
-    catalog = LakeCatalog(spark, f"{folder}-index")
+    catalog = LakeCatalog(spark, f"{folder}-index", **options)
     catalog.add_folder(folder)
     catalog.update()
     return catalog
@@ -837,6 +837,13 @@ def S12_table_info_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nation_catalog(spark, sf_dir).table("tables").drop("dataset_name")
 
 
+@query(f"SELECT {CLEAN('n_name')} AS token, CAST(1 AS INT) AS tableid, CAST(1 AS INT) AS colid, CAST(i AS INT) AS rowid FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) WHERE i IN (3, 8)")
+def S16_row_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows' names from the layout by table and row, of which only the row groups that may hold them are read."""
+    cells = _nation_catalog(spark, sf_dir, row_layout=True).by_row()
+    return cells.where("tableid = 1 AND rowid IN (3, 8) AND colid = 1").select("token", "tableid", "colid", "rowid")
+
+
 @query("""WITH n AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS rowid, n_regionkey FROM nation)
     SELECT '1_2' AS table_col_id, true AS is_numeric, CAST(0 AS INT) AS block, string_agg(rowid, ',' ORDER BY n_regionkey, rowid) AS row_list,
         string_agg(new, '' ORDER BY n_regionkey, rowid) AS binary_list

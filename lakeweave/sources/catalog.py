@@ -51,6 +51,10 @@ class LakeCatalog:
                 raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
+    def by_row(self) -> DataFrame:
+        """The cells in the layout in which lookups of rows, columns and tables skip row groups; the other one if there is no such copy."""
+        return self.table("cells_by_row" if self.row_layout else "cells")
+
     def drop(self) -> None:
         """Remove all relations."""
         jvm = self.spark.sparkContext._jvm

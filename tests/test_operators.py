@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeweave.operators import correlate, duplicates, enrich, index, joinsearch, lookup, skew
+from lakeweave.operators import correlate, duplicates, enrich, index, joinsearch, lookup, ranges, skew
 from lakeweave.plans import lake_queries
 from lakeweave.sources import readers
 from lakeweave.sources.catalog import LakeCatalog
@@ -162,6 +162,28 @@ def test_skew_percentiles_match_sorting(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_running_totals_against_brute_force(spark, batch):
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), rng.choice([1.5, float("nan"), None, 2.0]), i, rng.choice([0, 1, 4, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, `x.y` double, i int, w int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for group in ([], ["g"], ["g", "`x.y`"]):
+            got = ranges.running_totals(df, group, [F.col("i")], "w").collect()
+            seen, want = {}, {}
+            key = lambda r: tuple(repr(r[c.strip("`")]) for c in group)
+            ordered = sorted((spark_row for spark_row in df.collect()), key=lambda r: r.i)
+            for r in ordered:
+                want[r.i] = seen.get(key(r), 0)
+                seen[key(r)] = want[r.i] + (r.w or 0)
+            assert {r.i: r["__before"] for r in got} == want and all(r["__total"] == seen[key(r)] for r in got)
+            assert got[0].__fields__[:4] == ["g", "x.y", "i", "w"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ranges.running_totals(df.limit(0), ["g"], [F.col("i")], "w").count() == 0
+
+
 def test_skew_of_nothing(spark):
     f = skew.value_frequencies(spark.createDataFrame([], "key string, value int"), "key", "value")
     assert skew.key_counts(f).count() == skew.key_modes(f).count() == skew.key_percentiles(f, [0.5]).count() == 0
@@ -410,6 +432,20 @@ def test_relations_of_repeated_rows_against_brute_force(spark):
     assert got == want
 
 
+def test_contained_tables_against_brute_force(spark):
+    rng = random.Random(9)
+    data = {t: [[rng.choice("ab"), rng.choice("xyz")] for _ in range(rng.randrange(1, 6))] for t in range(1, 30)}
+    data |= {t: [["nan", "nan"]] for t in range(40, 60)} | {60: [["nan", "nan"], ["q", "r"]], 61: [["nan", "nan"], ["nan", "nan"]]}
+    c = cells_of(spark, data)
+    sets = {t: {tuple(sorted(r)) for r in rows} for t, rows in data.items()}
+    found = duplicates.contained_tables(c).collect()
+    assert len(found) == len(set(found))
+    assert {tuple(r) for r in found} == {(a, b) for a in sets for b in sets if a < b and (sets[a] <= sets[b] or sets[b] <= sets[a])}
+    classes = duplicates.contained_classes(c)
+    assert classes.members.where("rep = 40").count() == 21  # one class of all copies, which meets others once
+    assert classes.pairs.where("small = 40").count() == 1
+
+
 def test_stream_append_is_repeatable(spark, tmp_path):
     from lakeweave.streaming.append import append_cells
 
