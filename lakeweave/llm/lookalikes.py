@@ -166,17 +166,23 @@ class ScriptModel:
 
     def viterbi(self, word: str, script: str) -> tuple[int, float, str]:
         """(letters out of place, score, best path) of a word in one script."""
-        # at each place and for each last letter the best path to there: (letters in place, score, path)
-        best: list[dict[str, tuple[int, float, str]]] = [{} for _ in range(len(word) + 1)]
-        best[0][_START + script] = (0, 0.0, "")
+        # at each place and for each last letter the best path to there: (less the letters out of place, score), and where it came from
+        best: list[dict[str, tuple[int, float]]] = [{} for _ in range(len(word) + 1)]
+        back: list[dict[str, tuple[int, str]]] = [{} for _ in range(len(word) + 1)]
+        best[0][_START + script] = (0, 0.0)
         for i, arcs in enumerate(lattice(word, script)):
-            for last, (out, score, path) in best[i].items():
+            for last, (out, score) in best[i].items():
                 for n, x, cost, fits in arcs:
-                    found = (out - (not fits), score + self.score(script, last, x) - cost, path + x)
+                    found = (out - (not fits), score + self.score(script, last, x) - cost)
                     if x not in best[i + n] or found > best[i + n][x]:
-                        best[i + n][x] = found
-        out, score, path = max(best[-1].values())
-        return -out, score, path
+                        best[i + n][x], back[i + n][x] = found, (i, last)
+        at, last = len(word), max(best[-1], key=lambda x: (best[-1][x], x))
+        out, score = best[at][last]
+        path = []
+        while at:
+            path.append(last)
+            at, last = back[at][last]
+        return -out, score, "".join(reversed(path))
 
     def word(self, word: str) -> str:
         scripts = {script_of(c) for c in word} - {""}

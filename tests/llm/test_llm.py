@@ -95,6 +95,14 @@ def test_a_table_would_not_do():
     assert max(len(lookalikes.options(c, s)) for c in "bnulI" for s in lookalikes.SCRIPTS) > 2
 
 
+def test_very_long_words(model):
+    import time
+
+    began = time.time()
+    assert model.text("xо" * 200_000 + "\u200b") == "xo" * 200_000
+    assert time.time() - began < 20
+
+
 def test_paths_are_the_best_of_all():
     import math
 
@@ -616,6 +624,12 @@ def test_article_words(line_model):
     assert reading.article_words("in\nTO LET\nit was so", reading.LineModel()) == ["in", "it", "was", "so"]
 
 
+def test_few_pages_are_drawn_of_many(spark, pages):
+    many = [(i * 10 + k, t.replace("NEWS OF", "NEWS OF " + "BCDFGHKLMN"[k] * 3), x) for i, t, x in pages for k in range(10)] + pages[:1] * 3600
+    model = reading.fit_lines(spark.createDataFrame(many, "doc_id long, text string, lang string"), pages=1500)
+    assert model.headlines == {reading.headline(h) for h, _ in ADVERTS.values()}
+
+
 def test_sections_of_a_paper_head_no_adverts(spark, pages):
     with_sections = [(i, t.replace("\n", "\nHOME AND ABROAD\n", 3), x) for i, t, x in pages]
     model = reading.fit_lines(spark.createDataFrame(with_sections, "doc_id long, text string, lang string"))
