@@ -53,6 +53,7 @@ def join_search(
     rows: DataFrame | None = None,
     signature: Signature | None = None,
     use_hash: bool = True,
+    early: bool = False,
 ) -> JoinSearch:
     """Top-``k`` tables by number of row pairs that agree in all query columns.
 
@@ -64,6 +65,11 @@ def join_search(
     Columns that match are named by the hit's column and all columns of the row
     that hold each further value; a single query column is checked once more as
     its own further value.  Ties: smaller table id, then smaller columns.
+
+    ``early``: the ``k`` tables with most pairs left are looked at first, and
+    then only those whose pairs, which their score can't exceed, are as many
+    as the k-th best score found so far.  The tables are the same; the counters
+    are those of the tables that were looked at.
     """
     n = len([c for c in query.columns if c.startswith("q")])
     sig = signature or xash()
@@ -88,12 +94,25 @@ def join_search(
     approved = pairs.where("kept").drop("kept", "token")
     # further columns: where each value stands in the row
     further = list(range(1, n)) if n > 1 else [0]
-    fetched = approved.join(own.select("tableid", "rowid", F.col("colid").alias("c"), "token"), ["tableid", "rowid"])
-    at = [F.array_sort(F.collect_list(F.when(F.col("token") == F.col(f"q{j}"), F.col("c")))).alias(f"at{j}") for j in further]
-    placed = fetched.groupBy("tableid", "rowid", "colid", "input_row").agg(*at)
-    for j in further:
-        placed = placed.where(F.size(f"at{j}") > 0)
-    matched = placed.select("tableid", "rowid", "input_row", F.concat(F.array("colid"), *(F.col(f"at{j}") for j in further)).alias("cols"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        fetched = some.join(own.select("tableid", "rowid", F.col("colid").alias("c"), "token"), ["tableid", "rowid"])
+        at = [F.array_sort(F.collect_list(F.when(F.col("token") == F.col(f"q{j}"), F.col("c")))).alias(f"at{j}") for j in further]
+        placed = fetched.groupBy("tableid", "rowid", "colid", "input_row").agg(*at)
+        for j in further:
+            placed = placed.where(F.size(f"at{j}") > 0)
+        return placed.select("tableid", "rowid", "input_row", F.concat(F.array("colid"), *(F.col(f"at{j}") for j in further)).alias("cols"))
+
+    if early:
+        bounds = written(approved.groupBy("tableid").agg(F.count(F.lit(1)).alias("bound")), "bounds")  # at most k_c rows
+        first = bounds.orderBy(F.desc("bound"), "tableid").limit(k)
+        matched = written(verified(approved.join(F.broadcast(first.select("tableid")), "tableid", "left_semi")), "matched")
+        scores = matched.groupBy("tableid", "cols").agg(F.count(F.lit(1)).alias("score")).groupBy("tableid").agg(F.max("score").alias("score"))
+        found = scores.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+        rest = bounds.join(first.select("tableid"), "tableid", "left_anti").where(F.col("bound") >= (found.least if found.n == k else 1))
+        matched = matched.unionByName(verified(approved.join(F.broadcast(rest.select("tableid")), "tableid", "left_semi")))
+    else:
+        matched = verified(approved)
     counts = matched.groupBy("tableid", "cols").agg(F.count(F.lit(1)).alias("score"))
     best = counts.groupBy("tableid").agg(F.min_by(F.struct("score", "cols"), F.struct(-F.col("score"), F.col("cols"))).alias("b"))
     top = best.select("tableid", "b.score", "b.cols").orderBy(F.desc("score"), "tableid").limit(k)

@@ -355,6 +355,12 @@ def C1_join_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(_search(spark, sf_dir, L.Q3, ["p_brand", "p_type"]))
 
 
+@query(f"{CELLS}, {_sql_search(L.Q1, ['n_name', 'r_name'], 2)} {_TOP}")
+def K4_early_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best tables; tables that can't be among them aren't looked at."""
+    return _tables(_search(spark, sf_dir, L.Q1, ["n_name", "r_name"], 2, early=True))
+
+
 #: Hits that a table must have more of than this.
 _RATIO = 12
 
@@ -806,7 +812,7 @@ def S18_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five thousand small files indexed in one job per relation: what all relations hold, and nothing once they are dropped."""
     folder = _folder(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % _FILES).alias("k"), "o_orderkey", "o_custkey", "o_totalprice")
-    orders.repartition("k").write.partitionBy("k").csv(folder, header=True)
+    orders.repartition("k").write.partitionBy("k").option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(folder, header=True)
     catalog = LakeCatalog(spark, f"{folder}-index")
     catalog.add_folder(folder, recursive=True)
     report = catalog.update()

@@ -18,13 +18,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lakeweave.sources.readers import few_listing_tasks, literal
 
 #: header and rows of cells as text; None is a missing value.
 Parsed = tuple[list[str], list[list[str | None]]]
 #: Files that one scan lists and reads.
 FILES_PER_SCAN = 50_000
-_GLOB = re.compile(r"([\[\]{}*?\\])")
 SCHEMA = "path string, status string, rowid long, cells array<string>"
 
 
@@ -171,9 +171,9 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], SCHEMA)
     found = None
-    for k in range(0, len(paths), FILES_PER_SCAN):
-        some = [_GLOB.sub(r"\\\1", p) for p in paths[k : k + FILES_PER_SCAN]]
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(some).select("path", "content")
-        one = files.mapInArrow(run, SCHEMA)
-        found = one if found is None else found.unionByName(one)
+    with few_listing_tasks(spark):
+        for k in range(0, len(paths), FILES_PER_SCAN):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([literal(p) for p in paths[k : k + FILES_PER_SCAN]])
+            one = files.select("path", "content").mapInArrow(run, SCHEMA)
+            found = one if found is None else found.unionByName(one)
     return found

@@ -45,7 +45,9 @@ class LakeCatalog:
     def table(self, name: str) -> DataFrame:
         """One of the relations; empty if nothing has been indexed."""
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+            # batches of a stream have folders of their own
+            found = self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+            return found if name != "tables" else found.groupBy("tableid", "dataset_name").agg(*(F.max(c).alias(c) for c in ("max_row_id", "max_col_id")))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -21,21 +22,39 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> list[
     return sorted(listed(spark, path, recursive))
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Many paths are listed by a few tasks for each core, not by one task for each path."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(usual), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
+def literal(path: str) -> str:
+    """A path of which no sign is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def listed(spark: SparkSession, path: str, recursive: bool = False) -> dict[str, int]:
-    """File -> its bytes, as for :func:`list_files`.  Files whose name begins with _ or . are hidden."""
+    """File -> its bytes, as for :func:`list_files`.  Files whose name begins with _ or . are hidden.
+
+    A tree of folders is listed by the cluster.
+    """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(root).toString().rstrip("/")
-    it = fs.listFiles(root, recursive)
-    out = {}
-    while it.hasNext():
-        status = it.next()
-        p = status.getPath().toString()
-        rest = p[len(base) + 1 :]
-        if (not recursive or "/" in rest) and rest.rsplit("/", 1)[-1][:1] not in ("_", "."):
-            out[p] = status.getLen()
-    return out
+    if recursive:
+        base = fs.makeQualified(root).toString().rstrip("/")
+        with few_listing_tasks(spark):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal(path)).select("path", "length").toArrow()
+        found = dict(zip(files.column("path").to_pylist(), files.column("length").to_pylist(), strict=True))
+        return {p: n for p, n in found.items() if "/" in p[len(base) + 1 :]}
+    statuses = [s for s in fs.listStatus(root) if s.isFile()]
+    return {s.getPath().toString(): s.getLen() for s in statuses if s.getPath().getName()[:1] not in ("_", ".")}
 
 
 def _head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:

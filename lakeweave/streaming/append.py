@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakeweave.functions.hashing import Signature, or_words, xash
 from lakeweave.functions.text import clean_text
+from lakeweave.operators.index import table_info
+from lakeweave.plans.scratch import dropped, written
 
 
 def stream_cells(stream: DataFrame, tableid: int, rowid: str, columns: list[str]) -> DataFrame:
@@ -19,14 +21,29 @@ def stream_cells(stream: DataFrame, tableid: int, rowid: str, columns: list[str]
     )
 
 
-def append_cells(stream: DataFrame, tableid: int, rowid: str, columns: list[str], path: str, checkpoint: str, signature: Signature | None = None) -> StreamingQuery:
-    """Append the cells and row signatures of a stream to an index folder, batch by batch, each batch in a folder of its own so that a repeated batch replaces itself."""
+def append_cells(
+    stream: DataFrame, tableid: int, rowid: str, columns: list[str], path: str, checkpoint: str, signature: Signature | None = None, name: str | None = None
+) -> StreamingQuery:
+    """Append a stream's cells, row signatures, headers and table size to an index folder.
+
+    Each batch has a folder of its own, so that a repeated batch replaces
+    itself; :class:`LakeCatalog` reads them with all others, the size of the
+    table being the largest of its batches'.  Orders of columns aren't
+    written: they are those of whole columns.
+    """
     sig = signature or xash()
 
     def write(batch: DataFrame, n: int) -> None:
-        cells = stream_cells(batch, tableid, rowid, columns)
-        cells.write.mode("overwrite").parquet(f"{path}/cells/batch={n}")
+        spark = batch.sparkSession
+        at = f"batch={tableid}-{n}"
+        cells = written(stream_cells(batch, tableid, rowid, columns), "batch")
+        cells.write.mode("overwrite").parquet(f"{path}/cells/{at}")
         rows = cells.withColumn("w", sig.words("token")).groupBy("tableid", "rowid").agg(or_words(F.col("w"), sig.size).alias("key"))
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{at}")
+        headers = spark.createDataFrame([(tableid, i, c) for i, c in enumerate(columns)], "tableid int, colid int, header string")
+        headers.withColumn("header_tokenized", clean_text(F.col("header"), limit=None)).write.mode("overwrite").parquet(f"{path}/headers/batch={tableid}")
+        names = spark.createDataFrame([(tableid, name or f"stream {tableid}")], "tableid int, dataset_name string")
+        table_info(cells, names).write.mode("overwrite").parquet(f"{path}/tables/{at}")
+        dropped(cells)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import itertools
 import random
 import time
 
@@ -73,6 +74,17 @@ def test_join_search(spark, use_hash, stored):
     assert s.stats.first().matching_rows == 3
 
 
+def test_early_termination_finds_the_same(spark):
+    rng = random.Random(31)
+    data = {t: [[rng.choice("abcdef"), rng.choice("uvwxyz"), rng.choice("abuv")] for _ in range(rng.randrange(1, 30))] for t in range(1, 40)}
+    c = cells_of(spark, data)
+    q = joinsearch.prepare(spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(itertools.product("abc", "uvw"))], "i int, x string, y string"), ["x", "y"], ["i"])
+    for k in (1, 5, 100):
+        a, b = (joinsearch.join_search(c, q, k, early=e).tables.select("rank", "score", "tableid", "cols").collect() for e in (False, True))
+        assert sorted(a) == sorted(b)
+    assert joinsearch.join_search(c.limit(0), q, 3, early=True).tables.count() == 0
+
+
 def test_prepare_takes_any_column_names(spark):
     data = spark.createDataFrame([("Ann", "x", 1), ("Ann", "x", 2), ("Bob", "y", 0)], "`Director Name` string, `a.b (c)` string, before int")
     q = joinsearch.prepare(data, ["Director Name", "a.b (c)"], ["before"])
@@ -461,3 +473,52 @@ def test_stream_append_is_repeatable(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("2,Cow\n")
     assert run() == {("red fox", 0), ("hen", 1), ("cow", 2)}
     assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 3
+    # read with files that were indexed otherwise
+    (tmp_path / "lake").mkdir()
+    (tmp_path / "lake" / "a.csv").write_text("x,y\n1,Red\n")
+    cat = LakeCatalog(spark, str(tmp_path / "out"))
+    cat.add_folder(str(tmp_path / "lake"))
+    cat.update()
+    assert {tuple(r) for r in cat.table("tables").select("tableid", "max_row_id", "max_col_id").collect()} == {(5, 3, 0), (6, 1, 1)}
+    assert cat.table("cells").count() == 5 and cat.table("headers").count() == 3 and cat.table("rows").count() == 4
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lakeweave.plans.scratch import scratch_dir
+
+    def session(master, named=None):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, applicationId="x"))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(session("spark://host:7077"))
+    assert scratch_dir(session("spark://host:7077", "hdfs://shared/tmp/")) == "hdfs://shared/tmp"
+    assert scratch_dir(spark)
+
+
+def test_join_map_of_unjoined_rows(spark):
+    pairs = spark.createDataFrame([(1, [0, 1], 2, 7), (1, [0, 1], 0, 5)], "tableid int, cols array<int>, ext_row int, input_row int")
+    sizes = spark.createDataFrame([(1, 4), (2, 3)], "tableid int, max_row_id int")
+    assert [(r.tableid, r.join_map) for r in joinsearch.join_map(pairs, sizes).collect()] == [(1, [5, -1, 7, -1])]
+
+
+def test_discovery(spark):
+    from lakeweave.discovery import Discovery
+
+    cells = cells_of(spark, {1: [[f"k{i}", str(i * i)] for i in range(20)], 2: [[f"k{i}", str(i * i)] for i in range(20)], 3: [["x", "y"]]})
+    headers = spark.createDataFrame([(t, c, n, n) for t in (1, 2, 3) for c, n in ((0, "key"), (1, "square"))], "tableid int, colid int, header string, header_tokenized string")
+    data = spark.createDataFrame([(f"K{i}", float(i)) for i in range(20)], "name string, y double")
+    rows = index.row_signatures(cells)
+    with pytest.raises(ValueError):
+        Discovery(data, ["name"], "missing", ["name"], cells, rows, headers)
+    d = Discovery(data, ["name"], "y", ["name"], cells, rows, headers)
+    with pytest.raises(ValueError):
+        d.correlated()
+    assert [(r.tableid, r.headers) for r in d.joinable(5).collect()] == [(1, ["key", "key"]), (2, ["key", "key"])]
+    assert [tuple(r)[:2] for r in d.without_duplicates().collect()] == [(1, 2)]
+    assert [(r.table_col_id, r.header, round(r.corr, 6)) for r in d.correlated(5).collect()] == [("1_1", "square", 1.0)]
+    wide = d.enriched(1, [0], [1])
+    assert wide.columns == ["name", "y", "1_1:square"] and dict(wide.dtypes)["1_1:square"] == "double"
+    assert d.lowered().where("name = 'k3'").count() == 1
