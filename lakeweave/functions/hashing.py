@@ -19,6 +19,44 @@ SEGMENTS = {64: 1, 128: 3, 256: 6, 512: 13}
 ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
+def xash_letters(token: str, ones: int = 5) -> Column:
+    """What the character hash needs of the column named ``token``, for all sizes: (n, l), its length and its rarest characters.
+
+    ``l`` has the place in the alphabet, the number and the summed positions of
+    each.  Null, empty and blank tokens and the word None have null.
+    """
+    return F.expr(_xash_letters(token, ones))
+
+
+def _xash_letters(token: str, ones: int) -> str:
+    t = f"coalesce({token}, '')"
+    return f"""
+        CASE WHEN {t} NOT IN ('', 'None', ' ', '''''') THEN
+        transform(array(filter(split({t}, ''), c -> c <> '')), ch -> struct(size(ch) AS n, transform(
+            filter(slice(sort_array(transform(array_distinct(ch), c -> struct(size(ch) - length(replace({t}, c, '')) AS k, c AS c))), 1, {ones}),
+                s -> instr('{ALPHABET}', s.c) > 0),
+            s -> struct(instr('{ALPHABET}', s.c) - 1 AS at, s.k AS k,
+                aggregate(transform(ch, (x, i) -> IF(x = s.c, i, 0)), 0, (a, b) -> a + b) AS at_sum)) AS l))[0]
+        END"""
+
+
+def xash_placed(letters: str, size: int = 128, rotation: bool = True) -> Column:
+    """Bits set by the character hash, of the column named ``letters`` that :func:`xash_letters` made: sorted array of int."""
+    return F.expr(_xash_placed(letters, size, rotation))
+
+
+def _xash_placed(x: str, size: int, rotation: bool) -> str:
+    m = SEGMENTS[size]
+    body = len(ALPHABET) * m
+    tail = size - body
+    shift = f"floor({body} * ({x}.n % {tail}) / {tail})" if rotation else "0"
+    return f"""
+        CASE WHEN {x} IS NULL THEN CAST(array() AS array<int>) ELSE sort_array(array_distinct(concat(
+            transform({x}.l, s -> CAST((s.at * {m} + greatest(0, CAST(ceil(s.at_sum * {m} / ({x}.n * s.k)) AS int) - 1) + CAST({shift} AS int)) % {body} AS int)),
+            array(CAST({body} + {x}.n % {tail} AS int)))))
+        END"""
+
+
 def xash_positions(token: str, size: int = 128, rotation: bool = True, ones: int = 5) -> Column:
     """Bits set by the character hash of the column named ``token``: sorted array of int.
 
@@ -26,23 +64,7 @@ def xash_positions(token: str, size: int = 128, rotation: bool = True, ones: int
     position; one more bit tells the length.  Null, empty and blank tokens and
     the word None have none.
     """
-    m = SEGMENTS[size]
-    body = len(ALPHABET) * m
-    tail = size - body
-    t = f"coalesce({token}, '')"
-    shift = f"floor({body} * (n % {tail}) / {tail})" if rotation else "0"
-    return F.expr(f"""
-        CASE WHEN {t} IN ('', 'None', ' ', '''''') THEN CAST(array() AS array<int>) ELSE
-        array_sort(array_distinct(aggregate(array(filter(split({t}, ''), c -> c <> '')), CAST(array() AS array<int>),
-            (acc, ch) -> aggregate(array(size(ch)), acc, (acc2, n) -> concat(
-                transform(
-                    filter(slice(array_sort(transform(array_distinct(ch), c -> struct(size(filter(ch, x -> x = c)) AS k, c AS c))), 1, {ones}),
-                        s -> instr('{ALPHABET}', s.c) > 0),
-                    s -> CAST(((instr('{ALPHABET}', s.c) - 1) * {m}
-                        + greatest(0, CAST(ceil(aggregate(transform(ch, (x, i) -> IF(x = s.c, i, 0)), 0, (a, b) -> a + b) * {m} / (n * s.k)) AS int) - 1)
-                        + CAST({shift} AS int)) % {body} AS int)),
-                array(CAST({body} + n % {tail} AS int)))))))
-        END""")
+    return F.expr(f"transform(array({_xash_letters(token, ones)}), letters__ -> {_xash_placed('letters__', size, rotation)})[0]")
 
 
 def words_of(positions: Column, size: int) -> Column:
@@ -61,6 +83,17 @@ def bit_string(words: Column, size: int) -> Column:
     return F.concat(*(F.lpad(F.bin(words[k]), 64, "0") for k in reversed(range(size // 64))))
 
 
+def position_string(positions: Column, size: int) -> Column:
+    """Sorted bit positions as text of 0 and 1, most significant bit first: the zeros between them, joined by ones."""
+    zeros = F.lit("0" * size)
+
+    def text(down: Column) -> Column:
+        gaps = F.zip_with(F.concat(F.array(F.lit(size)), down), F.concat(down, F.array(F.lit(-1))), lambda a, b: F.substring(zeros, F.lit(1), a - b - 1))
+        return F.array_join(gaps, "1")
+
+    return F.transform(F.array(F.reverse(positions)), text)[0]
+
+
 def words_of_bits(bits: Column, size: int) -> Column:
     """Text of 0 and 1 as an array of words; the inverse of :func:`bit_string`."""
     def word(k: int) -> Column:

@@ -6,10 +6,12 @@ One definition serves the Spark side and, as common table expressions, the SQL s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeweave.functions.text import STOPWORDS
+from lakeweave.functions.text import STOPWORDS, clean_text
 from lakeweave.operators import index
 from lakeweave.operators.index import LakeTable
 from lakeweave.plans.scratch import written
@@ -71,10 +73,14 @@ def dataset(spark: SparkSession, sf_dir: str, q: tuple[str, list[str]]) -> tuple
 @dataclass
 class Lake:
     cells: DataFrame
-    rows: DataFrame
     headers: DataFrame
     info: DataFrame
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Row signatures, made when a query first asks for them."""
+        return written(index.row_signatures(self.cells), "rows")
+
 
 _lakes: dict[tuple[str, str], Lake] = {}
 
@@ -86,12 +92,25 @@ def lake(spark: SparkSession, sf_dir: str) -> Lake:
         ts = tables(spark, sf_dir)
         cells = written(index.index_cells(ts), "cells")
         names = spark.createDataFrame([(t.tableid, t.name) for t in ts], "tableid int, dataset_name string")
-        _lakes[key] = Lake(
-            cells, written(index.row_signatures(cells), "rows"), index.index_headers(spark, ts), index.table_info(cells, names)
-        )
+        _lakes[key] = Lake(cells, index.index_headers(spark, ts), index.table_info(cells, names))
     return _lakes[key]
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt out to all cores by ``columns``: for work that costs much more than its bytes tell."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token): the distinct tokens of all cells; each distinct value is cleaned once, and no row is numbered for it."""
+    values = None
+    for t in tables(spark, sf_dir):
+        one = t.df.select(F.explode(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit(t.null)) for c in t.names()))).alias("value"))
+        values = one if values is None else values.unionByName(one)
+    return spread(values.distinct(), "value").select(clean_text(F.col("value")).alias("token")).distinct()
+
+
 # -- the same for SQL ----------------------------------------------------
 
 

@@ -102,17 +102,21 @@ def _sql_xash_variants(tokens: str) -> str:
 
 
 def _xash_variants(tokens: DataFrame) -> DataFrame:
-    out = None
-    for size, rotation in _VARIANTS:
-        words = hashing.xash(size, rotation).words("token")
-        one = tokens.select(F.lit(size).alias("hash_size"), F.lit(rotation).alias("rotation"), "token", hashing.bit_string(words, size).alias("bits"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(hash_size, rotation, token, bits): all variants are made of one look at a token.
+
+    Tokens are short and their signatures long, so they are dealt out to all
+    cores and not by their bytes.
+    """
+    letters = L.spread(tokens, "token").select("token", hashing.xash_letters("token").alias("x"))
+    variants = [
+        F.struct(F.lit(s).alias("hash_size"), F.lit(r).alias("rotation"), hashing.position_string(hashing.xash_placed("x", s, r), s).alias("bits")) for s, r in _VARIANTS
+    ]
+    return letters.select("token", F.explode(F.array(*variants)).alias("v")).select("v.hash_size", "v.rotation", "token", "v.bits")
 
 
 @query(_sql_xash_variants(DISTINCT))
 def H1_xash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _xash_variants(L.lake(spark, sf_dir).cells.select("token").distinct())
+    return _xash_variants(L.tokens(spark, sf_dir))
 
 
 _KEYS = f"""{L.sql_xash(DISTINCT)},

@@ -52,6 +52,17 @@ def test_xash_positions_and_words(spark):
         assert r.again == r.b
 
 
+def test_variants_share_one_look_at_a_token(spark):
+    tokens = [*POSITIONS, "customer 000000012", "x" * 200, "a b c d e f g", "''", " ", None]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").withColumn("x", hashing.xash_letters("t"))
+    for size in hashing.SEGMENTS:
+        for rotation in (True, False):
+            direct, placed = hashing.xash_positions("t", size, rotation), hashing.xash_placed("x", size, rotation)
+            words = hashing.bit_string(hashing.words_of(direct, size), size)
+            for r in df.select("t", direct.alias("d"), placed.alias("p"), words.alias("w"), hashing.position_string(placed, size).alias("s")).collect():
+                assert r.d == r.p and r.w == r.s and len(r.s) == size, r.t
+
+
 @pytest.mark.parametrize("sig", [hashing.xash(64), hashing.xash(512, rotation=False), hashing.bloom(128, -1), hashing.md5_signature(), hashing.simhash()])
 def test_row_key_contains_its_cells(spark, sig):
     df = spark.createDataFrame([("alpha", "beta 2", "c")], "a string, b string, c string")
