@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,11 @@ LANG_SHARE = 0.002
 MAX_LABELLED = 200_000
 #: Rounds of the alternation at most; it ends before if the difficulties change by less than this share of their spread.
 ROUNDS, SETTLED = 12, 0.03
-#: Pages to which the model of advert lines is fitted, at most (on the average; they are drawn by a hash of their text).
-LINE_PAGES = 4_000
+#: The model of lines has a word or pair of its own if it is found so often, by the number of pages (and at least LEAST_FORMS
+#: times), right below headlines; so it has a bound whatever the size of the corpus.  The others count together.
+FORM_SHARE, LEAST_FORMS = 0.0005, 3
+#: Pages that are taken apart together.
+TOGETHER = 1_000
 #: A line in capitals heads adverts if this share of the pages (and at least LEAST_HEADLINES) hold it below their first line.
 HEADLINE_SHARE, LEAST_HEADLINES = 0.005, 8
 #: A line in capitals with more words is text.
@@ -61,6 +65,7 @@ _EDGE = GRID[1] - GRID[0]
 
 _BREAKS = ("-", "\xad", "\xac", "=")
 _TOKEN = re.compile(r"[^\W_]+").findall
+_BETWEEN = re.compile(r"(?:[^\w\n]|_)+").sub
 _LOWER = re.compile(r"[^\W\d_A-Z\xc0-\xde]{2}").search
 _CAPITALS = re.compile(r"[A-Z\xc0-\xde]{3}").search
 # Signs and digits that are misread letters.
@@ -122,65 +127,194 @@ class LineModel:
     other: float = 0.0
     prior: tuple[float, float, float] = (3.0, 0.0, -7.0)
 
-    def __post_init__(self):
-        # elsewhere only a line with a telling word can be an advert
-        self.telling = frozenset(w for w, x in (self.weights or {}).items() if x > 2 and " " not in w)
-
-    def odds(self, forms: list[str]) -> float:
-        """Log odds of a line by its words; pairs repeat what words say, so both count by half."""
-        get, other = (self.weights or {}).get, self.other
-        return sum(get(f, other) for f in line_features(forms)) / 2
-
-    def is_advert(self, forms: list[str], before: int) -> bool:
-        """``before``: 0 after a headline, 1 after a line of an advert, 2 elsewhere."""
-        if not self.weights or before == 2 and self.telling.isdisjoint(forms):
-            return False
-        return self.prior[before] + self.odds(forms) > 0
 
+def page_lines(text: str | None) -> str | None:
+    """A page's lines that aren't blank as tokens in lower case, blank-separated.
 
-def _lines(text: str) -> Iterator[tuple[str, list[str], bool]]:
-    """(line, its tokens in lower case, whether it is a heading) of a page's lines that aren't blank."""
-    for raw, low in zip(text.split("\n"), text.lower().translate(_SIGNS).split("\n"), strict=True):
-        tokens = _TOKEN(low)
+    Headings are "#" and what headlines are compared by; "-" begins a line that
+    ends in a broken word.
+    """
+    if not text:
+        return None
+    out = []
+    for raw, low in zip(text.split("\n"), _BETWEEN(" ", text.lower().translate(_SIGNS)).split("\n"), strict=True):
+        tokens = low.strip(" ")
         if tokens:
-            yield raw, tokens, is_heading(raw)
+            out.append("#" + headline(raw) if is_heading(raw) else "-" + tokens if raw.rstrip()[-1:] in _BREAKS else tokens)
+    return "\n".join(out) or None
+
+
+class _PageLines:
+    """The lines of several pages of :func:`page_lines`, one after the other, as arrays."""
+
+    def __init__(self, pages: pa.Array):
+        split = pc.split_pattern(pages, "\n")
+        self.offsets = split.offsets.to_numpy()
+        lines = split.flatten()
+        self.lines, self.first = lines, np.zeros(len(lines), bool)
+        self.first[self.offsets[:-1]] = True
+        self.head = pc.starts_with(lines, "#").to_numpy(zero_copy_only=False)
+        self.text = np.flatnonzero(~self.head)
+        self.heads = np.flatnonzero(self.head)
+        self.headlines = [h[1:] for h in lines.take(pa.array(self.heads)).to_pylist()]
+
+    def leading(self, headlines: frozenset[str]) -> np.ndarray:
+        """Whether each line is one of ``headlines``."""
+        out = np.zeros(len(self.head), bool)
+        out[self.heads] = [h in headlines for h in self.headlines]
+        return out
+
+    def since(self, headlines: frozenset[str]) -> np.ndarray:
+        """Of each line of text, in the order of ``text``: lines since the last of ``headlines``, more than NEAR_HEADLINE without one."""
+        at, count = np.arange(len(self.head)), np.cumsum(~self.head)
+        lead = self.leading(headlines)
+        last = np.maximum.accumulate(np.where(lead | self.first, at, 0))
+        # a page begins far from any headline, also if its first line is text, which counts itself
+        begun = np.where(lead[last], count[last], count[last] - ~self.head[last] - NEAR_HEADLINE)
+        return (count - begun)[self.text]
+
+    def tokens(self, lines: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(code of every token of the given lines of text, what the codes stand for, offsets of the lines)."""
+        split = pc.split_pattern(pc.utf8_ltrim(self.lines.take(pa.array(lines)), "-"), " ")
+        coded = split.flatten().dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), split.offsets.to_numpy() - split.offsets[0].as_py()
+
+
+def _tables(pages: pa.Array) -> Iterator[_PageLines]:
+    """The pages, some at a time; nulls are left out."""
+    pages = pages.drop_null()
+    for k in range(0, len(pages), TOGETHER):
+        yield _PageLines(pages[k : k + TOGETHER])
+
+
+class _Features:
+    """Numbers of words and pairs: 1 on for ``kinds`` in order, 0 for all others."""
+
+    def __init__(self, kinds: list[str]):
+        parts = [k.split(" ") for k in kinds]
+        self.words = {w: i for i, w in enumerate(dict.fromkeys(["^", "$", *(w for p in parts for w in p)]), 1)}
+        self.base = len(self.words) + 1
+        self.single = np.zeros(self.base, np.int64)
+        pairs = []
+        for i, p in enumerate(parts, 1):
+            if len(p) == 1:
+                self.single[self.words[p[0]]] = i
+            else:
+                pairs.append((self.words[p[0]] * self.base + self.words[p[1]], i))
+        self.keys, self.pair = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        self.forms = _FORMS
+
+    def of(self, table: _PageLines, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, number) of every feature of the given lines of text, lines by their place among these."""
+        codes, names, offsets = table.tokens(lines)
+        get, forms = self.words.get, self.forms
+        ids = np.array([get(forms[t][1], 0) for t in names] or [0], np.int64)[codes]
+        n, line = len(lines), np.repeat(np.arange(len(lines)), np.diff(offsets))
+        framed = np.empty(len(ids) + 2 * n, np.int64)
+        at = np.arange(n)
+        framed[offsets[:-1] + 2 * at], framed[offsets[1:] + 2 * at + 1] = self.words["^"], self.words["$"]
+        framed[np.arange(len(ids)) + 2 * line + 1] = ids
+        whose = np.repeat(at, np.diff(offsets) + 2)
+        same = whose[1:] == whose[:-1]
+        left, right, whose = framed[:-1][same], framed[1:][same], whose[1:][same]
+        number, known = np.zeros(len(left), np.int64), np.flatnonzero((left > 0) & (right > 0))
+        if len(self.keys):
+            key = left[known] * self.base + right[known]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            number[known] = np.where(self.keys[place] == key, self.pair[place], 0)
+        return np.concatenate([line, whose]), np.concatenate([self.single[ids], number])
+
+
+class _Reader:
+    """A model at work on many lines at once."""
+
+    def __init__(self, model: LineModel):
+        self.model = model
+        kinds = [k for k in model.weights or {} if k != "\n"]
+        self.features = _Features(kinds)
+        self.weights = np.array([model.other, *(model.weights[k] for k in kinds)])
+        # elsewhere only a line with a telling word can be an advert
+        self.telling = np.array([False, *(model.weights[k] > 2 and " " not in k for k in kinds)])
+
+    def read(self, table: _PageLines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether it is an advert, what is before it, log odds by its words) of each line of text.
+
+        Before it: 0 a headline, 1 a line of an advert, 2 anything else.  Pairs repeat what words say, so both count by half.
+        """
+        m, n = self.model, len(table.text)
+        before = np.full(n, 2)
+        if not m.weights:
+            return np.zeros(n, bool), before, np.zeros(n)
+        line, number = self.features.of(table, table.text)
+        odds = np.bincount(line, self.weights[number], n) / 2
+        telling = np.bincount(line, self.telling[number], n) > 0
+        lead = table.leading(m.headlines)
+        inside = ~table.first[table.text]
+        before[inside & lead[table.text - 1]] = 0
+        follows = inside & ~table.head[table.text - 1]  # the line before is text
+        advert = np.where(before == 0, m.prior[0] + odds > 0, telling & (m.prior[2] + odds > 0))
+        after = m.prior[1] + odds > 0
+        for i in np.flatnonzero(follows & (advert | after)).tolist():
+            if advert[i - 1]:
+                before[i], advert[i] = 1, after[i]
+        before[1:][follows[1:] & advert[:-1]] = 1
+        return advert, before, odds
 
 
 _FORMS = _Forms()
 
 
+def _article_texts(pages: pa.Array, reader: _Reader) -> list[str]:
+    """The words of each page's articles, blank-separated; see :func:`article_words`."""
+    table = _PageLines(pages)
+    kept = np.zeros(len(table.head), bool)
+    kept[table.text] = ~reader.read(table)[0]
+    # signs and digits that are misread letters
+    lines = pages.to_pylist()
+    out = []
+    for page, begin, end in zip(lines, table.offsets[:-1].tolist(), table.offsets[1:].tolist(), strict=True):
+        own = page.replace("0", "o").replace("1", "l").replace("5", "s").replace("ſ", "s").split("\n")
+        keep = kept[begin:end]
+        if not keep.all():
+            own = [x for x, k in zip(own, keep.tolist(), strict=True) if k]
+        words, skip = [], False  # skip: the first word of this line went to the line before
+        for i, x in enumerate(own):
+            if not skip and x[0] != "-":
+                words.append(x)
+                continue
+            broken = x[0] == "-"
+            parts = (x[1:] if broken else x).split(" ")[1 if skip else 0 :]
+            skip = broken and bool(parts)
+            if skip:
+                tails = [y.lstrip("-").split(" ", 1)[0] for y in own[i + 1 : i + 3]]
+                parts[-1] = "|".join([parts[-1], *tails, "", ""][:3])
+            words += parts
+        out.append(" ".join(words))
+    return out
+
+
 def article_words(text: str | None, model: LineModel) -> list[str]:
     """Lower-case words of a page's articles; "head|tail|tail" for a word broken at a line end and the two next lines."""
-    if not text:
-        return []
-    lines, broken, before = [], [], 2
-    forms = _FORMS
-    for raw, tokens, heading in _lines(text):
-        if heading:
-            before = 0 if headline(raw) in model.headlines else 2
-            continue
-        found = [forms[t] for t in tokens]
-        if model.is_advert([f for _, f in found], before):
-            before = 1
-            continue
-        before = 2
-        lines.append([w for w, _ in found])
-        broken.append(raw.rstrip()[-1:] in _BREAKS)
-    out: list[str] = []
-    skip = False  # the first word of this line went to the line before
-    for i, words in enumerate(lines):
-        begin = 1 if skip else 0
-        skip = broken[i] and len(words) > begin
-        if skip:
-            out += words[begin:-1]
-            out.append(f"{words[-1]}|{lines[i + 1][0] if i + 1 < len(lines) else ''}|{lines[i + 2][0] if i + 2 < len(lines) else ''}")
-        else:
-            out += words[begin:]
-    return out
+    page = page_lines(text)
+    return _article_texts(pa.array([page], pa.string()), _Reader(model))[0].split() if page else []
+
+
+def lines_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, page): :func:`page_lines` of every document that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            page = pa.array([page_lines(t) for t in b.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], page], names=["doc_id", "lang", "page"]).filter(page.is_valid())
+
+    return (
+        docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+        .mapInArrow(run, "doc_id long, lang string, page string")
+    )
 
 
 def _summed(pages: DataFrame, of) -> DataFrame:
-    """(k, n): what ``of`` counts in each page's text, summed over the pages."""
+    """(k, n): what ``of`` counts in tables of pages, summed over all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -191,17 +325,25 @@ def _summed(pages: DataFrame, of) -> DataFrame:
             return rows
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                total.update(of(t))
-            if len(total) > 200_000:
-                yield out()
+            for table in _tables(b.column(0)):
+                total.update(of(table))
+                if len(total) > 200_000:
+                    yield out()
         yield out()
 
     return pages.mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def fit_lines(docs: DataFrame, pages: int = LINE_PAGES) -> LineModel:
-    """The model of advert lines, fitted to about ``pages`` pages at most.
+def fit_lines(docs: DataFrame, pages: int | None = None) -> LineModel:
+    """The model of advert lines, fitted to all pages; ``pages``: for trials, to about so many, drawn by a hash of their text."""
+    if pages is not None:
+        share, whole = min(1.0, pages / max(docs.where("text IS NOT NULL").count(), 1)), 1 << 60
+        docs = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(whole)) < F.lit(int(share * whole)))
+    return fit_page_lines(lines_table(docs))
+
+
+def fit_page_lines(lines: DataFrame) -> LineModel:
+    """The model of advert lines, fitted to all pages of :func:`lines_table`.
 
     What comes back has a bound: headlines by their share of the pages, words
     and pairs by those of the lines right below headlines.  Some of these are
@@ -209,19 +351,16 @@ def fit_lines(docs: DataFrame, pages: int = LINE_PAGES) -> LineModel:
     the lines below read like articles (sections of a paper) are dropped and
     the model is fitted again.  Without headlines no line is an advert.
     """
-    texts = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text"))
-    n = texts.count()
-    share = min(1.0, pages / max(n, 1))
-    whole = 1 << 60  # fine enough for any number of pages
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(whole)) < F.lit(int(share * whole))) if share < 1 else texts
     # copies of one page don't make its headings recur
-    drawn = written(drawn.distinct(), "line-pages")
+    pages = written(lines.select("page").distinct(), "line-pages")
 
-    def heads(text: str) -> set[str]:
-        found = {headline(raw) for i, (raw, _, heading) in enumerate(_lines(text)) if heading and i}
-        return {h for h in found if len(h) > 2} | {""}
+    def heads(table: _PageLines) -> Counter:
+        whose = np.searchsorted(table.offsets, table.heads, "right")
+        below = ~table.first[table.heads]
+        found = {(p, h) for p, h, b in zip(whose.tolist(), table.headlines, below.tolist(), strict=True) if b and len(h) > 2}
+        return Counter({"": len(table.offsets) - 1}) + Counter(h for _, h in found)
 
-    counted = written(_summed(drawn, heads), "headlines")
+    counted = written(_summed(pages, heads), "headlines")
     total = (counted.where("k = ''").agg(F.sum("n")).first()[0]) or 0
     least = max(LEAST_HEADLINES, HEADLINE_SHARE * total)
     names = frozenset(r.k for r in counted.where(F.col("n") >= least).where("k <> ''").collect())
@@ -229,82 +368,73 @@ def fit_lines(docs: DataFrame, pages: int = LINE_PAGES) -> LineModel:
     for _ in range(2):
         if not model.headlines:
             break
-        model = _line_round(drawn, model)
-    dropped(drawn)
+        model = _line_round(pages, model, max(LEAST_FORMS, FORM_SHARE * total))
+    dropped(pages)
     dropped(counted)
     return model
 
 
-def _line_round(pages: DataFrame, model: LineModel) -> LineModel:
-    """The model fitted anew to the lines that are adverts by their place, and headlines and priors by the fitted model."""
-
-    def below(text: str) -> Iterator[tuple[list[str], int]]:
-        """(forms of a line, lines since the last headline)."""
-        since = NEAR_HEADLINE
-        for raw, tokens, heading in _lines(text):
-            if heading:
-                since = 0 if headline(raw) in model.headlines else since
-                continue
-            since += 1
-            yield [_FORMS[t][1] for t in tokens], since
+def _line_round(pages: DataFrame, model: LineModel, least: float) -> LineModel:
+    """The model fitted anew to the lines that are adverts by their place, and headlines and priors by the fitted model.
 
-    def first(text: str) -> list[str]:
-        return [f for forms, since in below(text) if since <= BELOW_HEADLINE for f in line_features(forms)]
+    Words and pairs that are found fewer than ``least`` times right below headlines count together.
+    """
 
-    seen = {r.k: r.n for r in _summed(pages, first).where(F.col("n") >= 3).collect()}  # of lines right below headlines
+    def below(table: _PageLines) -> Counter:
+        """Words and pairs of lines right below headlines; "\\n": all of them."""
+        n: Counter = Counter()
+        lines = table.text[table.since(model.headlines) <= BELOW_HEADLINE]
+        for line in table.lines.take(pa.array(lines)).to_pylist():
+            n.update(line_features([_FORMS[t][1] for t in line.lstrip("-").split(" ")]))
+        n["\n"] = n.total()
+        return n
+
+    plus = {r.k: r.n for r in _summed(pages, below).where((F.col("n") >= least) | (F.col("k") == "\n")).collect()}
+    every = plus.pop("\n", 0)
+    seen = sorted(plus)
+    kinds = [*seen, "\n"]
+    plus["\n"] = every - sum(plus.values())
+    features = _Features(seen)
 
-    def both(text: str) -> list[str]:
-        out = []
-        for forms, since in below(text):
-            side = "+" if since <= BELOW_HEADLINE else "-" if since > NEAR_HEADLINE else None
-            if side:
-                out += [side + (f if f in seen else "\n") for f in line_features(forms)]
-        return out
+    def far(table: _PageLines) -> Counter:
+        """Words and pairs of lines far from any headline."""
+        lines = table.text[table.since(model.headlines) > NEAR_HEADLINE]
+        n = np.bincount(features.of(table, lines)[1], minlength=len(kinds))
+        return Counter({kinds[i - 1]: int(n[i]) for i in np.flatnonzero(n)})  # 0 is the last one
 
-    n = {r.k: r.n for r in _summed(pages, both).collect()}
-    kinds = [*seen, "\n"]
-    plus, minus = sum(n.get("+" + k, 0) for k in kinds) + len(kinds), sum(n.get("-" + k, 0) for k in kinds) + len(kinds)
-    weights = {k: math.log((n.get("+" + k, 0) + 1) / plus * minus / (n.get("-" + k, 0) + 1)) for k in kinds}
-    found = LineModel(model.headlines, weights, weights["\n"], model.prior)
+    minus = {r.k: r.n for r in _summed(pages, far).collect()}
+    all_plus, all_minus = every + len(kinds), sum(minus.values()) + len(kinds)
+    weights = {k: math.log((plus[k] + 1) / all_plus * all_minus / (minus.get(k, 0) + 1)) for k in kinds}
+    reader = _Reader(LineModel(model.headlines, weights, weights["\n"], model.prior))
 
-    def read(text: str) -> list[str]:
+    def read(table: _PageLines) -> Counter:
         """What the fitted model says of lines, by what comes before them."""
-        out, before, above = [], 2, None
-        for raw, tokens, heading in _lines(text):
-            if heading:
-                h = headline(raw)
-                above = h if h in found.headlines else None
-                before = 0 if above else 2
-                continue
-            forms = [_FORMS[t][1] for t in tokens]
-            advert = found.is_advert(forms, before)
-            out.append(f"{before}{int(advert)}")
-            if above:  # whether the words alone tell it
-                out.append(f"h{int(found.odds(forms) > SURE)}{above}")
-            before, above = (1 if advert else 2), None
-        return out
+        advert, before, odds = reader.read(table)
+        n = Counter(f"{b}{a:d}" for b, a in zip(before.tolist(), advert.tolist(), strict=True))
+        above = dict(zip(table.heads.tolist(), table.headlines, strict=True))
+        for i in np.flatnonzero(before == 0).tolist():  # whether the words alone tell it
+            n[f"h{odds[i] > SURE:d}{above[table.text[i] - 1]}"] += 1
+        return n
 
     said = {r.k: r.n for r in _summed(pages, read).collect()}  # at most two for each headline
-    leads = frozenset(h for h in found.headlines if said.get("h1" + h, 0) > said.get("h0" + h, 0))
+    leads = frozenset(h for h in model.headlines if said.get("h1" + h, 0) > said.get("h0" + h, 0))
     prior = tuple(math.log((said.get(f"{b}1", 0) + 0.5) / (said.get(f"{b}0", 0) + 0.5)) for b in (0, 1, 2))
     return LineModel(leads, weights, weights["\n"], prior)
 
 
-def article_table(docs: DataFrame, lines: LineModel) -> DataFrame:
-    """(doc_id, lang, words): the article words, blank-separated, of every page with an article."""
-    shared = docs.sparkSession.sparkContext.broadcast(lines)  # bounded by the pages that it was fitted to
+def article_table(lines: DataFrame, model: LineModel) -> DataFrame:
+    """(doc_id, lang, words): the article words, blank-separated, of every page of :func:`lines_table` with an article."""
+    shared = lines.sparkSession.sparkContext.broadcast(model)  # bounded by HEADLINE_SHARE and FORM_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        reader = _Reader(shared.value)
         for b in batches:
-            text = pa.array([" ".join(article_words(t, model)) or None for t in b.column(2).to_pylist()], pa.string())
-            out = pa.RecordBatch.from_arrays([*b.columns[:2], text], names=["doc_id", "lang", "words"])
-            yield out.filter(text.is_valid())
+            for k in range(0, b.num_rows, TOGETHER):
+                part = b.slice(k, TOGETHER)
+                text = pa.array([t or None for t in _article_texts(part.column(2), reader)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], text], names=["doc_id", "lang", "words"]).filter(text.is_valid())
 
-    return (
-        docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-        .mapInArrow(run, "doc_id long, lang string, words string")
-    )
+    return lines.mapInArrow(run, "doc_id long, lang string, words string")
 
 
 #: Rare words are told apart by their length up to this.
@@ -621,7 +751,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     Without any labels the level is null.
     """
     spark: SparkSession = docs.sparkSession
-    articles = written(article_table(docs, fit_lines(docs)), "articles")
+    lines = written(lines_table(docs), "lines")
+    articles = written(article_table(lines, fit_page_lines(lines)), "articles")
+    dropped(lines)
     vocabulary = fit_vocabulary(articles)
     if not vocabulary.words:
         return spark.createDataFrame([], "doc_id long, lang string, n_words int, latent double, level int")

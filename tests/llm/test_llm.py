@@ -630,6 +630,25 @@ def test_few_pages_are_drawn_of_many(spark, pages):
     assert model.headlines == {reading.headline(h) for h, _ in ADVERTS.values()}
 
 
+def test_lines_are_fitted_to_every_page(spark):
+    rng, words = random.Random(5), "the cat sold his road when mayor and they have to it was".split()
+    docs = []
+    for i in range(4500):
+        article = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(7)]
+        docs.append((i, "\n".join(["POST", *article, "TO LET", f"Box {i}, this office", "Terms cash. No agents."]), "en"))
+    model = reading.fit_lines(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    # an advert follows the headline of every page; their number is in the odds
+    assert model.headlines == {reading.headline("TO LET")} and round(np.exp(model.prior[0])) == 2 * len(docs) + 1
+
+
+def test_many_lines_read_like_single_pages(line_model, pages):
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in pages[:60]] + ["TO LET\nTelephone 246", "in-\n-\nTO LET\nBox 5, this 0ffice", "a\r\n\r\nTO LET"]
+    together = reading._article_texts(pa.array([reading.page_lines(t) for t in texts]), reading._Reader(line_model))
+    assert together == [" ".join(reading.article_words(t, line_model)) for t in texts]
+
+
 def test_sections_of_a_paper_head_no_adverts(spark, pages):
     with_sections = [(i, t.replace("\n", "\nHOME AND ABROAD\n", 3), x) for i, t, x in pages]
     model = reading.fit_lines(spark.createDataFrame(with_sections, "doc_id long, text string, lang string"))
