@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +49,16 @@ ROUNDS, SETTLED = 12, 0.03
 #: The model of lines has a word or pair of its own if it is found so often, by the number of pages (and at least LEAST_FORMS
 #: times), right below headlines; so it has a bound whatever the size of the corpus.  The others count together.
 FORM_SHARE, LEAST_FORMS = 0.0005, 3
-#: Pages that are taken apart together.
-TOGETHER = 1_000
+#: Pages of which the lines are read together, and letters of pages that are taken apart into lines together.
+TOGETHER, TOGETHER_LETTERS = 1_000, 1_000_000
 #: A line in capitals heads adverts if this share of the pages (and at least LEAST_HEADLINES) hold it below their first line.
 HEADLINE_SHARE, LEAST_HEADLINES = 0.005, 8
 #: A line in capitals with more words is text.
 HEADING_WORDS = 5
 #: Log odds from which the words of a line alone show that it is an advert.
 SURE = 2.0
+#: Lines below a headline or telling line that are read one by one; after that many, all lines that remain are read at once.
+STEPS = 6
 #: Lines below a headline that are taken for an advert while the model is fitted, and those that aren't taken for an article.
 BELOW_HEADLINE, NEAR_HEADLINE = 2, 5
 GRID = np.linspace(-5, 5, 101)
@@ -65,7 +66,6 @@ _EDGE = GRID[1] - GRID[0]
 
 _BREAKS = ("-", "\xad", "\xac", "=")
 _TOKEN = re.compile(r"[^\W_]+").findall
-_BETWEEN = re.compile(r"(?:[^\w\n]|_)+").sub
 _LOWER = re.compile(r"[^\W\d_A-Z\xc0-\xde]{2}").search
 _CAPITALS = re.compile(r"[A-Z\xc0-\xde]{3}").search
 # Signs and digits that are misread letters.
@@ -95,6 +95,9 @@ class _Forms(dict):
         return found
 
 
+_FORMS = _Forms()
+
+
 def is_heading(line: str) -> bool:
     """Whether a line is mostly in capitals and short."""
     if _LOWER(line):
@@ -105,7 +108,7 @@ def is_heading(line: str) -> bool:
 
 def headline(line: str) -> str:
     """What headlines are compared by: shapes of their words."""
-    return " ".join(shape(w.translate(_DIGITS)) for w in _TOKEN(line.lower().translate(_SIGNS)))
+    return " ".join(shape(w.translate(_DIGITS)) if w[0].isdigit() else _FORMS[w][1] for w in _TOKEN(line.lower().translate(_SIGNS)))
 
 
 def line_features(forms: list[str]) -> list[str]:
@@ -128,20 +131,118 @@ class LineModel:
     prior: tuple[float, float, float] = (3.0, 0.0, -7.0)
 
 
+class _Kinds:
+    """What characters are, by their code; found out as they occur."""
+
+    WORD, LOWER, CAPITAL, KNOWN = 1, 2, 4, 8
+
+    def __init__(self):
+        self.table = np.zeros(0x110000, np.uint8)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        found = self.table[codes]
+        if not found.all():
+            for c in np.unique(codes[found == 0]).tolist():
+                x = chr(c)
+                self.table[c] = self.KNOWN | self.WORD * bool(_TOKEN(x)) | self.LOWER * bool(_LOWER(x + x)) | self.CAPITAL * bool(_CAPITALS(x * 3))
+            found = self.table[codes]
+        return found
+
+
+_KINDS = _Kinds()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _token_lines(text: str) -> list[str]:
+    """The tokens of each line, blank-separated."""
+    codes = _codes(text)
+    word = (_KINDS.of(codes) & _Kinds.WORD) > 0
+    kept = np.flatnonzero(word | (codes == 10))
+    word = word[kept]
+    apart = (np.diff(kept) > 1) & word[1:] & word[:-1]  # two tokens of a line
+    at = np.arange(len(kept))
+    at[1:] += np.cumsum(apart)
+    out = np.full(at[-1] + 1 if len(at) else 0, 32, np.uint32)
+    out[at] = codes[kept]
+    return out.tobytes().decode("utf-32-le", "surrogatepass").split("\n")
+
+
+def _maybe_headings(text: str) -> np.ndarray:
+    """Of each line whether it may be a heading: it has no two letters in lower case or it has three capitals, side by side."""
+    codes = _codes(text + "\n")
+    kinds = _KINDS.of(codes)
+    ends = np.flatnonzero(codes == 10)
+    begins = np.append(0, ends[:-1] + 1)
+    lower, capital = (kinds & _Kinds.LOWER) > 0, (kinds & _Kinds.CAPITAL) > 0
+    lower[:-1] &= lower[1:]
+    capital[:-1] &= capital[1:]
+    capital[:-1] &= capital[1:]
+    return ~np.logical_or.reduceat(lower, begins) | np.logical_or.reduceat(capital, begins)
+
+
+def _lines_of_pages(texts: list[str]) -> list[str | None]:
+    """:func:`page_lines` of several texts at once."""
+    text = "\n".join(texts)
+    low = text.lower()
+    for sign, letter in _SIGNS.items():
+        low = low.replace(chr(sign), letter)
+    lines = []
+    for raw, tokens, maybe in zip(text.split("\n"), _token_lines(low), _maybe_headings(text).tolist(), strict=True):
+        if maybe and tokens and is_heading(raw):
+            lines.append("#" + headline(raw))
+        else:
+            lines.append("-" + tokens if tokens and raw.rstrip()[-1:] in _BREAKS else tokens)
+    out, begin = [], 0
+    for t in texts:
+        end = begin + t.count("\n") + 1
+        out.append("\n".join(filter(None, lines[begin:end])) or None)
+        begin = end
+    return out
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text, cut between lines."""
+    begin = 0
+    while len(text) - begin > TOGETHER_LETTERS and (cut := text.find("\n", begin + TOGETHER_LETTERS)) >= 0:
+        yield text[begin:cut]
+        begin = cut + 1
+    yield text[begin:]
+
+
+def pages_lines(texts: list[str | None]) -> list[str | None]:
+    """:func:`page_lines` of every text."""
+    out: list[str | None] = [None] * len(texts)
+    some, size = [], 0
+    for i, t in enumerate(texts):
+        if t and len(t) > TOGETHER_LETTERS:
+            out[i] = "\n".join(page for piece in _pieces(t) for page in _lines_of_pages([piece]) if page) or None
+        elif t:
+            some.append(i)
+            size += len(t)
+        if some and (size > TOGETHER_LETTERS or i == len(texts) - 1):
+            for k, page in zip(some, _lines_of_pages([texts[k] for k in some]), strict=True):
+                out[k] = page
+            some, size = [], 0
+    return out
+
+
 def page_lines(text: str | None) -> str | None:
     """A page's lines that aren't blank as tokens in lower case, blank-separated.
 
     Headings are "#" and what headlines are compared by; "-" begins a line that
     ends in a broken word.
     """
-    if not text:
-        return None
-    out = []
-    for raw, low in zip(text.split("\n"), _BETWEEN(" ", text.lower().translate(_SIGNS)).split("\n"), strict=True):
-        tokens = low.strip(" ")
-        if tokens:
-            out.append("#" + headline(raw) if is_heading(raw) else "-" + tokens if raw.rstrip()[-1:] in _BREAKS else tokens)
-    return "\n".join(out) or None
+    return pages_lines([text])[0]
+
+
+def _split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(code of every blank-separated word of the texts, what the codes stand for, offsets of the texts)."""
+    split = pc.split_pattern(texts, " ")
+    coded = split.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), split.offsets.to_numpy() - split.offsets[0].as_py()
 
 
 class _PageLines:
@@ -174,10 +275,8 @@ class _PageLines:
         return (count - begun)[self.text]
 
     def tokens(self, lines: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """(code of every token of the given lines of text, what the codes stand for, offsets of the lines)."""
-        split = pc.split_pattern(pc.utf8_ltrim(self.lines.take(pa.array(lines)), "-"), " ")
-        coded = split.flatten().dictionary_encode()
-        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        """:func:`_split_words` of the given lines of text."""
+        return _split_words(pc.utf8_ltrim(self.lines.take(pa.array(lines)), "-"))
 
 
 def _tables(pages: pa.Array) -> Iterator[_PageLines]:
@@ -187,6 +286,24 @@ def _tables(pages: pa.Array) -> Iterator[_PageLines]:
         yield _PageLines(pages[k : k + TOGETHER])
 
 
+class _Numbers(dict):
+    """Token -> number of its form, 0 for a form that ``words`` doesn't have."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, token: str) -> int:
+        found = self.words.get(_FORMS[token][1], 0)
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = found
+        return found
+
+    def __reduce__(self):
+        return _Numbers, (self.words,)
+
+
 class _Features:
     """Numbers of words and pairs: 1 on for ``kinds`` in order, 0 for all others."""
 
@@ -202,27 +319,57 @@ class _Features:
             else:
                 pairs.append((self.words[p[0]] * self.base + self.words[p[1]], i))
         self.keys, self.pair = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-        self.forms = _FORMS
+        self.numbers = _Numbers(self.words)
 
-    def of(self, table: _PageLines, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line, number) of every feature of the given lines of text, lines by their place among these."""
+    def ids(self, table: _PageLines, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word of every token of the given lines of text, offsets of the lines)."""
         codes, names, offsets = table.tokens(lines)
-        get, forms = self.words.get, self.forms
-        ids = np.array([get(forms[t][1], 0) for t in names] or [0], np.int64)[codes]
-        n, line = len(lines), np.repeat(np.arange(len(lines)), np.diff(offsets))
-        framed = np.empty(len(ids) + 2 * n, np.int64)
-        at = np.arange(n)
-        framed[offsets[:-1] + 2 * at], framed[offsets[1:] + 2 * at + 1] = self.words["^"], self.words["$"]
-        framed[np.arange(len(ids)) + 2 * line + 1] = ids
-        whose = np.repeat(at, np.diff(offsets) + 2)
-        same = whose[1:] == whose[:-1]
-        left, right, whose = framed[:-1][same], framed[1:][same], whose[1:][same]
-        number, known = np.zeros(len(left), np.int64), np.flatnonzero((left > 0) & (right > 0))
+        return np.array([*map(self.numbers.__getitem__, names)] or [0], np.int64)[codes], offsets
+
+    def _pairs(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every pair of neighbours, line by line, also of those of two lines; and which are of one line."""
+        at = np.arange(len(offsets) - 1)
+        begin, end = offsets[:-1] + 2 * at, offsets[1:] + 2 * at + 1
+        framed, inner = np.empty(len(ids) + 2 * len(at), np.int64), np.ones(len(ids) + 2 * len(at), bool)
+        framed[begin], framed[end] = self.words["^"], self.words["$"]
+        inner[begin] = inner[end] = False
+        framed[inner] = ids
+        left, right = framed[:-1], framed[1:]
+        within = np.ones(len(left), bool)
+        within[end[:-1]] = False
+        number = np.zeros(len(left), np.int64)
         if len(self.keys):
+            known = np.flatnonzero((left > 0) & (right > 0) & within)
             key = left[known] * self.base + right[known]
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             number[known] = np.where(self.keys[place] == key, self.pair[place], 0)
-        return np.concatenate([line, whose]), np.concatenate([self.single[ids], number])
+        return number, within
+
+    def counts(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How often each number is among the words and pairs of the lines."""
+        if len(offsets) < 2:
+            return np.zeros(1, np.int64)
+        number, within = self._pairs(ids, offsets)
+        size = max(self.single.max(), number.max(), 0) + 1
+        n = np.bincount(number, minlength=size) + np.bincount(self.single[ids], minlength=size)
+        n[0] -= np.count_nonzero(~within)
+        return n
+
+    def sums(self, ids: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of the words and pairs of each line."""
+        n, sizes = len(offsets) - 1, np.diff(offsets)
+        if not n:
+            return np.zeros(0)
+        number, within = self._pairs(ids, offsets)
+        line = np.concatenate([np.repeat(np.arange(n), sizes), np.repeat(np.arange(n), sizes + 1)])
+        return np.bincount(line, weights[np.concatenate([self.single[ids], number[within]])], n)
+
+
+def _some_lines(ids: np.ndarray, offsets: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and offsets of some of the lines."""
+    sizes = np.diff(offsets)[lines]
+    begin = np.append(0, np.cumsum(sizes))
+    return ids[np.arange(begin[-1]) + np.repeat(offsets[lines] - begin[:-1], sizes)], begin
 
 
 class _Reader:
@@ -234,24 +381,35 @@ class _Reader:
         self.features = _Features(kinds)
         self.weights = np.array([model.other, *(model.weights[k] for k in kinds)])
         # elsewhere only a line with a telling word can be an advert
-        self.telling = np.array([False, *(model.weights[k] > 2 and " " not in k for k in kinds)])
+        self.telling = np.array([False, *(model.weights[k] > 2 and " " not in k for k in kinds)])[self.features.single]
 
     def read(self, table: _PageLines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(whether it is an advert, what is before it, log odds by its words) of each line of text.
 
         Before it: 0 a headline, 1 a line of an advert, 2 anything else.  Pairs repeat what words say, so both count by half.
+        The odds are nan for lines that can't be adverts whatever they are: without a telling word and not below a headline or an advert.
         """
         m, n = self.model, len(table.text)
-        before = np.full(n, 2)
+        before, odds = np.full(n, 2), np.full(n, np.nan)
         if not m.weights:
             return np.zeros(n, bool), before, np.zeros(n)
-        line, number = self.features.of(table, table.text)
-        odds = np.bincount(line, self.weights[number], n) / 2
-        telling = np.bincount(line, self.telling[number], n) > 0
+        ids, offsets = self.features.ids(table, table.text)
+        telling = np.zeros(n, bool)
+        telling[np.searchsorted(offsets, np.flatnonzero(self.telling[ids]), "right") - 1] = True
         lead = table.leading(m.headlines)
         inside = ~table.first[table.text]
         before[inside & lead[table.text - 1]] = 0
         follows = inside & ~table.head[table.text - 1]  # the line before is text
+        lines = np.flatnonzero((before == 0) | telling)
+        for step in range(STEPS + 1):
+            odds[lines] = self.features.sums(*_some_lines(ids, offsets, lines), self.weights) / 2
+            if not len(lines) or step == STEPS:
+                break
+            advert = np.where(before == 0, m.prior[0] + odds > 0, telling & (m.prior[2] + odds > 0))
+            after = m.prior[1] + odds > 0
+            maybe = np.zeros(n, bool)  # the line before may be an advert
+            maybe[1:] = (advert | after)[:-1]
+            lines = np.flatnonzero(np.isnan(odds) & follows & (maybe if step < STEPS - 1 else True))
         advert = np.where(before == 0, m.prior[0] + odds > 0, telling & (m.prior[2] + odds > 0))
         after = m.prior[1] + odds > 0
         for i in np.flatnonzero(follows & (advert | after)).tolist():
@@ -261,9 +419,6 @@ class _Reader:
         return advert, before, odds
 
 
-_FORMS = _Forms()
-
-
 def _article_texts(pages: pa.Array, reader: _Reader) -> list[str]:
     """The words of each page's articles, blank-separated; see :func:`article_words`."""
     table = _PageLines(pages)
@@ -304,7 +459,7 @@ def lines_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            page = pa.array([page_lines(t) for t in b.column(2).to_pylist()], pa.string())
+            page = pa.array(pages_lines(b.column(2).to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], page], names=["doc_id", "lang", "page"]).filter(page.is_valid())
 
     return (
@@ -364,18 +519,21 @@ def fit_page_lines(lines: DataFrame) -> LineModel:
     total = (counted.where("k = ''").agg(F.sum("n")).first()[0]) or 0
     least = max(LEAST_HEADLINES, HEADLINE_SHARE * total)
     names = frozenset(r.k for r in counted.where(F.col("n") >= least).where("k <> ''").collect())
-    model = LineModel(names)
+    model, fitted = LineModel(names), None
     for _ in range(2):
         if not model.headlines:
             break
-        model = _line_round(pages, model, max(LEAST_FORMS, FORM_SHARE * total))
+        if fitted != model.headlines:  # the weights depend on nothing else
+            fitted = model.headlines
+            weights = _line_weights(pages, fitted, max(LEAST_FORMS, FORM_SHARE * total))
+        model = _line_round(pages, LineModel(fitted, weights, weights["\n"], model.prior))
     dropped(pages)
     dropped(counted)
     return model
 
 
-def _line_round(pages: DataFrame, model: LineModel, least: float) -> LineModel:
-    """The model fitted anew to the lines that are adverts by their place, and headlines and priors by the fitted model.
+def _line_weights(pages: DataFrame, headlines: frozenset[str], least: float) -> dict[str, float]:
+    """Weights of words and pairs, from the lines that are adverts by their place.
 
     Words and pairs that are found fewer than ``least`` times right below headlines count together.
     """
@@ -383,7 +541,7 @@ def _line_round(pages: DataFrame, model: LineModel, least: float) -> LineModel:
     def below(table: _PageLines) -> Counter:
         """Words and pairs of lines right below headlines; "\\n": all of them."""
         n: Counter = Counter()
-        lines = table.text[table.since(model.headlines) <= BELOW_HEADLINE]
+        lines = table.text[table.since(headlines) <= BELOW_HEADLINE]
         for line in table.lines.take(pa.array(lines)).to_pylist():
             n.update(line_features([_FORMS[t][1] for t in line.lstrip("-").split(" ")]))
         n["\n"] = n.total()
@@ -398,19 +556,23 @@ def _line_round(pages: DataFrame, model: LineModel, least: float) -> LineModel:
 
     def far(table: _PageLines) -> Counter:
         """Words and pairs of lines far from any headline."""
-        lines = table.text[table.since(model.headlines) > NEAR_HEADLINE]
-        n = np.bincount(features.of(table, lines)[1], minlength=len(kinds))
+        lines = table.text[table.since(headlines) > NEAR_HEADLINE]
+        n = features.counts(*features.ids(table, lines))
         return Counter({kinds[i - 1]: int(n[i]) for i in np.flatnonzero(n)})  # 0 is the last one
 
     minus = {r.k: r.n for r in _summed(pages, far).collect()}
     all_plus, all_minus = every + len(kinds), sum(minus.values()) + len(kinds)
-    weights = {k: math.log((plus[k] + 1) / all_plus * all_minus / (minus.get(k, 0) + 1)) for k in kinds}
-    reader = _Reader(LineModel(model.headlines, weights, weights["\n"], model.prior))
+    return {k: math.log((plus[k] + 1) / all_plus * all_minus / (minus.get(k, 0) + 1)) for k in kinds}
+
+
+def _line_round(pages: DataFrame, model: LineModel) -> LineModel:
+    """Headlines and priors by what the model says of all lines."""
+    reader = _Reader(model)
 
     def read(table: _PageLines) -> Counter:
-        """What the fitted model says of lines, by what comes before them."""
+        """What the model says of lines, by what comes before them."""
         advert, before, odds = reader.read(table)
-        n = Counter(f"{b}{a:d}" for b, a in zip(before.tolist(), advert.tolist(), strict=True))
+        n = Counter({f"{k // 2}{k % 2}": v for k, v in enumerate(np.bincount(2 * before + advert).tolist()) if v})
         above = dict(zip(table.heads.tolist(), table.headlines, strict=True))
         for i in np.flatnonzero(before == 0).tolist():  # whether the words alone tell it
             n[f"h{odds[i] > SURE:d}{above[table.text[i] - 1]}"] += 1
@@ -419,7 +581,7 @@ def _line_round(pages: DataFrame, model: LineModel, least: float) -> LineModel:
     said = {r.k: r.n for r in _summed(pages, read).collect()}  # at most two for each headline
     leads = frozenset(h for h in model.headlines if said.get("h1" + h, 0) > said.get("h0" + h, 0))
     prior = tuple(math.log((said.get(f"{b}1", 0) + 0.5) / (said.get(f"{b}0", 0) + 0.5)) for b in (0, 1, 2))
-    return LineModel(leads, weights, weights["\n"], prior)
+    return LineModel(leads, model.weights, model.other, prior)
 
 
 def article_table(lines: DataFrame, model: LineModel) -> DataFrame:
@@ -473,26 +635,37 @@ class Vocabulary:
 def fit_vocabulary(articles: DataFrame) -> Vocabulary:
     """Frequent words by stated language; documents without a language don't count here."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, Counter] = {}
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             rows = [(k, w, v) for k, n in by_lang.items() for w, v in n.items()]
             by_lang.clear()
-            return pd.DataFrame(rows, columns=["lang", "word", "n"])
+            kinds = (pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], x) for j, x in enumerate(kinds)], names=["lang", "word", "n"])
 
         for b in batches:
-            for lang, text in zip(b["lang"], b["words"], strict=True):
-                n = by_lang.setdefault(lang, Counter())
-                n[""] += 1
-                n.update({w for w in text.split(" ") if "|" not in w})
-            if sum(map(len, by_lang.values())) > 500_000:
-                yield out()
+            for k in range(0, b.num_rows, TOGETHER):
+                part = b.slice(k, TOGETHER)
+                codes, names, offsets = _split_words(part.column(1))
+                coded, size = part.column(0).dictionary_encode(), len(names)
+                lang = coded.indices.to_numpy()
+                held = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offsets)) * size + codes)  # once for each document
+                pairs, n = np.unique(lang[held // size].astype(np.int64) * size + held % size, return_counts=True)
+                langs, docs = coded.dictionary.to_pylist(), np.bincount(lang).tolist()
+                for x, v in zip(langs, docs, strict=True):
+                    by_lang.setdefault(x, Counter())[""] += v
+                for p, v in zip(pairs.tolist(), n.tolist(), strict=True):
+                    w = names[p % size]
+                    if "|" not in w:
+                        by_lang[langs[p // size]][w] += v
+                if sum(map(len, by_lang.values())) > 500_000:
+                    yield out()
         yield out()
 
     table = (
         articles.where("lang IS NOT NULL").select("lang", "words")
-        .mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        .mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= LEAST_DOCS)
     )
     table = written(table, "vocabulary")
@@ -565,28 +738,22 @@ def count_words(articles: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = _Entries(shared.value)
-        get = entries.__getitem__
+        langs, size = entries.table.shape[1], len(shared.value.words)
         for b in batches:
-            ids, langs, ns, ats, times, sizes = [], [], [], [], [], [0]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.split(" ")
-                rows = np.fromiter(map(get, words), np.int64, len(words))
-                lang = int(entries.known[rows].sum(axis=0).argmax())
-                own = entries.table[rows, lang]
-                at, n = np.unique(own, return_counts=True)
-                ids.append(doc)
-                langs.append(lang)
-                ns.append(len(own))
-                ats.append(at)
-                times.append(n)
-                sizes.append(len(at))
-            off = pa.array(np.cumsum(sizes), pa.int32())
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.int32()), pa.array(ns, pa.int32()),
-                 pa.ListArray.from_arrays(off, cat(ats)), pa.ListArray.from_arrays(off, cat(times))],
-                names=["doc_id", "lang", "n", "at", "times"],
-            )
+            for k in range(0, b.num_rows, TOGETHER):
+                part = b.slice(k, TOGETHER)
+                codes, names, offsets = _split_words(part.column(1))
+                rows = np.array([*map(entries.__getitem__, names)], np.int64)[codes]
+                n, docs = np.diff(offsets), np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                known = np.stack([np.bincount(docs, entries.known[rows, j], part.num_rows) for j in range(langs)])
+                lang = known.argmax(axis=0)
+                found, times = np.unique(docs * size + entries.table[rows, lang[docs]], return_counts=True)
+                off = pa.array(np.searchsorted(found, np.arange(part.num_rows + 1) * size), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(lang, pa.int32()), pa.array(n, pa.int32()),
+                     pa.ListArray.from_arrays(off, pa.array(found % size, pa.int32())), pa.ListArray.from_arrays(off, pa.array(times, pa.int32()))],
+                    names=["doc_id", "lang", "n", "at", "times"],
+                )
 
     return articles.select("doc_id", "words").mapInArrow(run, _COUNTS)
 

@@ -649,6 +649,53 @@ def test_many_lines_read_like_single_pages(line_model, pages):
     assert together == [" ".join(reading.article_words(t, line_model)) for t in texts]
 
 
+def test_only_lines_with_capitals_are_looked_at_one_by_one(pages, monkeypatch):
+    seen, is_heading = [], reading.is_heading
+    monkeypatch.setattr(reading, "is_heading", lambda line: seen.append(line) or is_heading(line))
+    for _, text, _ in pages[:60]:
+        seen.clear()
+        assert reading.page_lines(text).count("#") == len(seen) == sum(map(is_heading, text.split("\n"))) < text.count("\n") / 4
+
+
+def test_pages_are_taken_apart_together_like_line_by_line(pages, monkeypatch):
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("abAB\xc0\xdf\u017f\u2020\u0130\u03a3\u01c5\xbd\xb2_-=\xad  \n\n\r\x85\x1c\u4e2d\u0301015|#") for _ in range(k % 50)) for k in range(2000)]
+    texts = [None, "", *(t for _, t, _ in pages[:30]), None, *odd, None]
+
+    def by_line(text):
+        out = []
+        for raw, low in zip(text.split("\n"), text.lower().replace("\u2020", "t").split("\n"), strict=True):
+            tokens = " ".join(reading._TOKEN(low))
+            if tokens:
+                out.append("#" + reading.headline(raw) if reading.is_heading(raw) else "-" * (raw.rstrip()[-1:] in reading._BREAKS) + tokens)
+        return "\n".join(out) or None
+
+    expected = [by_line(t or "") for t in texts]
+    for letters in (1, 500, 10**6):
+        monkeypatch.setattr(reading, "TOGETHER_LETTERS", letters)
+        assert reading.pages_lines(texts) == expected
+
+
+def test_long_adverts_are_read_to_their_end(line_model, monkeypatch):
+    import pyarrow as pa
+
+    advert = ["Terms cash. No agents.", "Box 5, this office"] * 10
+    texts = pa.array([reading.page_lines("\n".join(["POST", "the cat sold his road", "TO LET", *advert, "the cat sold his road when they have"]))] * 3)
+    for steps in (1, 2, reading.STEPS, 100):
+        monkeypatch.setattr(reading, "STEPS", steps)
+        assert reading._article_texts(texts, reading._Reader(line_model)) == ["the cat sold his road the cat sold his road when they have"] * 3
+
+
+def test_weights_of_lines_are_fitted_again_only_for_other_headlines(spark, pages, monkeypatch):
+    passes, summed = [], reading._summed
+    monkeypatch.setattr(reading, "_summed", lambda lines, of: passes.append(of.__name__) or summed(lines, of))
+    reading.fit_lines(spark.createDataFrame(pages, "doc_id long, text string, lang string"))
+    assert passes == ["heads", "below", "far", "read", "read"]
+    passes.clear()
+    reading.fit_lines(spark.createDataFrame([(i, t.replace("\n", "\nHOME AND ABROAD\n", 3), x) for i, t, x in pages], "doc_id long, text string, lang string"))
+    assert passes == ["heads", *["below", "far", "read"] * 2]
+
+
 def test_sections_of_a_paper_head_no_adverts(spark, pages):
     with_sections = [(i, t.replace("\n", "\nHOME AND ABROAD\n", 3), x) for i, t, x in pages]
     model = reading.fit_lines(spark.createDataFrame(with_sections, "doc_id long, text string, lang string"))
